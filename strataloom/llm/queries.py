@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from strataloom.llm import exact_dedup, license_scan, quality_rules, source_mix, token_counts
+from strataloom.llm import exact_dedup, license_scan, near_dedup, quality_rules, source_mix, token_counts
 
 QUERIES = {
     "op2_token_counts": token_counts.query,
     "op3_license_scan": license_scan.query,
+    "op4_near_dedup": near_dedup.query,
     "op5_source_mix": source_mix.query,
     "op6_quality_rules": quality_rules.query,
     "op10_exact_dedup": exact_dedup.query,
 }
 
 ORACLES = {
+    "op4_near_dedup": near_dedup.query,
     "op5_source_mix": source_mix.ORACLE,
     "op6_quality_rules": quality_rules.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
