@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataloom.llm import exact_dedup, license_scan, near_dedup, quality_rules, source_mix, token_counts
+from strataloom.llm import chat_format, exact_dedup, language_id, license_scan, near_dedup, packing, quality_rules, source_mix, token_counts
 
 QUERIES = {
     "op2_token_counts": token_counts.query,
@@ -10,6 +10,9 @@ QUERIES = {
     "op4_near_dedup": near_dedup.query,
     "op5_source_mix": source_mix.query,
     "op6_quality_rules": quality_rules.query,
+    "op7_packing": packing.query,
+    "op8_language_id": language_id.query,
+    "op9_chat_format": chat_format.query,
     "op10_exact_dedup": exact_dedup.query,
 }
 
@@ -17,5 +20,6 @@ ORACLES = {
     "op4_near_dedup": near_dedup.query,
     "op5_source_mix": source_mix.ORACLE,
     "op6_quality_rules": quality_rules.ORACLE,
+    "op9_chat_format": chat_format.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }
