@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from strataloom.llm import chat_format, exact_dedup, language_id, license_scan, near_dedup, packing, quality_rules, source_mix, token_counts
+from strataloom.llm import chat_format, exact_dedup, language_id, license_scan, near_dedup, packing, quality_rules, source_mix, substring_dedup, token_counts
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.query,
     "op2_token_counts": token_counts.query,
     "op3_license_scan": license_scan.query,
     "op4_near_dedup": near_dedup.query,

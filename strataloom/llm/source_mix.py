@@ -56,8 +56,8 @@ def _run_out(rows: DataFrame, by: str) -> DataFrame:
     return words.filter((F.col("before") <= F.col("need")) & (F.col("need") < F.col("after"))).select(*_SOURCE, F.col(by).alias(f"{by}_at"), F.col("before").alias(f"{by}_before"))
 
 
-def source_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken for each row of docs.
+def source_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, key: Column | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken for each row of docs, and `key` where one is given.
 
     A source used f = target / source_size times takes floor(f) certain copies of each document; the fraction p that
     is left is drawn by Pareto order sampling. Inclusion rises with the logarithm of the size, by at most half of
@@ -70,8 +70,8 @@ def source_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     source, the last by name; sources of size 0 have target 0. Rows that repeat are separate documents; null ids
     rank alike. Other columns are ignored; an empty table gives an empty result.
     """
-    name = F.col(source_col).cast("string")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(name, F.lit("")).alias("s"), name.isNull().alias("z"), word_count(F.col(text_col)).alias("size"))
+    name, carry = F.col(source_col).cast("string"), [] if key is None else ["key"]
+    rows = docs.select(*([] if key is None else [key.alias("key")]), F.col(id_col).alias("doc_id"), F.coalesce(name, F.lit("")).alias("s"), name.isNull().alias("z"), word_count(F.col(text_col)).alias("size"))
     rows, _ = written(rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")), "mix-sizes")
 
     sums = rows.groupBy(*_SOURCE).agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * _log_size(F.col("size"))).alias("logs"), F.min(_log_size(F.col("size"))).alias("low"), F.max(_log_size(F.col("size"))).alias("high"))
@@ -82,20 +82,20 @@ def source_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sources = sources.withColumn("need", F.col("p") * F.col("source_size"))
     sources, _ = written(sources.select(*_SOURCE, "source_size", "target", "whole", "p", "need", "mean", "spread"), "mix-sources")
 
-    key = [*_SOURCE, "salt"]
+    by = [*_SOURCE, "salt"]
     inclusion = F.col("p") + 0.5 * F.least(F.col("p"), 1 - F.col("p")) * (_log_size(F.col("size")) - F.col("mean")) / F.col("spread")
     u = unit_interval(F.lit(seed), F.col("doc_id"))
-    ranked = rows.join(_salted(sources), key).withColumn("rank", F.when(F.col("p") > 0, u / (1 - u) / (inclusion / (1 - inclusion))))
+    ranked = rows.join(_salted(sources), by).withColumn("rank", F.when(F.col("p") > 0, u / (1 - u) / (inclusion / (1 - inclusion))))
     digit = F.col("rank") / (1 + F.col("rank")) * BINS  # the leading digits to base BINS are the bins of the two levels
     ranked = ranked.withColumns({"bin": F.floor(digit), "sub": F.floor((digit - F.floor(digit)) * BINS)})
-    ranked, _ = written(ranked.select("doc_id", *key, "size", "source_size", "target", "whole", "need", "rank", "bin", "sub"), "mix-ranked")
+    ranked, _ = written(ranked.select("doc_id", *carry, *by, "size", "source_size", "target", "whole", "need", "rank", "bin", "sub"), "mix-ranked")
 
     drawn = ranked.filter(F.col("rank").isNotNull())
     bins, _ = written(_run_out(drawn, "bin"), "mix-bins")
-    inside = drawn.join(_salted(bins), key).filter(F.col("bin") == F.col("bin_at")).withColumn("need", F.col("need") - F.col("bin_before"))
+    inside = drawn.join(_salted(bins), by).filter(F.col("bin") == F.col("bin_at")).withColumn("need", F.col("need") - F.col("bin_before"))
     ends, _ = written(bins.join(_run_out(inside, "sub"), _SOURCE), "mix-ends")
 
-    placed = ranked.join(_salted(ends), key, "left")
+    placed = ranked.join(_salted(ends), by, "left")
     here, there = F.struct("bin", "sub"), F.struct(F.col("bin_at").alias("bin"), F.col("sub_at").alias("sub"))
     last = F.coalesce(here == there, F.lit(False))
     clear = placed.filter(~last).withColumn("extra", (F.col("rank").isNotNull() & F.coalesce(here < there, F.lit(True))).cast("long"))
@@ -103,7 +103,7 @@ def source_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     middle = F.col("bin_before") + F.col("sub_before") + running - F.col("size") / 2
     mixed = clear.unionByName(placed.filter(last).withColumn("extra", (middle <= F.col("need")).cast("long")))
     mixed = mixed.withColumn("copies", F.col("whole") + F.col("extra"))
-    return mixed.select("doc_id", F.when(~F.col("z"), F.col("s")).alias("source"), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return mixed.select("doc_id", *carry, F.when(~F.col("z"), F.col("s")).alias("source"), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
