@@ -22,7 +22,8 @@ def _with_groups(rows: DataFrame, key: list[str], name: str, level: int) -> tupl
     groups = rows.groupBy(*key).agg(F.count("*").alias(f"{_OWN}n")).filter(F.col(f"{_OWN}n") > 1).drop(f"{_OWN}n")
     # written before use: a number from monotonically_increasing_id must not change when a task is run again
     groups, path = written(groups.withColumn(f"{_OWN}group", F.monotonically_increasing_id()), name)
-    return rows.join(groups, key, "left").withColumn(f"{_OWN}level", F.lit(level)), path
+    # a sort-merge join at every size: the plan, and with it the disk, grows with the rows alone
+    return rows.hint("merge").join(groups.hint("merge"), key, "left").withColumn(f"{_OWN}level", F.lit(level)), path
 
 
 def _bytes(text: Column, start: int, n: int | None = None) -> Column:
@@ -76,7 +77,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     best = members.filter(F.col(group).isNotNull()).groupBy(level, group).agg(F.min(order).alias(f"{_OWN}best"), F.count("*").alias(f"{_OWN}n"))
     alone = F.struct(F.col(own_id).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     chosen = F.struct(F.col(f"{_OWN}best.c").alias("keep_id"), F.col(f"{_OWN}n").alias("group_size"), (F.col(f"{_OWN}best.d") == F.col(uid)).alias("kept"))
-    decided = members.join(best, [level, group], "left").select(*carry, F.when(F.col(f"{_OWN}n").isNull(), alone).otherwise(chosen).alias("exact"))
+    best, _ = written(best, "exact-best")  # read back, it is a plain side of the join, whose other side may be split
+    decided = members.hint("merge").join(best.hint("merge"), [level, group], "left").select(*carry, F.when(F.col(f"{_OWN}n").isNull(), alone).otherwise(chosen).alias("exact"))
     return rows.filter(F.col(group).isNull()).select(*carry, alone.alias("exact")).unionByName(decided)
 
 
