@@ -96,9 +96,11 @@ def source_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ends, _ = written(bins.join(_run_out(inside, "sub"), _SOURCE), "mix-ends")
 
     placed = ranked.join(_salted(ends), by, "left")
-    here, there = F.struct("bin", "sub"), F.struct(F.col("bin_at").alias("bin"), F.col("sub_at").alias("sub"))
-    last = F.coalesce(here == there, F.lit(False))
-    clear = placed.filter(~last).withColumn("extra", (F.col("rank").isNotNull() & F.coalesce(here < there, F.lit(True))).cast("long"))
+    # sources without a last bin (nothing is left to draw) have null there, and documents without a rank too
+    bin_, sub, bin_at, sub_at = (F.col(c) for c in ("bin", "sub", "bin_at", "sub_at"))
+    last = F.coalesce((bin_ == bin_at) & (sub == sub_at), F.lit(False))
+    ahead = bin_at.isNull() | (bin_ < bin_at) | ((bin_ == bin_at) & (sub < sub_at))
+    clear = placed.filter(~last).withColumn("extra", F.coalesce(F.col("rank").isNotNull() & ahead, F.lit(False)).cast("long"))
     running = F.sum("size").over(Window.partitionBy(*_SOURCE).orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     middle = F.col("bin_before") + F.col("sub_before") + running - F.col("size") / 2
     mixed = clear.unionByName(placed.filter(last).withColumn("extra", (middle <= F.col("need")).cast("long")))
