@@ -34,7 +34,7 @@ def neighbour_files(edges: DataFrame, focus: DataFrame, most_edges: int = EDGES,
     keys = focus.select("file_path").distinct()
     into = edges.filter("type IN ('calls', 'imports')").join(keys.withColumnRenamed("file_path", "to_file"), "to_file", "left_semi")
     out = edges.filter("type = 'calls'").join(keys.withColumnRenamed("file_path", "from_file"), "from_file", "left_semi")
-    near = into.unionByName(out).dropDuplicates().orderBy("from_file", "line", "to_name", "to_file").limit(most_edges)
+    near = into.unionByName(out).dropDuplicates().orderBy("from_file", "line", "to_name", "to_file").limit(most_edges).persist()
     ends = near.select("from_file", "line", F.posexplode(F.array("from_file", "to_file")).alias("k", "file_path")).filter("file_path <> ''").join(keys, "file_path", "left_anti")
     files = ends.groupBy("file_path").agg(F.min(F.struct("from_file", "line", "k")).alias("o")).orderBy("o").limit(most).select("file_path")
     return near, files
@@ -62,9 +62,11 @@ def retrieve(chunks: DataFrame, symbols: DataFrame, edges: DataFrame, semantic:
     """Context for a question.
 
     semantic: its similar chunks with score, best first; names: the identifiers in it. Of several ways to one chunk
-    (file and first line) the strongest origin counts. Nothing found: the first chunks of the repository.
+    (file and first line) the strongest origin counts. Nothing found: the first chunks of the repository. What the
+    limits bound to some hundred rows is kept, as several parts read it.
     """
-    matched = symbols.join(names.select("name").distinct(), "name", "left_semi").orderBy("file_path", "start_line").limit(SYMBOLS)
+    semantic = semantic.persist()
+    matched = symbols.join(names.select("name").distinct(), "name", "left_semi").orderBy("file_path", "start_line").limit(SYMBOLS).persist()
     keep = ["file_path", "start_line", "end_line", "symbol_name", "symbol_type", "code"]
     structural = covering_chunk(matched, chunks_of_files(chunks, matched, STRUCTURAL)).select(*[F.col(f"c_{k}").alias(k) for k in keep])
     origin = lambda df, name, rank: df.select(*keep, F.lit(name).alias("origin"), F.lit(WEIGHT[name]).alias("weight"), rank.cast("double").alias("rank"))
@@ -72,14 +74,15 @@ def retrieve(chunks: DataFrame, symbols: DataFrame, edges: DataFrame, semantic:
     notes = symbols.sparkSession.createDataFrame([], "note string")
     if include_graph:
         best = semantic.orderBy(F.desc("score"), "file_path", "start_line").limit(FOCUS)
-        near, files = neighbour_files(edges, matched.select("file_path").unionByName(best.select("file_path")))
+        near, files = neighbour_files(edges, matched.select("file_path").unionByName(best.select("file_path")).persist())
         hop = chunks_of_files(chunks, files, GRAPH_READ).orderBy("file_path", "start_line").limit(GRAPH)
         found = found.unionByName(origin(hop, "graph", F.lit(RANK["graph"])))
         notes = graph_notes(near)
+    found = found.persist()
     any_ = found.limit(1).agg(F.count("*").alias("n"))
     rest = chunks.orderBy("file_path", "start_line").limit(FALLBACK).join(any_).filter("n = 0")
     found = found.unionByName(origin(rest, "fallback", F.lit(RANK["fallback"])))
-    once = found.groupBy("file_path", "start_line").agg(F.max_by(F.struct(*[c for c in found.columns if c not in ("file_path", "start_line")]), F.struct("weight", "rank", "end_line")).alias("c")).select("file_path", "start_line", "c.*")
+    once = found.groupBy("file_path", "start_line").agg(F.max_by(F.struct(*[c for c in found.columns if c not in ("file_path", "start_line")]), F.struct("weight", "rank", "end_line")).alias("c")).select("file_path", "start_line", "c.*").persist()
     return Retrieval(_packed(once, max_chars), notes, matched)
 
 
