@@ -51,7 +51,7 @@ spdx:unlicense | spdx | 99 | spdx license identifier unlicense
 spdx:wtfpl | spdx | 99 | spdx license identifier wtfpl
 spdx:bsl-1.0 | spdx | 99 | spdx license identifier bsl 1 0
 spdx:other | spdx | 40 | spdx license identifier \w+(?: \d+)*
-agpl-{v}-or-later | affero | 95 | (?:gnu )?affero general public license <V>{v}(?: 0)? <OR> [1.0 3.0]
+agpl-{v}-or-later | affero | 95 | (?:gnu )?affero general public license <V>{v}(?: 0)? <OR> [1.0 3.0 1 3]
 agpl-{v} | affero | 90 | (?:gnu )?affero general public license <V>{v} [1.0 3.0]
 agpl-{v} | affero | 89 | (?:gnu )?affero general public license <V>{v} [1 3]
 agpl | affero | 60 | (?:gnu )?affero general public license
