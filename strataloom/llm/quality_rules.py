@@ -81,25 +81,26 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, stop_words:
     column named `quality` is replaced, all others stay.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    one = docs.withColumn("quality", F.struct(text.alias("t"), _words(text).alias("w"), F.split(text, "\n").alias("l")))
+    carry = [c for c in docs.columns if c != "quality"]
+    # exploding an array of one element keeps a struct from being copied into every expression that reads it
+    once = lambda df, *cols: df.select(*carry, F.explode(F.array(F.struct(*cols))).alias("quality"))
+    one = once(docs, text.alias("t"), _words(text).alias("w"), F.split(text, "\n").alias("l"))
     t, words, lines = F.col("quality.t"), F.col("quality.w"), F.col("quality.l")
     real = F.filter(lines, lambda x: x.rlike(f"[^{SPACE}]"))
     bare = F.transform(words, lambda x: F.lower(F.rtrim(x, F.lit(".,;:!?"))))
-    two = one.withColumn(
-        "quality",
-        F.struct(
-            F.size(words).cast("long").alias("n_words"),
-            F.length(F.regexp_replace(t, f"[{SPACE}]+", "")).cast("long").alias("word_chars"),
-            (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-            F.size(real).cast("long").alias("n_lines"),
-            F.size(F.array_distinct(real)).cast("long").alias("n_distinct"),
-            _repeat_words(words).cast("long").alias("n_repeat_words"),
-            F.size(F.filter(bare, lambda x: x.isin(list(stop_words)))).alias("n_stop"),
-            F.size(F.filter(words, lambda x: x.rlike("\\p{L}"))).alias("n_alpha"),
-            F.length(F.regexp_replace(t, "[^\\p{Lu}]+", "")).alias("n_upper"),
-            F.size(F.filter(real, lambda x: x.rlike(f"^[{SPACE}]*[-*•]"))).alias("n_bullet"),
-            F.size(F.filter(real, lambda x: x.rlike(f"(\\.\\.\\.|…)[{SPACE}]*$"))).alias("n_ellipsis"),
-        ),
+    two = once(
+        one,
+        F.size(words).cast("long").alias("n_words"),
+        F.length(F.regexp_replace(t, f"[{SPACE}]+", "")).cast("long").alias("word_chars"),
+        (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        F.size(real).cast("long").alias("n_lines"),
+        F.size(F.array_distinct(real)).cast("long").alias("n_distinct"),
+        _repeat_words(words).cast("long").alias("n_repeat_words"),
+        F.size(F.filter(bare, lambda x: x.isin(list(stop_words)))).alias("n_stop"),
+        F.size(F.filter(words, lambda x: x.rlike("\\p{L}"))).alias("n_alpha"),
+        F.length(F.regexp_replace(t, "[^\\p{Lu}]+", "")).alias("n_upper"),
+        F.size(F.filter(real, lambda x: x.rlike(f"^[{SPACE}]*[-*•]"))).alias("n_bullet"),
+        F.size(F.filter(real, lambda x: x.rlike(f"(\\.\\.\\.|…)[{SPACE}]*$"))).alias("n_ellipsis"),
     )
     q = lambda name: F.col(f"quality.{name}")
     ratio = lambda a, b: F.try_divide(q(a).cast("double"), q(b).cast("double"))
