@@ -22,35 +22,33 @@ LENGTH, END = 2048, 1
 #: Buckets of the hashed document vectors, dimensions they are projected to, bits of each.
 BUCKETS, DIMENSIONS, BITS = 256, 4, 12
 #: Words whose ids a worker remembers; beyond that it starts anew, so memory stays bounded.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 
 
-class Encoder:
+class Encoder(dict):
     """Ids of whole texts as the tokenizers library gives them, from remembered ids of words.
 
-    The file's pre-tokenizer cuts words that are encoded one by one, so a text's ids are those of its words; new
-    words are encoded by the library in one call for each batch.
+    The file's pre-tokenizer cuts words; the library encodes each word once, when it is first met. A text's ids are
+    those of its words.
     """
 
     def __init__(self, path: str):
         self.vocabulary = vocabulary(path)
         self.kind = np.dtype("<u2" if self.vocabulary.size <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
         self.special = {s: np.array([i], self.kind).tobytes() for s, i in self.vocabulary.special_ids.items()}
+        self.end = np.array([END], self.kind).tobytes()
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self.vocabulary.segments(t or "") for t in texts]
-        known = self.known
-        new = list({w for segments in cut for _, words in segments for w in words if w not in known})
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list({w for segments in cut for _, words in segments for w in words})
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for w, e in zip(part, self.vocabulary.library.encode_batch(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, self.kind).tobytes()
-        end = np.array([END], self.kind).tobytes()
-        return [b"".join([x for special, words in segments for x in ([self.special[special]] if special else []) + [known[w] for w in words]]) + end for segments in cut]
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        ids = np.array(self.vocabulary.library.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
+        if len(word) <= 64:
+            self[word] = ids
+        return ids
+
+    def encode(self, text: str | None) -> bytes:
+        parts = [self.special.get(special, b"") + b"".join(map(self.__getitem__, words)) for special, words in self.vocabulary.segments(text or "")]
+        return b"".join(parts) + self.end
 
 
 @cache
@@ -136,7 +134,7 @@ def packing(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         for b in batches:
-            ids = e.encode(b.column(1).to_pylist())
+            ids = [e.encode(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(curve_keys(ids, e.kind, e.vocabulary.size)), pa.array(ids, pa.binary())], ["doc_id", "curve", "ids"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
