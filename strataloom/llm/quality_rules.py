@@ -82,8 +82,9 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, stop_words:
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     carry = [c for c in docs.columns if c != "quality"]
-    # exploding an array of one element keeps a struct from being copied into every expression that reads it
-    once = lambda df, *cols: df.select(*carry, F.explode(F.array(F.struct(*cols))).alias("quality"))
+    # exploding an array of one element keeps a struct from being copied into every expression that reads it; the outer
+    # form gets no inferred filter, which would compute the struct again
+    once = lambda df, *cols: df.select(*carry, F.explode_outer(F.array(F.struct(*cols))).alias("quality"))
     one = once(docs, text.alias("t"), _words(text).alias("w"), F.split(text, "\n").alias("l"))
     t, words, lines = F.col("quality.t"), F.col("quality.w"), F.col("quality.l")
     real = F.filter(lines, lambda x: x.rlike(f"[^{SPACE}]"))
