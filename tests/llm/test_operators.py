@@ -214,6 +214,29 @@ def test_near_classes_in_a_large_group_of_variants(spark, direct, monkeypatch):
     assert Counter((r["doc_id"], r["class_id"], r["class_size"]) for r in got) == brute_classes(rows)
 
 
+def repeated_lines(rng):
+    """Two texts whose shingle sets have a similarity of 0.8 or more; one repeats a third of its lines a hundred times."""
+    body, line = words(rng, 70), words(rng, 33)
+    left, right = f"{body} {line} {line}", " ".join([body, *[line] * 100])
+    changed = left.split()
+    changed[20] = "changed"
+    return left, right, " ".join(changed)
+
+
+def test_repeated_lines_are_not_screened_out():
+    rng, missed, screened = random.Random(9), 0, 0
+    for _ in range(150):
+        texts = repeated_lines(rng)
+        raw = [t.encode() for t in texts]
+        assert (jaccard(raw[:1] * 2, raw[1:]) >= 0.8).all()
+        _, _, keys, sig = near_dedup._sketch(list(texts))
+        for other in (0, 2):
+            missed += not (keys[1] == keys[other]).any()
+            x = sig[1].view(np.uint64) ^ sig[other].view(np.uint64)
+            screened += sum(int(v).bit_count() for v in (x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)) > near_dedup._MISSES
+    assert missed == screened == 0
+
+
 def test_probminhash_estimates_probability_jaccard():
     rng = np.random.default_rng(6)
     ids = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
