@@ -74,7 +74,8 @@ def top_k_each(points: DataFrame, queries: DataFrame, vector_col: str, id_col: s
     """query_id, id, score, place: top k for each row of queries (query_id, vector), a stated query set.
 
     Queries are taken in blocks of about `block` by a hash of their id; a block goes to every task as one matrix.
-    Points are read once a block, and a task keeps k rows a query, so only those meet in the last ordering.
+    Points are read once a block, and a task keeps k rows a query, so only those meet in the last ordering. Every
+    point of a batch that ties with its k-th score counts, so ids order ties whatever the batches.
     """
     ship(points.sparkSession)
     spark, n = points.sparkSession, -(-queries.count() // block)
@@ -92,11 +93,17 @@ def top_k_each(points: DataFrame, queries: DataFrame, vector_col: str, id_col: s
             for b in batches:
                 if not len(b) or not ids:
                     continue
-                m = np.stack(b.vector.to_numpy()).astype(np.float64)
-                s = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)) @ matrix.T
-                few = min(k * 4, len(b)) if len(b) > k else len(b)  # some more than k, so that ties can be ordered by id
-                top = np.argpartition(-s, few - 1, axis=0)[:few] if few < len(b) else np.tile(np.arange(len(b))[:, None], (1, s.shape[1]))
-                new = pd.DataFrame({"q": np.tile(np.arange(s.shape[1]), (len(top), 1)).ravel(), "id": b.id.to_numpy()[top].ravel(), "score": np.take_along_axis(s, top, axis=0).ravel()})
+                # copies of a vector are scored once: they tie, and of each tie the k smallest ids are enough
+                b = b.sort_values("id", ignore_index=True)
+                m, copy = np.unique(np.stack(b.vector.to_numpy()).astype(np.float64), axis=0, return_inverse=True)
+                m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+                s = m @ matrix.T
+                least = np.partition(s, -k, axis=0)[-k] if len(m) > k else np.full(s.shape[1], -np.inf)
+                at, q = np.nonzero(s >= np.maximum(least, floor) - 1e-9)
+                # a matrix product may round by place; this sum is the same in every batch
+                new = pd.DataFrame({"at": at, "q": q, "score": np.einsum("ij,ij->i", m[at], matrix[q])})
+                firsts = pd.DataFrame({"at": copy.reshape(-1), "id": b.id}).groupby("at").head(k)
+                new = new.merge(firsts, on="at")[["q", "id", "score"]]
                 best = pd.concat([best, new[new.score >= floor]]).sort_values(["q", "score", "id"], ascending=[True, False, True]).groupby("q").head(k)
             yield pd.DataFrame({"query_id": [ids[int(q)] for q in best.q], "id": best.id, "score": best.score})
 

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from strataloom.functions import paths, text
-from strataloom.operators import chunking, graph, jobs, packing, patches, upserts, windows
+from strataloom.operators import chunking, graph, jobs, packing, patches, upserts, vectors, windows
 from strataloom.operators.extract.analyze import analyze_files
 from strataloom.operators.extract.generic import analyze_generic
 from strataloom.operators.extract.javascript import analyze_javascript
@@ -191,6 +191,17 @@ def test_greedy_packing_skips_but_does_not_stop(spark):
         assert got == taken
 
 
+def test_many_copies_of_a_vector_are_ordered_by_id(spark):
+    rng = random.Random(12)
+    one = [rng.gauss(0, 1) for _ in range(64)]
+    ids = rng.sample(range(1500), 1500)
+    rows = [(i, one if i % 3 else [rng.gauss(0, 1) for _ in range(64)]) for i in ids]
+    points = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    asked = spark.createDataFrame([(0, one)], "query_id long, vector array<double>")
+    got = vectors.top_k_each(points, asked, "embedding", "vec_id").orderBy("place").collect()
+    assert [r["id"] for r in got] == [i for i in range(18) if i % 3]
+
+
 def test_windows_are_disjoint(spark):
     rows = [("f", random.Random(i).randint(1, 300), 0) for i in range(30)]
     df = spark.createDataFrame([(f, a, a + 3) for f, a, _ in rows], "f string, start int, end int")
