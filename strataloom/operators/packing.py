@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.functions.rules import PACK_ALWAYS, PACK_OVERHEAD
+from strataloom.plans.session import ship
 
 
 def greedy(sizes: Column, budget: int, overhead: int = PACK_OVERHEAD, always: int = PACK_ALWAYS) -> Column:
@@ -23,18 +27,32 @@ def greedy(sizes: Column, budget: int, overhead: int = PACK_OVERHEAD, always: in
     return F.aggregate(sizes, begin, step, lambda s: s["taken"])
 
 
-def pack_context(rows: DataFrame, keys: list[str], order: list[str], size: str, budget: int, most: int = 10_000) -> DataFrame:
-    """Rows of each key that fit its budget, taken greedily in order.
+def pack_context(rows: DataFrame, keys: list[str], order: list[str], size: str, budget: int, overhead: int = PACK_OVERHEAD, always: int = PACK_ALWAYS) -> DataFrame:
+    """Rows of each key that fit its budget, taken greedily in order, as in `greedy`.
 
-    What is gathered of a key are its `most` first rows' order and size. A row beyond can matter only where the
-    budget is larger than `most` rows of overhead: then it is an error.
+    The fold reads each key to its end, since a skipped row uses no budget: what is used goes on from batch to batch.
     """
-    if budget > most * PACK_OVERHEAD:
-        raise ValueError("the budget could hold more rows than are gathered")
-    ranked = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    lists = ranked.filter(F.col("__n") <= most).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__n", F.col(size).alias("s")))).alias("l"))
-    taken = lists.select(*keys, F.posexplode(greedy(F.transform("l", lambda x: x["s"]), budget)).alias("i", "t")).filter("t").select(*keys, (F.col("i") + 1).alias("__n"))
-    return ranked.join(taken, [*keys, "__n"]).drop("__n")
+    ship(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, used, n = None, 0, 0
+        for b in batches:
+            taken = []
+            for i, (key, s) in enumerate(zip(zip(*[b.column(k).to_pylist() for k in keys], strict=True), b.column(size).to_pylist(), strict=True)):
+                if key != last:
+                    last, used, n = key, 0, 0
+                if s is None or used is None:  # as in SQL, a sum with null stays null
+                    fits, cost, used = n < always, 0, None
+                else:
+                    cost = s + overhead
+                    fits = n < always or used + cost <= budget
+                if fits:
+                    taken.append(i)
+                if fits or used is None:
+                    used, n = None if used is None else used + cost, n + 1
+            yield b.take(pa.array(taken, pa.int64()))
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, rows.schema)
 
 
 def pack_prefix(rows: DataFrame, keys: list[str], order: list[str], size: Column, budget: int) -> DataFrame:

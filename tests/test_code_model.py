@@ -191,6 +191,13 @@ def test_greedy_packing_skips_but_does_not_stop(spark):
         assert got == taken
 
 
+def test_packing_reads_a_key_to_its_end(spark):
+    sizes = [3000] * 5 + [5000] * 20_000 + [400, 10, 5000, 2]
+    rows = spark.createDataFrame([("hot", i, s) for i, s in enumerate(sizes)] + [("b", 7, 9)], "source string, doc_id long, n_chars long")
+    got = packing.pack_context(rows, ["source"], ["doc_id"], "n_chars", 16_000).collect()
+    assert sorted((r["source"], r["doc_id"]) for r in got) == [("b", 7), *(("hot", i) for i in (0, 1, 2, 3, 4, 20_006, 20_008))]
+
+
 def test_many_copies_of_a_vector_are_ordered_by_id(spark):
     rng = random.Random(12)
     one = [rng.gauss(0, 1) for _ in range(64)]
