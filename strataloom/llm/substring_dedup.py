@@ -106,7 +106,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Spans that repeat across documents: doc_id, start, length (bytes), n_chunks, first_doc_id, kept.
 
     A span is a run of neighbouring chunks of one document that also occur in another one, of `least` bytes or more
-    together. first_doc_id is the smallest id that holds one of its chunks; kept tells that this is the document
+    together, parted where first_doc_id, the smallest id that holds a chunk, changes. kept tells that this is the document
     itself, so dropping the spans that aren't kept leaves one copy of each passage. Documents without such a span
     don't come out. Null and empty texts have no chunks; rows that repeat in id and text are one document, and
     equal texts under different ids repeat each other; other columns are ignored. A text without a cut (one
@@ -123,8 +123,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     order = Window.partitionBy("doc_id", "row").orderBy("start")
     new = F.coalesce((F.lag(F.col("start") + F.col("size")).over(order) != F.col("start")).cast("int"), F.lit(1))
     runs = found.withColumn("new", new).withColumn("run", F.sum("new").over(order))
-    spans = runs.groupBy("doc_id", "row", "run").agg(F.min("start").cast("long").alias("start"), F.sum("size").alias("length"), F.count("*").alias("n_chunks"), F.min("first_doc_id").alias("first_doc_id"))
-    spans = spans.filter(F.col("length") >= least)
+    runs = runs.withColumn("whole", F.sum("size").over(Window.partitionBy("doc_id", "row", "run"))).filter(F.col("whole") >= least)
+    turn = (~F.lag("first_doc_id").over(order).eqNullSafe(F.col("first_doc_id")) | (F.col("new") == 1)).cast("int")
+    parts = runs.withColumn("turn", turn).withColumn("part", F.sum("turn").over(order))
+    spans = parts.groupBy("doc_id", "row", "part").agg(F.min("start").cast("long").alias("start"), F.sum("size").alias("length"), F.count("*").alias("n_chunks"), F.min("first_doc_id").alias("first_doc_id"))
     return spans.select("doc_id", "start", "length", "n_chunks", "first_doc_id", F.col("first_doc_id").eqNullSafe(F.col("doc_id")).alias("kept"))
 
 

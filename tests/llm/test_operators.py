@@ -104,6 +104,20 @@ def test_spans_repeat_literally(docs, awkward):
             assert sum(part in t for t in text.values()) > 1
 
 
+def test_a_passage_beside_a_template_is_left_once(spark):
+    rng = random.Random(13)
+    head, passage = words(rng, 90), words(rng, 90)
+    rows = [(i, f"{words(rng, 20)} {head} {words(rng, 20)}") for i in (1, 2, 3)] + [(i, f"{words(rng, 20)} {head} {passage} {words(rng, 20)}") for i in (7, 9)]
+    left = {i: t.encode() for i, t in rows}
+    spans = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for r in sorted(spans, key=lambda r: -r["start"]):
+        if not r["kept"]:
+            left[r["doc_id"]] = left[r["doc_id"]][: r["start"]] + left[r["doc_id"]][r["start"] + r["length"] :]
+    for whole, at in ((head, [1]), (passage, [7])):
+        middle = " ".join(whole.split()[30:60]).encode()
+        assert [i for i, t in left.items() if middle in t] == at
+
+
 # -- 2 --------------------------------------------------------------------------
 
 
