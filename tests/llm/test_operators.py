@@ -118,6 +118,22 @@ def test_a_passage_beside_a_template_is_left_once(spark):
         assert [i for i, t in left.items() if middle in t] == at
 
 
+def test_passages_of_51_words_are_found_whatever_the_word_length(spark):
+    rng, rows, places = random.Random(14), [], {}
+    for size in (1, 2, 3, 4, 9):
+        for _ in range(40):
+            passage = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=size)) for _ in range(51))
+            for _ in range(2):
+                front = words(rng, rng.randint(0, 40)) + " "
+                places[len(rows)] = (len(front), len(front) + len(passage))
+                rows.append((len(rows), front + passage + rng.choice(["", "\n" + words(rng, 30)])))
+    got = defaultdict(int)
+    for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        a, b = places[r["doc_id"]]
+        got[r["doc_id"]] += max(0, min(b, r["start"] + r["length"]) - max(a, r["start"]))
+    assert [i for i, (a, b) in places.items() if 2 * got[i] < b - a] == []
+
+
 # -- 2 --------------------------------------------------------------------------
 
 
