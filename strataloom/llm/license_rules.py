@@ -100,7 +100,8 @@ zlib | zlib | 80 | zlib(?: libpng)? license
 zlib | altered source versions | 82 | altered source versions must be plainly marked as such
 bsl-{v} | boost | 85 | boost software license(?: <V>{v})? [1.0]
 busl-{v} | business source | 85 | business source license(?: <V>{v})? [1.0 1.1]
-mpl-{v}-no-copyleft-exception | incompatible with secondary | 91 | mozilla public license <V>{v} no copyleft exception|incompatible with secondary licenses as defined by the mozilla public license v {v} [2.0]
+mpl-{v}-no-copyleft-exception | mozilla | 91 | mozilla public license <V>{v} no copyleft exception [2.0]
+mpl-{v}-no-copyleft-exception | incompatible with secondary | 91 | incompatible with secondary licenses as defined by the mozilla public license v {v} [2.0]
 mpl-{v} | mozilla | 90 | mozilla public license <V>{v} [1.0 1.1 2.0]
 mpl | mozilla | 60 | mozilla public license
 mpl-2.0 | mozilla org mpl | 88 | mozilla org mpl 2 0
@@ -136,11 +137,13 @@ ogl-{v} | open government | 85 | open government licen[cs]e <V>{v} [1.0 2.0 3.0]
 upl-{v} | universal permissive | 85 | universal permissive license <V>{v} [1.0]
 unlicense | unlicense | 80 | (?:the )?unlicense
 unlicense | unencumbered | 82 | this is free and unencumbered software released into the public domain
-wtfpl | wtf | 80 | wtfpl|do what the fuck you want to public license
+wtfpl | wtf | 80 | wtfpl
+wtfpl | fuck | 80 | do what the fuck you want to public license
 beerware | beer | 80 | beer ?ware license
 json | shall be used for good | 80 | the software shall be used for good not evil
 cc0-{v} | cc0 | 90 | cc0(?: <V>{v})? [1.0]
-cc0-1.0 | cc zero | 85 | cc zero|creative commons zero
+cc0-1.0 | cc zero | 85 | cc zero
+cc0-1.0 | creative commons | 85 | creative commons zero
 cc-by-nc-sa-{v} | cc by | 92 | cc by nc sa {v} [1.0 2.0 2.5 3.0 4.0]
 cc-by-nc-nd-{v} | cc by | 92 | cc by nc nd {v} [1.0 2.0 2.5 3.0 4.0]
 cc-by-nc-{v} | cc by | 91 | cc by nc {v} [1.0 2.0 2.5 3.0 4.0]

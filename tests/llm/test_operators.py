@@ -193,6 +193,20 @@ def test_kept_detections_lie_in_no_other():
     assert not any(a != b and b[0] <= a[0] and a[1] <= b[1] and b[2].priority > a[2].priority for a in kept for b in kept)
 
 
+def test_every_alternative_of_a_rule_contains_its_gate():
+    for rule in RULES:
+        depth, alternatives = 0, [""]
+        for c in rule.pattern.pattern.removeprefix(r"(?<!\S)(?:").removesuffix(r")(?!\S)"):
+            depth += (c == "(") - (c == ")")
+            if c == "|" and not depth:
+                alternatives.append("")
+            else:
+                alternatives[-1] += c
+        assert all(rule.gate in a for a in alternatives), rule
+    for text, label in (("do what the fuck you want to public license", "wtfpl"), ("creative commons zero", "cc0-1.0"), ("mozilla public license 2 0 no copyleft exception", "mpl-2.0-no-copyleft-exception")):
+        assert label in [r.label for _, _, r in license_scan.detections(text)]
+
+
 # -- 4 --------------------------------------------------------------------------
 
 
