@@ -84,12 +84,13 @@ def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def jaccard(left: list[bytes], right: list[bytes]) -> np.ndarray:
     """Jaccard similarity of the shingle sets of left[i] and right[i]; 1 for two texts without words."""
-    out = np.ones(len(left))
-    a, _, at_a = shingles(left)
-    b, _, at_b = shingles(right)
-    for i in range(len(left)):
-        x, y = a[at_a[i] : at_a[i + 1]], b[at_b[i] : at_b[i + 1]]
-        if len(x) or len(y):
-            both = len(x) + len(y) - len(np.union1d(x, y))
-            out[i] = both / (len(x) + len(y) - both)
-    return out
+    n = len(left)
+    ids, _, at = shingles([*left, *right])
+    sizes = np.diff(at)
+    pair = np.repeat(np.concatenate((np.arange(n), np.arange(n))), sizes)
+    order = np.lexsort((ids, pair))
+    ids, pair = ids[order], pair[order]
+    # a text's shingles are distinct, so two equal neighbours are one of each side
+    both = np.bincount(pair[1:][(ids[1:] == ids[:-1]) & (pair[1:] == pair[:-1])], minlength=n)
+    union = sizes[:n] + sizes[n:] - both
+    return np.where(union > 0, both / np.maximum(union, 1), 1.0)
