@@ -185,6 +185,85 @@ eula | end user | 50 | end user license agreement
 permission-required | permission | 45 | (?:without|except with) (?:the )?(?:prior )?(?:express )?written permission
 as-is | as is | 20 | (?:provided|distributed) (?:by the \w+(?: \w+)? )?as is
 license-ref | see | 15 | see (?:the )?(?:license|licence|copying) (?:file|txt|md)
+spdx:cecill-{v} | spdx | 100 | spdx license identifier cecill {v} [1.0 2.0 2.1]
+spdx:lppl-{v} | spdx | 100 | spdx license identifier lppl {v}(?: \w)? [1.0 1.1 1.2 1.3]
+spdx:ofl-{v} | spdx | 100 | spdx license identifier ofl {v} [1.0 1.1]
+spdx:sspl-1.0 | spdx | 100 | spdx license identifier sspl 1 0
+spdx:elastic-2.0 | spdx | 100 | spdx license identifier elastic 2 0
+spdx:postgresql | spdx | 99 | spdx license identifier postgresql
+spdx:ncsa | spdx | 99 | spdx license identifier ncsa
+spdx:0bsd | spdx | 99 | spdx license identifier 0bsd
+gcc-runtime-exception | runtime library exception | 92 | gcc runtime library exception(?: <V>3(?: \d)?)?
+gpl-font-exception | font exception | 91 | (?:gpl|general public license) with (?:a |the )?font exception
+bison-exception | skeleton | 90 | you may create a larger work that contains part or all of the bison parser skeleton
+autoconf-exception | autoconf | 90 | (?:as a special exception .{0,80} )?configuration script generated by autoconf
+llvm-exception | llvm exception | 92 | apache (?:license )?<V>2 0 with llvm exceptions?
+commons-clause | commons clause | 90 | commons clause license condition(?: v ?1 0)?
+elastic-{v} | elastic license | 88 | elastic license <V>{v} [2.0]
+sspl-{v} | server side public | 88 | server side public license(?: <V>{v})? [1]
+polyform-noncommercial-{v} | polyform | 88 | polyform noncommercial license(?: {v})? [1.0.0]
+polyform-small-business-{v} | polyform | 88 | polyform small business license(?: {v})? [1.0.0]
+cecill-{v} | cecill | 88 | cecill (?:free software license agreement )?<V>{v} [1.0 1.1 2.0 2.1]
+cecill-b | cecill b | 89 | cecill b(?: free software license agreement)?
+cecill-c | cecill c | 89 | cecill c(?: free software license agreement)?
+cecill | cecill | 60 | cecill license
+mulan-psl-{v} | mulan | 88 | mulan psl <V>{v} [1 2]
+mulan-psl | mulan permissive | 80 | mulan permissive software license
+blueoak-{v} | blue oak | 88 | blue oak model license(?: {v})? [1.0.0]
+hippocratic-{v} | hippocratic | 88 | hippocratic license(?: <V>{v})? [1.2 2.1 3.0]
+lppl-{v} | latex project | 90 | latex project public license <V>{v} [1.0 1.1 1.2 1.3]
+lppl | latex project | 60 | latex project public license
+zpl-{v} | zope public | 88 | zope public license(?: zpl)? <V>{v} [1.1 2.0 2.1]
+w3c | w3c | 82 | w3c software (?:and document )?(?:notice and )?license
+unicode | unicode | 80 | unicode (?:data files and software license|license agreement data files and software)
+openssl | openssl | 80 | openssl license
+openssl | openssl toolkit | 82 | this product includes software developed by the openssl project for use in the openssl toolkit
+ncsa | university of illinois | 82 | university of illinois ncsa open source license
+postgresql | postgresql | 80 | postgresql licen[cs]e
+vim | vim license | 80 | vim license
+sleepycat | sleepycat | 80 | sleepycat license
+qpl-{v} | public license | 80 | q public license(?: <V>{v})? [1.0]
+nasa-{v} | nasa open source | 85 | nasa open source agreement(?: <V>{v})? [1.3]
+sun-public-{v} | sun public | 85 | sun public license(?: <V>{v})? [1.0]
+cpal-{v} | common public attribution | 88 | common public attribution license(?: <V>{v})? [1.0]
+rpl-{v} | reciprocal public | 88 | reciprocal public license(?: <V>{v})? [1.1 1.5]
+rpsl-{v} | realnetworks | 85 | realnetworks public source license(?: <V>{v})? [1.0]
+apsl-{v} | apple public source | 88 | apple public source license(?: <V>{v})? [1.0 1.1 1.2 2.0]
+watcom-{v} | open watcom | 85 | sybase open watcom public license(?: <V>{v})? [1.0]
+nokia | nokia open source | 80 | nokia open source license
+intel | intel open source | 80 | intel open source license
+openldap-{v} | openldap | 88 | openldap public license(?: <V>{v})? [2.7 2.8]
+cern-ohl-{v}-s | cern | 90 | cern open hardware licen[cs]e <V>{v} strongly reciprocal [2]
+cern-ohl-{v}-w | cern | 90 | cern open hardware licen[cs]e <V>{v} weakly reciprocal [2]
+cern-ohl-{v}-p | cern | 90 | cern open hardware licen[cs]e <V>{v} permissive [2]
+cern-ohl | cern | 60 | cern open hardware licen[cs]e
+tapr-ohl | tapr | 80 | tapr open hardware license
+solderpad | solderpad | 80 | solderpad hardware licen[cs]e
+openrail-m | openrail | 85 | creativeml openrail m(?: license)?
+bigscience-rail | bigscience | 85 | bigscience (?:bloom )?rail license(?: <V>1 0)?
+llama-community | community license | 82 | llama (?:\d )?community license(?: agreement)?
+cc-sampling-plus | sampling | 85 | creative commons sampling plus(?: 1 0)?
+fdl-no-invariants | invariant sections | 91 | with no invariant sections(?: no)? (?:with no )?front cover texts
+opl | open publication | 80 | open publication licen[cs]e
+free-art-{v} | free art | 85 | free art license(?: <V>{v})? [1.2 1.3]
+dsl | design science | 80 | design science license
+datenlizenz-{v} | datenlizenz | 85 | datenlizenz deutschland (?:namensnennung |zero )?(?:version )?{v} [1.0 2.0]
+crown-copyright | crown | 60 | crown copyright
+ijg | independent jpeg | 80 | based in part on the work of the independent jpeg group
+libtiff | libtiff | 80 | libtiff license
+info-zip | info zip | 80 | info zip license
+curl | curl license | 80 | curl license
+xfree86 | xfree86 | 80 | xfree86 license(?: 1 \d)?
+bitstream-vera | bitstream vera | 80 | bitstream vera fonts? (?:license|copyright)
+arphic | arphic | 80 | arphic public license
+aladdin | aladdin | 80 | aladdin free public license
+eula | software license agreement | 48 | software license agreement
+trial | evaluation | 45 | (?:for )?evaluation (?:use|purposes) only
+academic | academic | 45 | (?:for )?academic (?:use|purposes) only
+academic | educational | 45 | (?:for )?educational (?:use|purposes) only
+attribution | credit | 20 | (?:appropriate|proper) credit must be given
+no-warranty | warrant | 20 | without (?:any )?warranty of any kind
+no-liability | liable | 20 | in no event shall the (?:authors?|copyright holders?)(?: or (?:authors?|copyright holders?))? be liable
 licensed-under | licensed under | 10 | licensed under (?:the )?(?:\w+ ){0,4}license
 """
 
