@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +22,6 @@ EPOCHS, RATE, BATCH, VALIDATION = 6, 1.0, 64, 5
 REJECTED = 0.01
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
 _ASCII = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
 _PIECE = 1 << 20
 
@@ -70,12 +68,12 @@ class Model:
         return (mean if few else mean @ self.weights) + self.bias
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """(language, calibrated probability); unknown with 0 where a text is null or has no letter."""
+        """(language, calibrated probability); unknown with 0 where a text is null or has no letter (number signs aren't)."""
         if not texts:
             return [], np.empty(0)
         p = _softmax(self.logits(texts) / self.temperature)
         best = p.argmax(axis=1)
-        said = [bool(t and _LETTER.search(t)) for t in texts]
+        said = [any(map(str.isalpha, t or "")) for t in texts]  # letters are the Unicode categories L
         return [self.languages[b] if s else UNKNOWN for b, s in zip(best, said, strict=True)], np.where(said, p.max(axis=1), 0.0)
 
 
