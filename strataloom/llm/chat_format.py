@@ -23,15 +23,16 @@ def preference_pairs(turns: DataFrame, pair_col: str = "pair_id", chosen_col: st
     A pair with one conversation alone has an empty prompt and one completion; equal conversations have a prompt
     only. Rows that repeat count once. Several different texts under one turn all stay, in the order of role and
     text, and a turn is common only if both sides hold the same. Null texts render as empty, a null role as
-    `unknown`; null turns never belong to the prompt; null pair ids form one pair. Other columns are ignored.
+    `unknown`; null turns never belong to the prompt; null pair ids form one pair; a null `chosen` counts as rejected.
+    Ids and turns may have any type that orders; long texts are one value of one row; other columns are ignored,
+    whatever their names; an empty table gives no segments.
 
     Two hash aggregations and one equi-join by pair; a row stays a turn, so no conversation is gathered.
     """
-    key = [F.coalesce(F.col(pair_col), F.lit(-1)).alias("pair"), F.col(pair_col).isNull().alias("z")]
-    rows = turns.select(*key, F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"), F.col(chosen_col).alias("chosen"))
-    both = rows.groupBy("pair", "z", "turn", "role", "text").agg(F.bool_or("chosen").alias("c"), F.bool_or(~F.col("chosen")).alias("r"))
-    differ = both.groupBy("pair", "z").agg(F.min(F.when(~(F.col("c") & F.col("r")), F.col("turn"))).alias("differ"))
-    placed = both.join(differ, ["pair", "z"])
+    rows = turns.select(F.col(pair_col).alias("pair"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"), F.coalesce(F.col(chosen_col), F.lit(False)).alias("chosen"))
+    both = rows.groupBy("pair", "turn", "role", "text").agg(F.bool_or("chosen").alias("c"), F.bool_or(~F.col("chosen")).alias("r"))
+    differ = both.groupBy(F.col("pair").alias("of")).agg(F.min(F.when(~(F.col("c") & F.col("r")), F.col("turn"))).alias("differ"))
+    placed = both.join(differ, F.col("pair").eqNullSafe(F.col("of")))
     common = F.col("c") & F.col("r") & F.col("turn").isNotNull() & (F.col("differ").isNull() | (F.col("turn") < F.col("differ")))
     side = lambda flag, name: F.when(F.col(flag), F.lit(name))
     parts = F.when(common, F.array(F.lit("prompt"))).otherwise(F.array_compact(F.array(side("c", "chosen"), side("r", "rejected"))))
@@ -41,7 +42,7 @@ def preference_pairs(turns: DataFrame, pair_col: str = "pair_id", chosen_col: st
     rendered = F.concat(header, text, F.lit(FOOTER))
     loss = (F.col("part") != "prompt") & (role == "assistant")
     return out.select(
-        F.when(~F.col("z"), F.col("pair")).alias("pair_id"), "part", "turn", role.alias("role"), rendered.alias("rendered"), F.length(rendered).cast("long").alias("n_chars"),
+        F.col("pair").alias("pair_id"), "part", "turn", role.alias("role"), rendered.alias("rendered"), F.length(rendered).cast("long").alias("n_chars"),
         F.when(loss, F.length(header).cast("long")).alias("loss_from"), F.when(loss, F.length(rendered).cast("long")).alias("loss_to"),
     )
 
