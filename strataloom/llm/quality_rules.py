@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import SPACE, table
+from strataloom.llm.common import SPACE, quoted, table
 
 #: Frequent short words of English, French, German and Spanish.
 STOP_WORDS = tuple(
@@ -73,20 +73,20 @@ def _repeat_words(words: Column) -> Column:
     return F.when(some, found).otherwise(0)
 
 
-def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, stop_words: tuple[str, ...] = STOP_WORDS, text_col: str = "text") -> DataFrame:
-    """docs with the struct column `quality`: measures, base_failed, kept and the names of the rules that failed.
+def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, stop_words: tuple[str, ...] = STOP_WORDS, text_col: str = "text", out: str = "quality") -> DataFrame:
+    """docs with the struct column `out`: measures, base_failed, kept and the names of the rules that failed.
 
     A row-wise projection of built-in functions: no shuffle, any text length, n log n in the words of a text. A null
     or empty text has no words, so it fails the base rules and isn't kept. Repeated rows are judged alike; an input
-    column named `quality` is replaced, all others stay.
+    column of that name, in any case, is replaced, all others stay, whatever their names; an empty table stays empty.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    carry = [c for c in docs.columns if c != "quality"]
+    carry = [quoted(c) for c in docs.columns if c.lower() != out.lower()]
     # exploding an array of one element keeps a struct from being copied into every expression that reads it; the outer
     # form gets no inferred filter, which would compute the struct again
-    once = lambda df, *cols: df.select(*carry, F.explode_outer(F.array(F.struct(*cols))).alias("quality"))
+    once = lambda df, *cols: df.select(*carry, F.explode_outer(F.array(F.struct(*cols))).alias(out))
     one = once(docs, text.alias("t"), _words(text).alias("w"), F.split(text, "\n").alias("l"))
-    t, words, lines = F.col("quality.t"), F.col("quality.w"), F.col("quality.l")
+    t, words, lines = (quoted(out)[x] for x in "twl")
     real = F.filter(lines, lambda x: x.rlike(f"[^{SPACE}]"))
     bare = F.transform(words, lambda x: F.lower(F.rtrim(x, F.lit(".,;:!?"))))
     two = once(
@@ -103,7 +103,7 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, stop_words:
         F.size(F.filter(real, lambda x: x.rlike(f"^[{SPACE}]*[-*•]"))).alias("n_bullet"),
         F.size(F.filter(real, lambda x: x.rlike(f"(\\.\\.\\.|…)[{SPACE}]*$"))).alias("n_ellipsis"),
     )
-    q = lambda name: F.col(f"quality.{name}")
+    q = lambda name: quoted(out)[name]
     ratio = lambda a, b: F.try_divide(q(a).cast("double"), q(b).cast("double"))
     measures = {
         "mean_word": ratio("word_chars", "n_words"),
@@ -118,7 +118,7 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, stop_words:
     failed = F.array_compact(F.array(*[F.when((q("n_words") >= r.at_least) & ~F.coalesce(measures[r.measure].between(r.low, r.high), F.lit(True)), F.lit(r.name)) for r in rules]))
     base_failed = (q("n_words") < 50) | (100 * q("n_repeat_words") > 50 * q("n_words"))
     return two.withColumn(
-        "quality",
+        out,
         F.struct(
             *[q(n) for n in ("n_words", "word_chars", "n_symbols")],
             (q("n_lines") - q("n_distinct")).alias("n_dup_lines"),
