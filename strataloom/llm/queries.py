@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_near_dedup": near_dedup.ORACLE,
     "op5_source_mix": source_mix.ORACLE,
     "op6_quality_rules": quality_rules.ORACLE,
     "op9_chat_format": chat_format.ORACLE,

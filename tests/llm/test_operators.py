@@ -5,20 +5,24 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from strataloom.llm import chat_format, exact_dedup, language_id, license_scan, near_dedup, packing, quality_rules, source_mix, substring_dedup, token_counts
 from strataloom.llm.bpe import vocabulary
+from strataloom.llm.common import Scratch, maybe_in, shared_dir, spread_join
 from strataloom.llm.components import components
 from strataloom.llm.hilbert import hilbert_key
-from strataloom.llm.license_rules import RULES
+from strataloom.llm.license_rules import RULES, SIGNATURES
 from strataloom.llm.shingles import jaccard, shingles
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -314,8 +318,9 @@ def test_components(spark):
     for a, b in edges:
         a, b = sorted((top(a), top(b)))
         up[b] = a
-    assert dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect())) == {x: top(x) for x in up}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    scratch = Scratch(spark, "test")
+    assert dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long"), scratch).collect())) == {x: top(x) for x in up}
+    assert components(spark.createDataFrame([], "a long, b long"), scratch).count() == 0
 
 
 # -- 5 --------------------------------------------------------------------------
@@ -507,3 +512,177 @@ def test_exact_groups_part_on_every_level(spark):
 def test_exact_query_gives_the_digest(spark):
     r = exact_dedup.query(spark, "/root/testdata/sf0.001").join(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text"), "doc_id").first()
     assert r["text_sha256"] == hashlib.sha256(SPACE.sub("", r["text"]).encode()).hexdigest()
+
+
+# -- what the operators share ----------------------------------------------------
+
+
+def test_spread_join_deals_hot_keys(spark):
+    rows = spark.range(4000).selectExpr("if(id < 3000, 0, id) AS k", "id AS v")
+    groups = Scratch(spark, "test").write(rows.groupBy("k").count().filter("k % 2 = 0").withColumn("name", F.concat(F.lit("g"), "k")), "groups")
+    want = {(k, v, f"g{k}") for v in range(4000) if (k := 0 if v < 3000 else v) % 2 == 0}
+    joined = spread_join(rows, groups, ["k"], "count", "v").select("k", "v", "name")
+    assert {tuple(r) for r in joined.collect()} == want and joined.count() == len(want)
+    assert spread_join(rows, groups, ["k"], "count", "v", "left").filter("name is null").count() == 500
+
+
+def test_bitmap_filter_misses_nothing(spark):
+    wanted = Scratch(spark, "test").write(spark.range(500).select(F.xxhash64("id").alias("hash")), "hashes")
+    rows = spark.range(20_000).select("id", F.xxhash64("id").alias("hash"))
+    got = {r["id"] for r in maybe_in(rows, wanted, "hash").collect()}
+    assert set(range(500)) <= got and len(got) < 4000
+    assert maybe_in(rows, wanted.filter("false"), "hash").count() == 0
+
+
+def test_a_cluster_needs_a_shared_folder():
+    conf = SimpleNamespace(get=lambda *_: None)
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
+
+
+def test_clashing_names(spark):
+    names = ["Quality", "EXACT", "__x_rest", "__x_", "row", "a.b", "Size", "n_words", "bands", "tie", "KEY", "uid", "class"]
+    rows = [(1, "one two three four five six"), (2, "one two three four five six"), (3, None)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text"]).withColumns({"source": F.lit("s")} | {n: F.lit("x") for n in names})
+    assert quality_rules.quality_rules(docs).count() == 3
+    kept = {r["doc_id"]: r["exact"]["kept"] for r in exact_dedup.exact_dedup(docs).collect()}
+    assert kept == {1: True, 2: False, 3: True}
+    assert {r["doc_id"] for r in near_dedup.near_dedup(docs).filter("kept").collect()} == {1, 3}
+    assert source_mix.source_mix(docs).count() == 3 and packing.packing(docs, PATH).agg(F.sum("length")).first()[0] == 15
+    assert license_scan.license_scan(docs).count() == token_counts.token_counts(docs, PATH).count() == 3
+
+
+# -- 3, again --------------------------------------------------------------------
+
+
+def test_contained_detections_go_as_by_the_definition():
+    rng = random.Random(5)
+    pieces = ["apache license version 2 0", "licensed under the apache license version 2 0", "gnu general public license version 2 or any later version", "general public license", "cc by sa 4 0", "creative commons", "all rights reserved", "mit license", "copyright c 2020 2021", "as is", "x", "y z"]
+    for _ in range(60):
+        text = " ".join(rng.choices(pieces, k=rng.randint(1, 40)))
+        found = sorted((-r.priority, i, *m.span(), r) for i, r in enumerate(RULES) if r.gate in text for m in r.pattern.finditer(text))
+        kept = []
+        for _, _, a, b, r in found:
+            if not any(x <= a and b <= y for x, y, _ in kept):
+                kept.append((a, b, r))
+        assert license_scan.detections(text) == sorted(kept, key=lambda x: (x[0], x[1]))
+        got = license_scan.scan_text(text)
+        assert got["spans"] == [(text.count(" ", 0, a), text.count(" ", 0, b) + 1, r.label) for a, b, r in sorted(kept, key=lambda x: (x[0], x[1]))]
+
+
+def test_a_file_of_notices_takes_seconds():
+    began = time.monotonic()
+    got = license_scan.scan_text("All rights reserved. é " * 100_000)
+    assert time.monotonic() - began < 20
+    assert (got["n_base"], len(got["spans"]), got["first_word"], got["last_word"]) == (100_000, 100_000, 0, 399_996)
+
+
+def test_hundreds_of_patterns_are_written_by_hand():
+    lines = [line.split(" | ", 3)[3] for line in SIGNATURES.strip().splitlines()]
+    assert len(set(lines)) == len(lines) >= 200
+
+
+# -- 1, again --------------------------------------------------------------------
+
+
+def brute_spans(rows, least):
+    """The definition, byte by byte: (doc, start, length, first_doc)."""
+    gear = [int(x) for x in substring_dedup._GEAR]
+    blank = b" \t\n\x0b\x0c\r"
+
+    def pieces(raw):
+        h = []
+        for i in range(len(raw)):
+            back = raw[max(0, i - 31) : i + 1]
+            h.append(sum(gear[b] << (len(back) - 1 - k) for k, b in enumerate(back)) % (1 << 32))
+        full = [x if i >= 31 else 0 for i, x in enumerate(h)]
+        tops = [i for i, x in enumerate(full) if x and x == max(full[max(0, i - 20) : i + 21])]
+        ends = [i + 1 for k, i in enumerate(tops) if not k or i - tops[k - 1] > 20]
+        ends = [e for e in ends if e < len(raw)] + [len(raw)] * bool(raw)
+        out = [(a, b, False) for a, b in zip([0, *ends], ends, strict=False)]
+        word = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+        at = [k for k, (_, e) in enumerate(word) if e < len(raw)]
+        chosen = {max(at[k : k + 20], key=lambda w: (h[word[w][1]], w)) for k in range(len(at) - 19)}
+        out += [(word[w - 15][0], word[w + 16][1], True) for w in chosen if w >= 15 and w + 16 < len(word)]
+        return [(a, b, wide, raw[a:b]) for a, b, wide in out]
+
+    docs = {(i, (t or "").encode()) for i, t in rows}
+    cut = {d: pieces(d[1]) for d in docs}
+    holders = defaultdict(set)
+    for d, ps in cut.items():
+        for *_, content in ps:
+            holders[content].add(d)
+    out = []
+    for (i, raw), ps in cut.items():
+        first, wide = [()] * len(raw), [False] * len(raw)
+        touch = [False] * (len(raw) + 1)
+        for a, b, w, content in ps:
+            if len(holders[content]) > 1:
+                low = min((d[0] for d in holders[content] if d[0] is not None), default=None)
+                for k in range(a, b):
+                    first[k] = (min([x for x in (*first[k], low) if x is not None], default=None),)
+                    wide[k] |= w
+                    touch[k] = True
+        k = 0
+        while k < len(raw):
+            if not touch[k]:
+                k += 1
+                continue
+            end = k
+            while touch[end]:
+                end += 1
+            if any(wide[k:end]) or end - k >= least:
+                while k < end:
+                    stop = k
+                    while stop < end and first[stop] == first[k]:
+                        stop += 1
+                    out.append((i, k, stop - k, first[k][0]))
+                    k = stop
+            k = end
+    return out
+
+
+def test_spans_as_by_the_definition(spark):
+    rng = random.Random(23)
+    shared, template = words(rng, 70), words(rng, 45)
+    rows = [(1, template + " " + words(rng, 40)), (2, words(rng, 30) + " " + template + " " + shared), (3, template + " " + shared + " " + words(rng, 20)), (4, shared), (5, shared), (6, None), (7, ""), (None, words(rng, 8) + " " + shared), (8, "aa " * 300), (9, "aa " * 250), (9, "aa " * 250)]
+    rows += [(20 + i, words(rng, rng.randint(1, 80)) + " " + rng.choice([shared, template, ""])[: rng.randint(0, 500)]) for i in range(25)]
+    got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(repr, ((r["doc_id"], r["start"], r["length"], r["first_doc_id"]) for r in got))) == sorted(map(repr, brute_spans(rows, substring_dedup.LEAST)))
+    assert all(r["kept"] == (r["first_doc_id"] == r["doc_id"]) for r in got)
+
+
+# -- 7, again --------------------------------------------------------------------
+
+
+def test_sequences_follow_the_curve(spark):
+    rng = random.Random(3)
+    rows = [(i, words(rng, rng.randint(5, 400))) for i in range(150)]
+    got = packing.packing(spark.createDataFrame(rows, "doc_id long, text string"), PATH).filter("start = 0").orderBy("sequence_id", "offset").collect()
+    e = packing.encoder(PATH)
+    keys = dict(zip((i for i, _ in rows), packing.curve_keys([e.encode(t) for _, t in rows], e.kind, e.vocabulary.size).tolist(), strict=True))
+    along = [keys[r["doc_id"]] for r in got]
+    assert along == sorted(along) and len(set(along)) > 100
+
+
+# -- 8, again --------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(("text", "letters"), [("½", False), ("12 ²", False), ("Ⅷ", False), ("7", False), ("_-!", False), ("ª", True), ("日", True), ("x1", True)])
+def test_only_letters_are_letters(text, letters):
+    model = language_id.train(["le chat dort", "the cat sleeps"] * 10, ["fr", "en"] * 10)
+    lang, score = model.predict([text])
+    assert (lang[0] != "und") == letters == (score[0] > 0)
+
+
+# -- 9, again --------------------------------------------------------------------
+
+
+def test_preference_pairs_of_any_kind(spark):
+    rows = [("p", True, 0, "user", "hi"), ("p", None, 0, "user", "hi"), ("p", True, 1, "assistant", "a" * 300_000), ("p", False, 1, "assistant", "b"), (None, None, 0, "user", "x"), (None, True, 0, "user", "x"), ("q", None, None, None, None)]
+    turns = spark.createDataFrame(rows, "pair_id string, chosen boolean, turn long, role string, text string").withColumns({"pair": F.lit(1), "of": F.lit(2), "C": F.lit(3)})
+    got = {(r["pair_id"], r["part"], r["turn"], r["n_chars"]) for r in chat_format.preference_pairs(turns).collect()}
+    mark = len("<|user|>\n<|end|>\n")
+    assert {g[:3] for g in got} == {("p", "prompt", 0), ("p", "chosen", 1), ("p", "rejected", 1), (None, "prompt", 0), ("q", "rejected", None)}
+    assert ("p", "prompt", 0, mark + 2) in got and max(g[3] for g in got) > 300_000
+    assert chat_format.preference_pairs(turns.limit(0)).count() == 0
