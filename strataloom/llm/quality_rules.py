@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,10 +46,23 @@ _WINDOW = 3
 
 
 def _words(text: Column) -> Column:
-    edge = F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    edge = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
     return F.when(edge == "", F.array().cast("array<string>")).otherwise(F.split(edge, f"[{SPACE}]+"))
 
 
+def _whole_words(text: Column, pattern: str) -> Column:
+    """Number of words that match pattern from end to end; tried behind white space alone, so linear in the text."""
+    return F.regexp_count(F.concat(F.lit(" "), text, F.lit(" ")), F.lit(f"[{SPACE}](?:{pattern})(?=[{SPACE}])"))
+
+
+def _any_of(words: tuple[str, ...]) -> str:
+    """A pattern for the words that branches on their first letters."""
+    first: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        first.setdefault(w[0], []).append(re.escape(w[1:]))
+    return "|".join(f"{re.escape(k)}(?:{'|'.join(rest)})" for k, rest in first.items())
+
+
 def _repeat_words(words: Column) -> Column:
     """Words inside three-word windows that occur twice or more in the text.
 
@@ -59,7 +73,7 @@ def _repeat_words(words: Column) -> Column:
     window = lambda i: F.concat_ws("\n", *[F.get(words, i + k) for k in range(_WINDOW)])  # noqa: E731  words hold no line feed
     places = F.when(n >= _WINDOW, F.sequence(F.lit(0), n - _WINDOW)).otherwise(F.array().cast("array<int>"))
     hashed = F.transform(places, lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
-    some = F.size(F.array_distinct(hashed)) < F.size(hashed)  # equal windows have equal hashes, so none is missed
+    some = F.size(F.array_distinct(hashed)) < F.size(places)  # equal windows have equal hashes, so none is missed
 
     def starts(pairs: Column) -> Column:
         text = lambda k: F.get(pairs, k)["w"]
@@ -85,20 +99,18 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, stop_words:
     # exploding an array of one element keeps a struct from being copied into every expression that reads it; the outer
     # form gets no inferred filter, which would compute the struct again
     once = lambda df, *cols: df.select(*carry, F.explode_outer(F.array(F.struct(*cols))).alias(out))
-    one = once(docs, text.alias("t"), _words(text).alias("w"), F.split(text, "\n").alias("l"))
-    t, words, lines = (quoted(out)[x] for x in "twl")
-    real = F.filter(lines, lambda x: x.rlike(f"[^{SPACE}]"))
-    bare = F.transform(words, lambda x: F.lower(F.rtrim(x, F.lit(".,;:!?"))))
+    one = once(docs, text.alias("t"), _words(text).alias("w"), F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SPACE}]")).alias("l"))
+    t, words, real = (quoted(out)[x] for x in "twl")
     two = once(
         one,
         F.size(words).cast("long").alias("n_words"),
-        F.length(F.regexp_replace(t, f"[{SPACE}]+", "")).cast("long").alias("word_chars"),
+        F.length(F.translate(t, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         F.size(real).cast("long").alias("n_lines"),
         F.size(F.array_distinct(real)).cast("long").alias("n_distinct"),
         _repeat_words(words).cast("long").alias("n_repeat_words"),
-        F.size(F.filter(bare, lambda x: x.isin(list(stop_words)))).alias("n_stop"),
-        F.size(F.filter(words, lambda x: x.rlike("\\p{L}"))).alias("n_alpha"),
+        _whole_words(F.lower(t), f"(?:{_any_of(stop_words)})[.,;:!?]*+").alias("n_stop"),
+        (F.size(words) - _whole_words(t, f"[^{SPACE}\\p{{L}}]++")).alias("n_alpha"),
         F.length(F.regexp_replace(t, "[^\\p{Lu}]+", "")).alias("n_upper"),
         F.size(F.filter(real, lambda x: x.rlike(f"^[{SPACE}]*[-*•]"))).alias("n_bullet"),
         F.size(F.filter(real, lambda x: x.rlike(f"(\\.\\.\\.|…)[{SPACE}]*$"))).alias("n_ellipsis"),
@@ -131,7 +143,7 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, stop_words:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents", deal=True).select("doc_id", "text")
     return quality_rules(docs).select("doc_id", *[f"quality.{n}" for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
 
