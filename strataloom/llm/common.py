@@ -17,8 +17,10 @@ from strataloom.plans.session import ship
 SPACE = r"\x20\x09-\x0D"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, deal: bool = False) -> DataFrame:
+    """A table; where deal is set and it has fewer pieces than there are cores, dealt to all of them by rows."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if deal and df.rdd.getNumPartitions() < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -173,5 +173,5 @@ def language_id(docs: DataFrame, model: Model | None, id_col: str = "doc_id", te
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", deal=True)
     return language_id(docs, fit(docs))

@@ -169,4 +169,4 @@ def packing(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing(table(spark, sf_dir, "documents", deal=True), public_tokenizers.path("word_bpe_49k.json"))

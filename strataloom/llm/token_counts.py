@@ -63,4 +63,4 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return token_counts(table(spark, sf_dir, "documents", deal=True), public_tokenizers.path("word_bpe_49k.json"))
