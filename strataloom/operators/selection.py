@@ -22,8 +22,13 @@ def select_files(entries: DataFrame, keys: list[str] | None = None, max_files: i
     Paths order by code point. Eligible entries beyond the cap have the reason `over-max-files`.
     """
     rows = classify_tree(entries, max_file_size).withColumn("score", F.when(F.col("include"), paths.priority(F.col("path"), F.col("size"))))
-    place = F.row_number().over(Window.partitionBy(*(keys or []), "include").orderBy(F.desc("score"), "path"))
-    rows = rows.withColumn("selected", F.col("include") & (place <= max_files))
+    best = [F.desc("score"), F.col("path")]
+    if keys:
+        place = F.row_number().over(Window.partitionBy(*keys, "include").orderBy(*best))
+        rows = rows.withColumn("selected", F.col("include") & (place <= max_files))
+    else:  # one repository: each task keeps its best max_files rows, so no task sorts them all
+        top = rows.filter("include").orderBy(*best).limit(max_files).select("path", F.lit(True).alias("__top")).distinct()
+        rows = rows.join(top, "path", "left").withColumn("selected", F.col("include") & F.coalesce("__top", F.lit(False))).select(*rows.columns, "selected")
     return rows.withColumn("reason", F.when(F.col("include") & ~F.col("selected"), "over-max-files").otherwise(F.col("reason")))
 
 

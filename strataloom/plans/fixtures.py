@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 
 Rows = list[tuple]
@@ -121,3 +123,30 @@ DELIVERIES: Rows = [
     ("d11", "pull_request", _PULL.format("opened", "false"), "2024-01-01 00:00:11"), ("d12", "pull_request", _PULL.format("labeled", "false"), "2024-01-01 00:00:12"), ("d13", "pull_request", _PULL.format("ready_for_review", "true"), "2024-01-01 00:00:13"), ("d14", "star", "{}", "2024-01-01 00:00:14"),
     ("d15", "installation", '{"action": "created", "installation": {"id": 5}, "sender": {"id": 6}}', "2024-01-01 00:00:15"), ("d16", "installation", '{"action": "created"}', "2024-01-01 00:00:16"), ("d17", "installation_repositories", "{}", "2024-01-01 00:00:17"),
 ]
+
+PUSHES_SCHEMA = "n int, branch string, indexed_branch string, status string"
+PUSHES: Rows = [(1, "main", "main", "indexed"), (2, "dev", "main", "indexed"), (3, "main", None, "not_indexed"), (4, "dev", "main", "not_indexed"), (5, "main", "", "partial"), (6, None, "main", "indexed")]
+PR_FILES_SCHEMA = "pr string, path string, changes int, status string, patch string, content string"
+PR_FILES: Rows = [
+    ("a", "src/one.js", 40, "modified", "@@", "x" * 30), ("a", "src/two.js", 30, "modified", "@@", "y" * 40), ("a", "src/three.js", 20, "added", "@@", "z" * 25), ("a", "src/gone.js", 90, "removed", "@@", None), ("a", "logo.png", 80, "added", None, None),
+    ("a", "src/four.js", 10, "modified", "@@", "w"), ("b", "src/one.test.js", 9, "modified", "@@", "t"), ("b", "src/bin.js", 8, "modified", "@@", None), ("b", "src/five.js", 7, "modified", "@@", "v" * 61), ("b", "src/six.js", 6, "modified", "@@", "u" * 60),
+]
+FINDINGS_SCHEMA = "pr string, place int, severity string, confidence string, file_path string, line int, title string"
+FINDINGS: Rows = [
+    ("a", 1, "LOW", "LIKELY", "src/one.js", 4, "slow"), ("a", 2, "HIGH", "CONFIRMED", "src/two.js", 0, "leak"), ("a", 3, "HIGH", "POSSIBLE", "src/other.js", 3, "elsewhere"), ("a", 4, "HIGH", "INSUFFICIENT_CONTEXT", "src/other.js", 3, "unsure"),
+    ("a", 5, "MEDIUM", "LIKELY", None, 0, "general"), ("a", 6, "ODD", "LIKELY", "src/one.js", 1, "no level"), ("b", 1, "LOW", "LIKELY", "src/one.js", 2, "of another one"), ("b", 2, "LOW", "LIKELY", "src/six.js", 2, "kept"),
+]
+TARGETS_SCHEMA = "kind int, place int, path string"
+TARGETS: Rows = [(0, 0, "src/b.js"), (0, 1, "src/a.test.js"), (0, 2, "src/b.js"), (1, 0, "src/b.js"), (1, 1, "src/c.test.js"), (1, 2, "src/d.js"), (1, 3, "src/e.js")]
+
+
+def _review(**changed) -> str:
+    finding = {"severity": "LOW", "confidence": "LIKELY", "title": "t", "issue": "i", "recommendation": "r"} | changed.pop("finding", {})
+    return json.dumps({"summary": "fine", "verdict": "comment", "riskLevel": "LOW", "findings": [finding] * changed.pop("times", 1)} | changed)
+
+
+REVIEWS_SCHEMA = "n int, answer string"
+REVIEWS: Rows = [
+    (1, _review()), (2, _review(summary="")), (3, _review(summary="s" * 1501)), (4, _review(verdict="maybe")), (5, _review(riskLevel=None)), (6, _review(times=26)), (7, _review(times=25)), (8, _review(finding={"severity": "BAD"})),
+    (9, _review(finding={"title": "t" * 161})), (10, _review(finding={"line": -1})), (11, _review(finding={"line": None})), (12, _review(testGaps=["g"] * 11)), (13, _review(testGaps=None)), (14, "no answer"), (15, "[1]"), (16, None), (17, "{}"),
+]

@@ -8,6 +8,7 @@ and the sales tables are a weighted graph.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from strataloom.functions import paths, text
 from strataloom.functions import rules as R
 from strataloom.functions.expr import let
-from strataloom.operators import access, chunking, graph, impact, jobs, manifests, packing, patches, retrieval, rollups, selection, upserts, vectors, windows
+from strataloom.operators import access, answers, chunking, graph, impact, indexing, jobs, manifests, packing, patches, retrieval, review, rollups, selection, upserts, vectors, views, windows
 from strataloom.operators.extract import analyze
 from strataloom.plans import fixtures as X
 from strataloom.sources.tables import compare_trees, table
@@ -390,10 +391,10 @@ def secret_scrub(spark, sf_dir):
 
 @query("""
 WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)
-SELECT doc_id, array_to_string(list_transform(l[1:20], lambda x, i: lpad(i::varchar, 4, ' ') || '| ' || x), chr(10)) AS numbered, array_to_string(l[3:7], chr(10)) AS part FROM t""")
+SELECT doc_id, array_to_string(list_transform(l, lambda x, i: lpad(i::varchar, 4, ' ') || '| ' || x), chr(10)) AS numbered, array_to_string(l[3:7], chr(10)) AS part FROM t""")
 def numbered_lines(spark, sf_dir):
     body = F.col("text")
-    return _docs(spark, sf_dir).select("doc_id", text.numbered(text.line_slice(body, F.lit(1), F.lit(20))).alias("numbered"), text.line_slice(body, F.lit(3), F.lit(7)).alias("part"))
+    return _docs(spark, sf_dir).select("doc_id", text.numbered(body).alias("numbered"), text.line_slice(body, F.lit(3), F.lit(7)).alias("part"))
 
 
 @query(f"""
@@ -525,6 +526,121 @@ def symbol_search(spark, sf_dir):
     return impact.search_symbols(X.frame(spark, X.SYMBOLS, X.SYMBOLS_SCHEMA), "AU").select("name", "file_path", "kind")
 
 
+# -- indexing, review and lists ---------------------------------------------------
+
+
+def _tree(spark):
+    return demo_files(spark).select(F.col("file_path").alias("path"), F.octet_length("content").alias("size"), "content")
+
+
+@query()
+def index_full(spark, sf_dir):
+    out = indexing.index_full(_tree(spark))
+    parts = [out[name].groupBy(F.col(column).alias("file_path")).agg(F.count("*").alias("n")).withColumn("part", F.lit(name)) for name, column in indexing.FILE_OF.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query()
+def index_incremental(spark, sf_dir):
+    """The last file of the tree arrives by a push: the tables equal those of the whole tree."""
+    tree = _tree(spark)
+    last = tree.agg(F.max("path").alias("path"))
+    old = indexing.index_full(tree.join(last, "path", "left_anti"))
+    changes = last.select(F.lit(0).alias("place"), F.col("path").alias("file_path"), F.lit("added").alias("kind"))
+    out = indexing.index_incremental(old, changes, tree)
+    parts = [out[name].groupBy(F.col(column).alias("file_path")).agg(F.count("*").alias("n")).withColumn("part", F.lit(name)) for name, column in indexing.FILE_OF.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(f"SELECT n, CASE WHEN coalesce(indexed_branch, '') <> '' AND branch IS DISTINCT FROM indexed_branch THEN 'other-branch' WHEN status = 'not_indexed' THEN 'not-indexed' END AS refusal FROM {X.values(X.PUSHES, X.PUSHES_SCHEMA)}")
+def sync_guards(spark, sf_dir):
+    return X.frame(spark, X.PUSHES, X.PUSHES_SCHEMA).select("n", indexing.sync_refusal(F.col("branch"), F.col("indexed_branch"), F.col("status")).alias("refusal"))
+
+
+@query("""
+WITH f AS (SELECT source AS pr, doc_id::varchar AS path, n_chars AS changes, text AS patch, coalesce(lang, 'removed') AS status FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY pr ORDER BY changes DESC, path) AS place FROM f WHERE patch IS NOT NULL AND patch <> '' AND status <> 'removed')
+SELECT pr, path, changes, place FROM p WHERE place <= 12""")
+def review_files(spark, sf_dir):
+    files = _docs(spark, sf_dir).select(F.col("source").alias("pr"), F.col("doc_id").cast("string").alias("path"), F.col("n_chars").alias("changes"), F.col("text").alias("patch"), F.coalesce("lang", F.lit("removed")).alias("status"))
+    return review.review_files(files, "pr").select("pr", "path", "changes", "place")
+
+
+@query(f"""
+WITH RECURSIVE f AS (SELECT t.* FROM {X.values(X.PR_FILES, X.PR_FILES_SCHEMA)}), p AS (SELECT *, row_number() OVER (PARTITION BY pr ORDER BY changes DESC, path) AS place FROM f WHERE patch IS NOT NULL AND patch <> '' AND status <> 'removed'),
+c AS (SELECT *, row_number() OVER (PARTITION BY pr ORDER BY place) AS i FROM p WHERE place <= 4 AND NOT contains(path, '.test.') AND content IS NOT NULL),
+w(pr, i, path, used, take) AS (SELECT pr, 0::bigint, '', 0::bigint, false FROM (SELECT DISTINCT pr FROM c)
+ UNION ALL SELECT c.pr, c.i, c.path, CASE WHEN w.used + length(c.content) <= 60 THEN w.used + length(c.content) ELSE w.used END, w.used + length(c.content) <= 60 FROM w JOIN c ON c.pr = w.pr AND c.i = w.i + 1)
+SELECT pr, path FROM w WHERE take""")
+def review_context(spark, sf_dir):
+    files = X.frame(spark, X.PR_FILES, X.PR_FILES_SCHEMA)
+    return review.file_context(review.review_files(files, "pr"), files, "pr", 60).select("pr", "path")
+
+
+@query(f"""
+WITH e AS (SELECT t.* FROM {X.values(X.EDGES, X.EDGES_SCHEMA)}), d AS (SELECT *, row_number() OVER (ORDER BY from_file, line, type, to_name, to_file) AS place FROM e WHERE type IN ('imports', 'calls') AND to_file IN ('src/billing.js', 'src/orders.js'))
+SELECT place::int AS place, from_file || ':' || line || ' ' || CASE WHEN from_symbol = '' THEN '<module>' ELSE from_symbol END || ' ' || type || ' ' || to_name || ' (' || to_file || ')' AS dependant FROM d WHERE place <= 30""")
+def review_dependants(spark, sf_dir):
+    return review.dependants(X.frame(spark, X.EDGES, X.EDGES_SCHEMA), X.frame(spark, [("src/billing.js",), ("src/orders.js",)], "path string"))
+
+
+@query(f"""
+WITH f AS (SELECT t.* FROM {X.values(X.FINDINGS, X.FINDINGS_SCHEMA)}), k AS (SELECT * FROM f WHERE coalesce(file_path, '') = '' OR confidence = 'INSUFFICIENT_CONTEXT' OR EXISTS (SELECT 1 FROM (SELECT t.* FROM {X.values(X.PR_FILES, X.PR_FILES_SCHEMA)}) p WHERE p.pr = f.pr AND p.path = f.file_path)),
+g AS (SELECT pr, severity, place, title || ' (' || coalesce(file_path, '') || CASE WHEN line > 0 THEN ':' || line ELSE '' END || ', ' || confidence || ')' AS said FROM k WHERE severity IN ('HIGH', 'MEDIUM', 'LOW'))
+SELECT pr, severity, count(*) AS n, string_agg(said, chr(10) ORDER BY place) AS report FROM g GROUP BY pr, severity""")
+def findings_report(spark, sf_dir):
+    kept = review.kept_findings(X.frame(spark, X.FINDINGS, X.FINDINGS_SCHEMA), X.frame(spark, X.PR_FILES, X.PR_FILES_SCHEMA), "pr")
+    grouped = review.by_severity(kept.withColumn("file_path", F.coalesce("file_path", F.lit(""))), "pr")
+    return grouped.select("pr", "severity", "n", F.array_join(F.transform("items", review.finding_line), "\n").alias("report"))
+
+
+@query(f"""
+WITH t AS (SELECT t.* FROM {X.values(X.TARGETS, X.TARGETS_SCHEMA)}), e AS (SELECT path, min((kind, place)) AS o FROM t WHERE kind = 0 OR NOT contains(path, '.test.') GROUP BY path)
+SELECT path, row_number() OVER (ORDER BY o, path)::int AS place FROM e ORDER BY o, path LIMIT 3""")
+def change_targets(spark, sf_dir):
+    rows = X.frame(spark, X.TARGETS, X.TARGETS_SCHEMA)
+    return review.ranked_targets(rows.filter("kind = 0"), rows.filter("kind = 1"), 15_400)
+
+
+@query(f"""
+WITH a AS (SELECT n, CASE WHEN json_valid(answer) AND json_type(answer) = 'OBJECT' THEN answer::json END AS j FROM {X.values(X.REVIEWS, X.REVIEWS_SCHEMA)}),
+f AS (SELECT n, j, CASE WHEN json_type(j, '$.findings') = 'ARRAY' THEN from_json(j -> 'findings', '[{{"severity":"VARCHAR","confidence":"VARCHAR","title":"VARCHAR","issue":"VARCHAR","recommendation":"VARCHAR","line":"INTEGER"}}]') END AS l FROM a)
+SELECT n, CASE WHEN j IS NULL THEN 'json' WHEN NOT coalesce(length(j ->> 'summary') BETWEEN 1 AND 1500, false) THEN 'summary' WHEN NOT coalesce(j ->> 'verdict' IN ('approve', 'comment', 'request_changes'), false) THEN 'verdict'
+ WHEN NOT coalesce(j ->> 'riskLevel' IN ('HIGH', 'MEDIUM', 'LOW'), false) THEN 'riskLevel'
+ WHEN l IS NULL OR len(l) > 25 OR len(list_filter(l, lambda x: NOT coalesce(x.severity IN ('HIGH', 'MEDIUM', 'LOW') AND x.confidence IN ('CONFIRMED', 'LIKELY', 'POSSIBLE', 'INSUFFICIENT_CONTEXT') AND length(x.title) <= 160 AND length(x.issue) <= 1200 AND length(x.recommendation) <= 1200 AND coalesce(x.line, 0) >= 0, false))) > 0 THEN 'findings'
+ WHEN coalesce(json_array_length(j, '$.testGaps'), 0) > 10 THEN 'testGaps' END AS fault FROM f""")
+def answer_checks(spark, sf_dir):
+    rows = X.frame(spark, X.REVIEWS, X.REVIEWS_SCHEMA)
+    return rows.select("n", answers.review_fault(answers.parsed(F.col("answer"), answers.REVIEW)).alias("fault"))
+
+
+@query("""
+WITH p AS (SELECT 'order' AS kind, o_custkey AS owner, o_orderdate::varchar AS day, o_orderkey AS id FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY kind, owner ORDER BY day DESC, id) AS place FROM p)
+SELECT kind, owner, place::int AS place, id FROM r WHERE place <= 12""")
+def activity_feed(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("owner"), F.col("o_orderdate").cast("string").alias("at"), F.col("o_orderkey").alias("id"))
+    return views.feed({"order": orders}, "owner", "at", "id").select("kind", "owner", "place", "id")
+
+
+@query("""
+SELECT d.doc_id, coalesce('label:' || l.quality, d.source || '/' || d.lang) AS full_name FROM (SELECT doc_id, source, lang FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL) d LEFT JOIN labels l ON l.doc_id = d.doc_id""")
+def record_names(spark, sf_dir):
+    known = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("repository_id"), F.concat(F.lit("label:"), F.col("quality").cast("string")).alias("full_name"))
+    rows = _docs(spark, sf_dir).filter("source IS NOT NULL AND lang IS NOT NULL").select(F.col("doc_id").alias("repository_id"), F.col("source").alias("owner"), F.col("lang").alias("repo"))
+    return views.with_name(rows, known).select(F.col("repository_id").alias("doc_id"), "full_name")
+
+
+@query("SELECT (SELECT count(*) FROM documents) AS repositories, (SELECT count(*) FROM documents WHERE lang IN ('en', 'fr')) AS indexed, (SELECT count(*) FROM labels WHERE toxic = 1) AS open_pulls")
+def dashboard(spark, sf_dir):
+    repositories = _docs(spark, sf_dir).select(F.when(F.col("lang") == "en", "indexed").when(F.col("lang") == "fr", "partial").otherwise("failed").alias("status"))
+    return views.counters(repositories, table(spark, sf_dir, "labels").select(F.when(F.col("toxic") == 1, "open").otherwise("closed").alias("state")))
+
+
+@query("SELECT item_id FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.text = b.text)")
+def uncited_passages(spark, sf_dir):
+    return views.uncited(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("file_path")), _docs(spark, sf_dir).select(F.col("text").alias("file_path"))).select("item_id")
+
+
 # -- source code ------------------------------------------------------------------
 
 
@@ -611,13 +727,13 @@ def event_routing(spark, sf_dir):
 
 
 @query("""
-WITH n AS (SELECT user_id, event_type AS name, value, event_id FROM events WHERE event_id % 3 = 0), o AS (SELECT user_id, event_type AS name, value, event_id FROM events WHERE event_id % 3 = 1),
+WITH n AS (SELECT user_id, event_type AS name, value, event_id FROM events WHERE event_id % 2 = 0), o AS (SELECT user_id, event_type AS name, value, event_id FROM events WHERE event_id % 2 = 1),
 l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, name ORDER BY event_id DESC) AS r FROM n) WHERE r = 1), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, name ORDER BY event_id DESC) AS r FROM o) WHERE r = 1)
 SELECT user_id, name, value, event_id FROM l UNION ALL SELECT user_id, name, value, event_id FROM f ANTI JOIN l USING (user_id, name)""")
 def keyed_upsert(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("name"), "value", "event_id")
-    old = windows.latest_per_key(rows.filter("event_id % 3 = 1"), ["user_id", "name"], "event_id")
-    return upserts.upsert(old, rows.filter("event_id % 3 = 0"), ["user_id", "name"], "event_id").select("user_id", "name", "value", "event_id")
+    old = windows.latest_per_key(rows.filter("event_id % 2 = 1"), ["user_id", "name"], "event_id")
+    return upserts.upsert(old, rows.filter("event_id % 2 = 0"), ["user_id", "name"], "event_id").select("user_id", "name", "value", "event_id")
 
 
 @query("""
