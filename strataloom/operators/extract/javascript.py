@@ -15,6 +15,8 @@ _SPACE, _IDENT, _NUMBER = re.compile(r"\s+"), re.compile(r"[A-Za-z_$\u0080-
 _PUNCT = re.compile(r"=>|\.\.\.|\?\.(?!\d)|===|!==|==|!=|<=|>=|&&|\|\||\?\?|\+\+|--|[^\s\w]")
 _NOT_CALLS = frozenset("if for while switch catch function return typeof await new delete void in of instanceof case do else throw yield super with async".split())
 _BEFORE_VALUE = frozenset("return typeof case do else in of instanceof new delete void throw yield await default".split())
+_TYPE_PREFIX = frozenset("keyof typeof readonly infer unique extends".split())
+_DEEPEST_TYPE = 16  # levels of type arguments within each other
 _STATEMENT = frozenset("const let var function class export import return if for while switch try throw do async".split())
 
 
@@ -211,6 +213,42 @@ class _Reader:
                 break
         return ".".join(reversed(names[:8])), i, optional
 
+    def before_types(self, i: int) -> int:
+        """The token before the bracket at i, or before the type arguments that stand between: `f` of `f<A, B[]>(`.
+
+        Between `<` and `>` stand only names, literals, closed brackets and the marks of types, and two names in a row
+        only as an operator of types has them; anything else is a comparison.
+        """
+        j, deep = i - 1, 0
+        if self.kind(j) != ">":
+            return j
+        while j >= 0 and deep <= _DEEPEST_TYPE:
+            k = self.kind(j)
+            if k == ">":
+                deep += 1
+            elif k == "<":
+                deep -= 1
+                if not deep:
+                    return j - 1 if self.kind(j - 1) == "id" else i - 1
+            elif k in ("id", ")", "]", "}"):
+                if self.kind(j + 1) == "id" and self.word(j) not in _TYPE_PREFIX and self.word(j + 1) != "extends":
+                    break
+                j = self.t[j].mate if k != "id" else j
+            elif k not in ("str", "num", ".", ",", "|", "&", "=>"):
+                break
+            j -= 1
+        return i - 1
+
+    def after_types(self, i: int) -> int:
+        """The token behind the type parameters or arguments that open at i; i where there are none."""
+        j, deep = i, 0
+        while self.kind(j) not in ("", ")", "]", "}", ";", "&&", "||") and deep <= _DEEPEST_TYPE:
+            deep += (self.kind(j) == "<") - (self.kind(j) == ">")
+            if not deep:
+                return j + (j > i)
+            j = self.t[j].mate + 1 if self.kind(j) in ("(", "[", "{") else j + 1
+        return i
+
     def params(self, i: int) -> list[str]:
         """Names of the parameters in the brackets that open at i; of the one at i, where it stands without any."""
         if self.kind(i) == "id":
@@ -248,8 +286,8 @@ class _Reader:
 
     def function_at(self, i: int) -> tuple[int, int, bool] | None:
         """(place of the parameters, last token, async) of the function expression that begins at i."""
-        is_async = self.word(i) == "async" and (self.kind(i + 1) in ("id", "("))
-        j = i + is_async
+        is_async = self.word(i) == "async" and (self.kind(i + 1) in ("id", "(", "<"))
+        j = self.after_types(i + is_async)
         if self.word(j) == "function":
             p = j + 1 + (self.kind(j + 1) == "*")
             p += self.kind(p) == "id"
@@ -279,6 +317,10 @@ class _Reader:
         while j < self.n and self.kind(j) not in (",", ";", ")", "]", "}"):
             if j > i and self.t[j].line > self.t[j - 1].line and self.kind(j - 1) in ("id", "num", "str", "tmpl", "re", ")", "]", "}") and self.kind(j) == "id" and self.word(j) not in ("in", "of", "instanceof"):
                 break
+            if self.kind(j) == "<" and self.kind(j - 1) == "id":  # the comma between type arguments ends nothing
+                after = self.after_types(j)
+                if self.kind(after) == "(" and self.before_types(after) == j - 1:
+                    j = after
             j = self.t[j].mate + 1 if self.kind(j) in ("(", "[", "{") else j + 1
         return j - 1
 
@@ -427,7 +469,7 @@ class _Reader:
             fn, via = self.function_at(eq + 1), None
             last = fn[1] if fn else self.end(eq + 1)
             if not fn and self.kind(last) == ")":
-                name, first, optional = self.chain(self.t[last].mate - 1)
+                name, first, optional = self.chain(self.before_types(self.t[last].mate))
                 if first == eq + 1 and not optional and name:
                     fn, via = self.argument(self.t[last].mate), name.split(".")[-1]
             if fn:
@@ -473,7 +515,7 @@ class _Reader:
 
     def method(self, i: int) -> bool:
         """A method of a class or an object literal whose parameters open at i."""
-        name_at = i - 1
+        name_at = self.before_types(i)
         if self.kind(name_at) not in ("id", "str") or self.kind(self.t[i].parent) != "{":
             return False
         body, in_class = self.body(i), bool(self.classes) and self.t[i].parent == self.classes[-1][1]
@@ -499,13 +541,13 @@ class _Reader:
         return self.kind(i - 1) in ("=", "(", ",", ":", "[", "?", "&&", "||", "??") or self.word(i - 1) in ("return", "default")
 
     def call(self, i: int) -> None:
-        at = i - 1
+        at = near = self.before_types(i)
         while self.kind(at) == ")":  # a call of what a call returns
-            at = self.t[at].mate - 1
+            at = self.before_types(self.t[at].mate)
         if self.kind(at) != "id" or self.t[at].value in _NOT_CALLS and self.kind(at - 1) != "." or self.word(at - 1) == "function":
             if self.word(at) != "import":
                 return
-        line = self.t[self.chain(i - 1)[1]].line if self.kind(i - 1) == "id" else self.t[i].line
+        line = self.t[self.chain(near)[1]].line if self.kind(near) == "id" else self.t[i].line
         path, first, optional = self.chain(at)
         name = self.t[at].value
         if self.kind(self.t[i].mate + 1) == "=>" and name == "async" or optional or self.word(first - 1) == "new":

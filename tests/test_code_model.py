@@ -66,6 +66,29 @@ def test_modules_with_require():
     assert s["model.statics.find"]["name"] == "find" and s["model.statics.find"]["class_name"] == "model.statics"
 
 
+TYPED = """export class Repo<T> {
+  async load<K extends keyof T>(key: K): Promise<T[K]> { return fetchOne<T[K]>(key); }
+  all() { return this.db.query<Array<T>>('x', new Map<string, number>()); }
+}
+export const pick = <T,>(xs: T[]) => first<T>(xs);
+export const run = async <A, B>(a: A) => { await go<{ a: A; b: B }>(a); };
+export const useIt = wrap<Req, Res>(async (req) => done(req));
+function cmp(a, b, c, d) { if (a < b && c > (d)) return x > (y); return f(a < b); }
+let z = a < b
+c > (d)
+"""
+
+
+def test_type_arguments():
+    a = analyze_javascript(TYPED, jsx=False)
+    assert [(s["kind"], s["qualified_name"], s["params"], s["calls"]) for s in a["symbols"]] == [
+        ("class", "Repo", [], []), ("method", "Repo.load", ["key"], ["fetchOne"]), ("method", "Repo.all", [], ["query"]), ("function", "pick", ["xs"], ["first"]),
+        ("function", "run", ["a"], ["go"]), ("hook", "useIt", ["req"], ["wrap", "done"]), ("function", "cmp", ["a", "b", "c", "d"], ["f"]),
+    ]
+    assert a["exports"] == ["Repo", "pick", "run", "useIt"] and {c["to"] for c in a["calls"]} == {"fetchOne", "query", "first", "go", "wrap", "done", "f"}
+    assert next(c for c in a["calls"] if c["to"] == "query")["receiver"] == "this.db"
+
+
 def test_broken_and_typed_files():
     assert analyze_javascript("function x( {{ if")["parse_ok"] is False
     a = analyze_javascript("export const add = (a: number, b: number): number => a + b;\nexport async function load<T>(id: string): Promise<T> { return get(id); }\n", jsx=False)
