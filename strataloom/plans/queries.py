@@ -74,8 +74,11 @@ SELECT vec_id, label, round(list_cosine_similarity(embedding::double[], v), 6) A
 WHERE label = 3 AND vec_id <> 0 AND list_cosine_similarity(embedding::double[], v) >= -1 ORDER BY list_cosine_similarity(embedding::double[], v) DESC, vec_id LIMIT 12""")
 def vector_topk_tenant(spark, sf_dir):
     points = table(spark, sf_dir, "embeddings")
-    asked = points.filter("vec_id = 0").first()["embedding"]
-    return vectors.top_k(vectors.scope(points, "label", 3, not_vec_id=0), asked, "embedding", "vec_id", floor=-1.0).select("vec_id", "label", F.round("score", 6).alias("score"))
+    asked = points.filter("vec_id = 0").first()
+    others = vectors.scope(points, "label", 3, not_vec_id=0)
+    if asked is None:  # nothing is asked for
+        return others.filter(F.lit(False)).select("vec_id", "label", F.lit(0.0).alias("score"))
+    return vectors.top_k(others, asked["embedding"], "embedding", "vec_id", floor=-1.0).select("vec_id", "label", F.round("score", 6).alias("score"))
 
 
 @query("SELECT vec_id, round(sqrt(list_dot_product(embedding::double[], embedding::double[])), 6) AS norm, round(list_cosine_similarity(embedding::double[], embedding[2:] :: double[] || [0.0::double]), 6) AS shifted FROM embeddings")
@@ -407,12 +410,20 @@ def name_checks(spark, sf_dir):
     return branches.unionByName(checked)
 
 
-@query()
+@query(f"""
+WITH a AS (SELECT n, regexp_replace(trim(t), '^git\\+', '') AS v, t FROM {X.values(X.REPOS, X.TEXTS_SCHEMA)}), b AS (SELECT n, t, regexp_replace(regexp_replace(v, '^git@github\\.com:', 'https://github.com/'), '(?i)^github\\.com/', 'https://github.com/') AS v FROM a),
+c AS (SELECT n, v, regexp_matches(v, '(?i)^https?://') AS url, lower(regexp_extract(v, '(?i)^https?://([^/:?#]*)', 1)) AS site, list_filter(string_split(CASE WHEN regexp_matches(v, '(?i)^https?://') THEN regexp_extract(v, '(?i)^https?://[^/?#]*([^?#]*)', 1) ELSE v END, '/'), lambda x: x <> '') AS p FROM b),
+d AS (SELECT *, coalesce(p[1], '') AS o, regexp_replace(coalesce(p[2], ''), '(?i)\\.git$', '') AS r FROM c),
+e AS (SELECT *, CASE WHEN v = '' THEN 'empty' WHEN url AND site NOT IN ('github.com', 'www.github.com') THEN 'host' WHEN url AND len(p) < 2 THEN 'incomplete' WHEN NOT url AND len(p) <> 2 THEN 'format' WHEN NOT regexp_matches(o, '^[A-Za-z0-9][A-Za-z0-9-]{{0,38}}$') THEN 'owner' WHEN NOT regexp_matches(r, '^[A-Za-z0-9._-]{{1,100}}$') THEN 'name' END AS error FROM d)
+SELECT n, CASE WHEN error IS NULL THEN o END AS owner, CASE WHEN error IS NULL THEN r END AS repo, CASE WHEN error IS NULL AND url AND p[3] IN ('tree', 'blob') THEN p[4] END AS branch, error FROM e""")
 def repo_identity(spark, sf_dir):
     return X.frame(spark, X.REPOS, X.TEXTS_SCHEMA).select("n", F.inline(F.array(text.repo_identity(F.col("t")))))
 
 
-@query()
+@query(f"""
+WITH a AS (SELECT n, trim(t) AS t FROM {X.values(X.ANSWERS, X.TEXTS_SCHEMA)}), b AS (SELECT n, CASE WHEN regexp_matches(t, '```(json)?\\s*[\\s\\S]*?```') THEN regexp_extract(t, '```(?:json)?\\s*([\\s\\S]*?)```', 1) ELSE t END AS t FROM a),
+c AS (SELECT n, regexp_extract(t, '(\\{{[\\s\\S]*\\}})', 1) AS whole FROM b), d AS (SELECT *, regexp_replace(whole, ',\\s*([}}\\]])', '\\1', 'g') AS mended FROM c)
+SELECT n, CASE WHEN whole <> '' AND whole = mended AND json_valid(whole) THEN whole WHEN mended <> '' AND json_valid(mended) THEN mended END AS json FROM d""")
 def noisy_json(spark, sf_dir):
     return X.frame(spark, X.ANSWERS, X.TEXTS_SCHEMA).select("n", text.outermost_json(F.col("t")).alias("json"))
 
@@ -496,12 +507,20 @@ def impact_fixture(spark, sf_dir):
     return _fixture_impact(spark).impacts().select("file_path", "severity", F.size("details").cast("long").alias("n_details"), F.array_join(F.sort_array("reasons"), "|").alias("reasons"))
 
 
-@query()
+@query(f"""{_IMPACT_SQL},
+s AS (SELECT file_path, max(rank) AS rank FROM r WHERE file_path <> 'src/billing.js' GROUP BY file_path)
+SELECT (SELECT count(*) FROM (SELECT t.* FROM {X.values(X.SYMBOLS, X.SYMBOLS_SCHEMA)}) WHERE name = 'charge' OR qualified_name = 'charge') AS definitions, (SELECT count(*) FROM c WHERE type = 'calls') AS direct_callers, (SELECT count(*) FROM r WHERE starts_with(reason, 'Imports ')) AS importers,
+ (SELECT count(*) FROM r WHERE starts_with(reason, 'Indirectly ')) AS second_hop, (SELECT count(DISTINCT from_file) FROM c WHERE is_test) AS tests, (SELECT count(*) FROM r WHERE starts_with(reason, 'Exposes ')) AS routes,
+ (SELECT count(*) FROM s WHERE rank = 3) AS high, (SELECT count(*) FROM s WHERE rank = 2) AS medium, (SELECT count(*) FROM s WHERE rank = 1) AS low""")
 def impact_counts(spark, sf_dir):
     return _fixture_impact(spark).counts()
 
 
-@query()
+@query(f"""{_IMPACT_SQL},
+h AS (SELECT from_file, line, from_symbol AS caller FROM c WHERE type = 'calls' ORDER BY from_file, line, from_symbol LIMIT 12),
+u AS (SELECT to_name AS caller, from_file AS up_file, CASE WHEN from_symbol = '' THEN '<module>' ELSE from_symbol END AS up, row_number() OVER (PARTITION BY to_name ORDER BY from_file, line, from_symbol) AS k FROM e WHERE type = 'calls' AND to_name IN (SELECT caller FROM h WHERE caller <> '')),
+p AS (SELECT h.*, k, coalesce(up_file || ':' || up || ' → ', '') || from_file || ':' || CASE WHEN h.caller = '' THEN '<module>' ELSE h.caller END || ' → charge' AS call_path FROM h LEFT JOIN u ON u.caller = h.caller AND k <= 2)
+SELECT call_path FROM p GROUP BY call_path ORDER BY min((from_file, line, k)) LIMIT 14""")
 def impact_call_paths(spark, sf_dir):
     return _fixture_impact(spark).call_paths()
 
@@ -718,7 +737,17 @@ def upstream_errors(spark, sf_dir):
     return rows.select("n", access.upstream_error(F.col("status"), F.col("message"), F.col("remaining"), F.col("resource")).alias("code"))
 
 
-@query()
+@query(f"""
+WITH o AS (SELECT t.*, row_number() OVER (PARTITION BY delivery_id ORDER BY received_at) AS n FROM {X.values(X.DELIVERIES, "delivery_id string, event string, payload string, received_at string")}), k AS (SELECT t.* FROM {X.values(X.REPOSITORIES, "full_name string, indexing_status string, indexed_branch string, default_branch string")}),
+j AS (SELECT delivery_id, event, coalesce(payload ->> '$.ref', '') AS ref, coalesce(payload ->> '$.deleted', 'false') = 'true' AS deleted, payload ->> '$.repository.full_name' AS repo, coalesce(payload ->> '$.action', '') AS act, coalesce(payload ->> '$.pull_request.draft', 'false') = 'true' AS draft, payload ->> '$.installation.id' AS inst, payload ->> '$.sender.id' AS sender,
+ list_distinct(payload ->> '$.commits[*].added[*]') AS a, list_distinct(payload ->> '$.commits[*].modified[*]') AS m, list_distinct(payload ->> '$.commits[*].removed[*]') AS gone FROM o WHERE n = 1),
+c AS (SELECT j.*, len(list_filter(a, lambda x: NOT list_contains(gone, x)))::int AS n_added, len(list_filter(m, lambda x: NOT list_contains(gone, x)))::int AS n_modified, len(gone)::int AS n_removed, substr(ref, 12) AS branch, k.indexing_status AS status, CASE WHEN k.indexed_branch <> '' THEN k.indexed_branch ELSE k.default_branch END AS known FROM j LEFT JOIN k ON k.full_name = j.repo),
+r AS (SELECT *, CASE WHEN event = 'ping' THEN 'ping' WHEN event NOT IN ({_in(E.HANDLED)}) THEN 'unhandled event ' || event
+ WHEN event = 'push' THEN CASE WHEN NOT starts_with(ref, 'refs/heads/') THEN 'non-branch ref ' || ref WHEN deleted THEN 'branch deleted' WHEN NOT regexp_matches(coalesce(repo, ''), '^[^/]+/[^/]+') THEN 'no repository' WHEN status IS NULL THEN 'untracked repository' WHEN status NOT IN ({_in(E.INDEXED)}) THEN 'index status ' || status WHEN branch <> known THEN 'push to ' || branch || ', indexed ' || known WHEN n_added + n_modified + n_removed = 0 THEN 'no file changes' END
+ WHEN event = 'pull_request' THEN CASE WHEN act NOT IN ({_in(E.REVIEWED)}) THEN 'action ' || act WHEN draft AND act <> 'ready_for_review' THEN 'draft' WHEN status IS NULL THEN 'untracked repository' WHEN status NOT IN ({_in(E.INDEXED)}) THEN 'index status ' || status END
+ WHEN event = 'installation' THEN CASE WHEN inst IS NULL OR sender IS NULL THEN 'incomplete' WHEN act NOT IN ('created', 'deleted', 'suspend') THEN 'action ' || act END END AS reason FROM c),
+d AS (SELECT *, CASE WHEN event = 'ping' THEN 'processed' WHEN reason IS NOT NULL THEN 'ignored' WHEN event IN ('installation', 'installation_repositories') THEN 'processed' ELSE 'queued' END AS outcome FROM r)
+SELECT delivery_id, event, outcome, CASE WHEN outcome = 'queued' THEN CASE WHEN event = 'push' THEN 'incremental_sync' ELSE 'pr_review' END END AS kind, reason, n_added, n_modified, n_removed FROM d""")
 def event_routing(spark, sf_dir):
     deliveries = X.frame(spark, X.DELIVERIES, "delivery_id string, event string, payload string, received_at string").withColumn("received_at", F.col("received_at").cast("timestamp"))
     repositories = X.frame(spark, X.REPOSITORIES, "full_name string, indexing_status string, indexed_branch string, default_branch string")
@@ -744,7 +773,14 @@ def bounded_append(spark, sf_dir):
     return kept.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("event_id").alias("total"))
 
 
-@query()
+@query("""
+WITH RECURSIVE q AS (SELECT user_id, event_id AS request_id, epoch_us(ts) / 1000000.0::double AS came, floor(abs(value))::bigint % 900 + 100 AS tokens FROM events), o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY came, request_id) AS i FROM q),
+f AS (SELECT user_id, 0::bigint AS i, NULL::bigint AS request_id, []::STRUCT(t DOUBLE, n BIGINT)[] AS live, '-infinity'::double AS clock, NULL::double AS waited FROM (SELECT DISTINCT user_id FROM o)
+UNION ALL SELECT user_id, i, request_id, CASE WHEN start - came > 45 THEN live ELSE list_append(list_filter(live, lambda x: start - x.t < 60), {'t': start, 'n': tokens}) END, CASE WHEN start - came > 45 THEN clock ELSE start END, CASE WHEN start - came > 45 THEN NULL ELSE start - came END
+FROM (SELECT *, CASE WHEN k = 0 THEN t0 ELSE greatest(t0, live[k].t + 60) END AS start
+ FROM (SELECT *, list_filter(range(0, len(live) + 1), lambda y: coalesce(list_sum(list_transform(live[y + 1:], lambda x: x.n)), 0) + tokens <= 1000)[1] AS k
+ FROM (SELECT o.user_id, o.i, o.request_id, o.came, o.tokens, f.clock, greatest(o.came, f.clock) AS t0, list_filter(f.live, lambda x: greatest(o.came, f.clock) - x.t < 60) AS live FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1))))
+SELECT user_id, request_id, round(waited, 3) AS waited FROM f WHERE i > 0""")
 def token_governor(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("request_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), (F.floor(F.abs("value")) % 900 + 100).alias("tokens"))
     return jobs.admit(rows, "user_id", 1000, 45.0).select("user_id", "request_id", F.round("waited", 3).alias("waited"))
