@@ -168,6 +168,38 @@ def path_list(text: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(F.split(text, ","), trimmed), lambda x: x != ""))
 
 
+def bullets(title: str, items: Column, form: str = "- %s") -> Column:
+    """A heading with a list below it; null where the list is null or empty."""
+    lines = F.transform(items, lambda x: F.format_string(form, x))
+    return F.when(F.size(items) > 0, F.concat(F.lit(f"{title}\n"), F.array_join(lines, "\n")))
+
+
+def change_body(summary: Column, files: Column, reasoning: Column, warnings: Column, callers: Column, instruction: Column, footer: Column) -> Column:
+    """Markdown of a proposed change; files is an array of struct<path, additions, deletions>, absent parts are left out."""
+    file = lambda f: F.format_string("- `%s` (+%d / -%d)", f["path"], f["additions"], f["deletions"])
+    closed = lambda part: F.concat(part, F.lit("\n"))
+    why = F.when(reasoning != "", F.concat(F.lit("## Why\n"), reasoning, F.lit("\n")))
+    parts = (
+        F.lit("## Summary"), F.nullif(summary, F.lit("")), F.lit("## Files changed"), F.array_join(F.transform(files, file), "\n"), why, closed(bullets("## Review notes", warnings)),
+        closed(bullets("## Callers to double-check", callers, "- `%s`")), F.lit("## Requested change"), F.concat(F.lit("> "), instruction), F.lit("---"), footer,
+    )
+    return F.concat_ws("\n", *parts)
+
+
+def review_comment(title: str, risk: Column, files_reviewed: Column, summary: Column, findings: Column, gaps: Column, breaking: Column, footer: Column) -> Column:
+    """Markdown of a review; findings is an array of struct<severity, title, file_path, line, confidence, issue, recommendation>."""
+    at = lambda f: F.concat(f["file_path"], F.when(f["line"] > 0, F.concat(F.lit(":"), f["line"].cast("string"))).otherwise(""))
+    said = lambda f: F.format_string("**%s** — `%s` _(%s)_\n\n%s\n\n> %s", f["title"], at(f), f["confidence"], f["issue"], f["recommendation"])
+
+    def section(level: str) -> Column:
+        own = F.filter(findings, lambda f: f["severity"] == level)
+        return F.when(F.size(own) > 0, F.concat(F.lit(f"### {level}\n\n"), F.array_join(F.transform(own, said), "\n\n")))
+
+    head = F.format_string("**Risk:** %s · **Findings:** %d · **Files reviewed:** %d", risk, F.size(findings), files_reviewed)
+    parts = (F.lit(f"## {title}"), head, F.nullif(summary, F.lit("")), *map(section, ("HIGH", "MEDIUM", "LOW")), bullets("### Test gaps", gaps), bullets("### Possible breaking changes", breaking), F.lit("---"), footer)
+    return F.concat_ws("\n", *parts)
+
+
 def short_sha(sha: Column) -> Column:
     return F.substring(F.coalesce(sha, F.lit("")), 1, 7)
 

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataloom.operators.upserts import ISSUE_CHARS
 from strataloom.operators.windows import stale
 from strataloom.plans.session import ship
 
@@ -39,6 +40,21 @@ def recover(jobs: DataFrame, now: Column) -> DataFrame:
     return jobs.withColumns({"status": F.when(stuck, "queued").otherwise(F.col("status")), "locked_by": F.when(stuck, F.lit("")).otherwise(F.col("locked_by"))})
 
 
+def finish(jobs: DataFrame, ended: DataFrame, now: Column) -> DataFrame:
+    """jobs with those of `ended` (job_id, error) over: completed where the error is null, and otherwise failed with it.
+
+    ended holds a job once. A failed full index marks its repository by failed_repositories.
+    """
+    out = jobs.join(ended.select("job_id", F.lit(True).alias("__over"), F.substring("error", 1, ISSUE_CHARS).alias("message")), "job_id", "left")
+    put = lambda c, v: F.when(F.col("__over"), v).otherwise(F.col(c))
+    state = F.when(F.col("message").isNull(), "completed").otherwise("failed")
+    return out.withColumns({"status": put("status", state), "heartbeat_at": put("heartbeat_at", now), "completed_at": F.when(F.col("__over"), now)}).drop("__over")
+
+
+def failed_repositories(jobs: DataFrame) -> DataFrame:
+    return jobs.filter("status = 'failed' AND kind = 'full_index'").select("repository_id").distinct()
+
+
 def token_limit(tpm: Column) -> Column:
     return F.greatest(F.lit(LEAST_LIMIT), F.floor(tpm * USED_SHARE + 0.5)).cast("long")
 

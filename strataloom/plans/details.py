@@ -242,3 +242,72 @@ def numbered_excerpts(spark, sf_dir):
 @query("SELECT file_path, chunk_no FROM (SELECT source AS file_path, doc_id AS chunk_no FROM documents) ORDER BY file_path, chunk_no LIMIT 6000")
 def capped_chunks(spark, sf_dir):
     return chunking.cap_chunks(Q._docs(spark, sf_dir).select(F.col("source").alias("file_path"), F.col("doc_id").alias("chunk_no")))
+
+
+# -- sources and rendered texts ---------------------------------------------------------
+
+
+@query("SELECT b.item_id AS path, d.sha FROM benchmark b LEFT JOIN (SELECT doc_id, substr(sha256(text), 1, 40) AS sha FROM documents) d ON d.doc_id = b.item_id")
+def path_identities(spark, sf_dir):
+    entries = Q._docs(spark, sf_dir).select(F.col("doc_id").alias("path"), text.content_sha(F.col("text")).alias("sha"))
+    return tables.identities(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("path")), entries)
+
+
+@query("""
+WITH b AS (SELECT DISTINCT o_custkey AS sha FROM orders WHERE o_orderkey % 3 <> 0), h AS (SELECT DISTINCT o_custkey AS sha FROM orders WHERE o_orderkey % 5 <> 0), c AS (SELECT (SELECT count(*) FROM h ANTI JOIN b USING (sha)) AS ahead_by, (SELECT count(*) FROM b ANTI JOIN h USING (sha)) AS behind_by)
+SELECT ahead_by, behind_by, CASE WHEN ahead_by > 0 AND behind_by > 0 THEN 'diverged' WHEN ahead_by > 0 THEN 'ahead' WHEN behind_by > 0 THEN 'behind' ELSE 'identical' END AS status FROM c""")
+def history_compare(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("sha"), "o_orderkey")
+    return tables.compare_commits(orders.filter("o_orderkey % 3 <> 0"), orders.filter("o_orderkey % 5 <> 0"))
+
+
+@query("SELECT DISTINCT e.user_id AS number, d.doc_id AS sha FROM documents d JOIN events e ON d.doc_id IN (e.event_id, e.event_id + 1)")
+def pulls_of_commits(spark, sf_dir):
+    pulls = table(spark, sf_dir, "events").select(F.col("user_id").alias("number"), F.array(F.col("event_id"), F.col("event_id") + 1).alias("commits"))
+    return tables.pulls_of_commits(Q._docs(spark, sf_dir).select(F.col("doc_id").alias("sha")), pulls)
+
+
+_LANDED: X.Rows = [
+    (1, '{"name": "main", "protected": true, "commit": {"sha": "a1", "commit": {"message": "first", "author": {"name": "A", "date": "2024-01-02T03:04:05Z"}}}}', '{"id": 5, "account": {"login": "acme", "type": "Organization"}, "repository_selection": "all"}', '{"Python": 120, "C": 7}'),
+    (2, '{"name": "dev", "commit": {"sha": "b2"}}', '{"id": 6}', "{}"), (3, '{"name": "x/y", "protected": false, "commit": {"sha": "c3", "commit": {"message": "third", "author": null}}}', '{"id": 7, "account": {"login": "b"}, "repository_selection": "selected"}', None),
+]
+_LANDED_SCHEMA = "n int, branch string, installation string, languages string"
+
+
+@query(f"""
+SELECT n, branch ->> '$.name' AS name, branch ->> '$.commit.sha' AS sha, coalesce(branch ->> '$.commit.commit.message', '') AS message, coalesce(branch ->> '$.commit.commit.author.name', '') AS author, coalesce(branch ->> '$.protected', 'false') = 'true' AS protected,
+ coalesce(installation ->> '$.account.login', '') AS account, coalesce(installation ->> '$.account.type', '') AS account_type, installation ->> '$.repository_selection' AS repository_selection, coalesce(languages ->> '$.Python', '0')::bigint AS python_bytes
+FROM {X.values(_LANDED, _LANDED_SCHEMA)}""")
+def landed_records(spark, sf_dir):
+    rows = X.frame(spark, _LANDED, _LANDED_SCHEMA)
+    b, i, found = tables.branches(F.col("branch")), tables.installations(F.col("installation")), tables.languages(F.col("languages"))
+    return rows.select("n", *[b[c].alias(c) for c in ("name", "sha", "message", "author", "protected")], *[i[c].alias(c) for c in ("account", "account_type", "repository_selection")], F.coalesce(F.try_element_at(found, F.lit("Python")), F.lit(0)).alias("python_bytes"))
+
+
+@query(f"""
+WITH j AS (SELECT event_id, {_STATUS} AS status, event_id % 4 = 1 AS over, CASE WHEN event_id % 8 = 1 THEN repeat('e', 301) END AS error FROM events)
+SELECT event_id AS job_id, CASE WHEN NOT over THEN status WHEN error IS NULL THEN 'completed' ELSE 'failed' END AS status, substr(error, 1, 300) AS message, over AS done FROM j""")
+def job_ends(spark, sf_dir):
+    known = _jobs(spark, sf_dir)
+    ended = known.filter("job_id % 4 = 1").select("job_id", F.when(F.col("job_id") % 8 == 1, F.repeat(F.lit("e"), 301)).alias("error"))
+    return jobs.finish(known, ended, F.lit("2024-02-01").cast("timestamp")).select("job_id", "status", "message", F.col("completed_at").isNotNull().alias("done"))
+
+
+@query("""
+SELECT doc_id, concat_ws(chr(10), '## Summary', nullif(lang, ''), '## Files changed', '- `' || source || '` (+' || n_chars || ' / -1)' || chr(10) || '- `b` (+2 / -3)', CASE WHEN doc_id % 2 = 0 THEN '## Why' || chr(10) || lang || chr(10) END, CASE WHEN doc_id % 3 = 0 THEN '## Review notes' || chr(10) || '- ' || source || chr(10) || '- w' || chr(10) END,
+ CASE WHEN doc_id % 5 = 0 THEN '## Callers to double-check' || chr(10) || '- `' || source || '`' || chr(10) END, '## Requested change', '> ' || lang, '---', 'end') AS body,
+ concat_ws(chr(10), '## Review', '**Risk:** ' || lang || ' · **Findings:** 2 · **Files reviewed:** ' || n_chars, nullif(source, ''), CASE WHEN doc_id % 2 = 0 THEN '### HIGH' || chr(10) || chr(10) || '**t** — `' || source || ':4` _(LIKELY)_' || chr(10) || chr(10) || 'i' || chr(10) || chr(10) || '> r' END,
+ '### LOW' || chr(10) || chr(10) || CASE WHEN doc_id % 2 = 1 THEN '**t** — `' || source || ':4` _(LIKELY)_' || chr(10) || chr(10) || 'i' || chr(10) || chr(10) || '> r' || chr(10) || chr(10) ELSE '' END || '**u** — `b` _(POSSIBLE)_' || chr(10) || chr(10) || 'j' || chr(10) || chr(10) || '> s', CASE WHEN doc_id % 3 = 0 THEN '### Test gaps' || chr(10) || '- ' || source || chr(10) || '- w' END, '---', 'end') AS comment
+FROM documents""")
+def rendered_texts(spark, sf_dir):
+    source, lang, even = F.col("source"), F.col("lang"), F.col("doc_id") % 2 == 0
+    file = lambda path, a, d: F.struct(path.alias("path"), a.cast("long").alias("additions"), F.lit(d).alias("deletions"))
+    finding = lambda **c: F.struct(*[v.alias(k) if not isinstance(v, (str, int)) else F.lit(v).alias(k) for k, v in c.items()])
+    notes = F.when(F.col("doc_id") % 3 == 0, F.array(source, F.lit("w")))
+    callers = F.when(F.col("doc_id") % 5 == 0, F.array(source)).otherwise(F.array().cast("array<string>"))
+    found = F.array(
+        finding(severity=F.when(even, "HIGH").otherwise("LOW"), title="t", file_path=source, line=4, confidence="LIKELY", issue="i", recommendation="r"), finding(severity=F.lit("LOW"), title="u", file_path=F.lit("b"), line=0, confidence="POSSIBLE", issue="j", recommendation="s")
+    )
+    body = text.change_body(lang, F.array(file(source, F.col("n_chars"), 1), file(F.lit("b"), F.lit(2), 3)), F.when(even, lang).otherwise(""), notes, callers, lang, F.lit("end"))
+    comment = text.review_comment("Review", lang, F.col("n_chars"), source, found, notes, F.lit(None).cast("array<string>"), F.lit("end"))
+    return Q._docs(spark, sf_dir).select("doc_id", body.alias("body"), comment.alias("comment"))

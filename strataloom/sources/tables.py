@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,11 +58,67 @@ def landed_pages(pages: DataFrame, keys: list[str]) -> DataFrame:
     return kept.select(*keys, "page", F.posexplode("items").alias("place", "item"))
 
 
-def with_fallback(read, anonymous, codes: tuple[str, ...] = ("REPO_NOT_FOUND", "NOT_FOUND", "FORBIDDEN", "NO_WRITE_ACCESS")):
-    """read(), or anonymous() where it fails with one of the codes in its `code` attribute."""
-    try:
-        return read()
-    except Exception as e:
-        if getattr(e, "code", None) in codes:
-            return anonymous()
-        raise
+def identities(asked: DataFrame, entries: DataFrame) -> DataFrame:
+    """asked (path) with the sha of the entry at each path; null where there is none."""
+    return asked.join(entries.select("path", "sha"), "path", "left")
+
+
+def compare_commits(base: DataFrame, head: DataFrame) -> DataFrame:
+    """One row: status, ahead_by, behind_by of two histories (sha): commits that only head, or only base, has."""
+    both = base.select("sha", F.lit(1).alias("b")).distinct().join(head.select("sha", F.lit(1).alias("h")).distinct(), "sha", "full")
+    counts = both.agg(F.count_if(F.col("b").isNull()).alias("ahead_by"), F.count_if(F.col("h").isNull()).alias("behind_by"))
+    ahead, behind = F.col("ahead_by") > 0, F.col("behind_by") > 0
+    return counts.withColumn("status", F.when(ahead & behind, "diverged").when(ahead, "ahead").when(behind, "behind").otherwise("identical"))
+
+
+def pulls_of_commits(commits: DataFrame, pulls: DataFrame) -> DataFrame:
+    """sha and number of the pull requests (number, commits) that hold each commit."""
+    held = pulls.select("number", F.explode("commits").alias("sha")).distinct()
+    return commits.select("sha").distinct().join(held, "sha")
+
+
+BRANCH = "name string, protected boolean, commit struct<sha:string,commit:struct<message:string,author:struct<name:string,date:string>>>"
+
+
+def branches(landed: Column) -> Column:
+    """struct<name, sha, message, author, committed_at, protected> of a landed branch; missing texts are empty."""
+    b = F.from_json(landed, BRANCH)
+    author, none = b["commit"]["commit"]["author"], F.lit("")
+    return F.struct(
+        b["name"].alias("name"), b["commit"]["sha"].alias("sha"), F.coalesce(b["commit"]["commit"]["message"], none).alias("message"), F.coalesce(author["name"], none).alias("author"), author["date"].cast("timestamp").alias("committed_at"), F.coalesce(b["protected"], F.lit(False)).alias("protected")
+    )
+
+
+def installations(landed: Column) -> Column:
+    """struct<id, account, account_type, repository_selection> of a landed installation."""
+    i = F.from_json(landed, "id bigint, account struct<login:string,type:string>, repository_selection string")
+    return F.struct(i["id"].alias("id"), F.coalesce(i["account"]["login"], F.lit("")).alias("account"), F.coalesce(i["account"]["type"], F.lit("")).alias("account_type"), i["repository_selection"].alias("repository_selection"))
+
+
+def languages(landed: Column) -> Column:
+    """Bytes of each language of a repository; an empty map where nothing landed."""
+    return F.coalesce(F.from_json(landed, "map<string,bigint>"), F.create_map().cast("map<string,bigint>"))
+
+
+class Fallback:
+    """Reads that are tried again anonymously where they fail with one of `codes` in the error's `code`.
+
+    Where the anonymous try is refused for its rate, none is made for `pause` seconds. What is raised is always the
+    error of the first try.
+    """
+
+    def __init__(self, codes: tuple[str, ...] = ("REPO_NOT_FOUND", "NOT_FOUND", "FORBIDDEN", "NO_WRITE_ACCESS"), pause: float = 60, clock=time.monotonic):
+        self.codes, self.pause, self.clock, self.blocked_until = codes, pause, clock, float("-inf")
+
+    def read(self, first, anonymous):
+        try:
+            return first()
+        except Exception as error:
+            if getattr(error, "code", None) not in self.codes or self.clock() < self.blocked_until:
+                raise
+            try:
+                return anonymous()
+            except Exception as refused:
+                if getattr(refused, "code", None) == "RATE_LIMIT":
+                    self.blocked_until = self.clock() + self.pause
+                raise error from refused

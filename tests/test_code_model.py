@@ -321,3 +321,28 @@ def test_sources(spark, tmp_path):
     assert tables.landed_pages(pages, ["repo"]).count() == 102
     entries = spark.createDataFrame([("a", "s1", "YQpi\n")], "path string, sha string, c string")
     assert tables.blobs(entries.drop("c"), entries.select("sha", F.col("c").alias("content"))).first()["lines"] == 2
+
+
+def test_fallback_pauses_after_a_refusal():
+    class Failed(Exception):
+        def __init__(self, code):
+            self.code = code
+
+    now, tries = [0.0], []
+
+    def fail(code):
+        def run():
+            tries.append(code)
+            raise Failed(code)
+
+        return run
+
+    f = tables.Fallback(clock=lambda: now[0])
+    assert f.read(lambda: 1, fail("X")) == 1 and f.read(fail("NOT_FOUND"), lambda: 2) == 2
+    for first, anonymous, expect in (("UPSTREAM", "NOT_FOUND", ["UPSTREAM"]), ("FORBIDDEN", "NOT_FOUND", ["FORBIDDEN", "NOT_FOUND"]), ("FORBIDDEN", "RATE_LIMIT", ["FORBIDDEN", "RATE_LIMIT"]), ("FORBIDDEN", "RATE_LIMIT", ["FORBIDDEN"])):
+        tries.clear()
+        with pytest.raises(Failed) as raised:
+            f.read(fail(first), fail(anonymous))
+        assert raised.value.code == first and tries == expect
+    now[0] = 61
+    assert f.read(fail("FORBIDDEN"), lambda: 3) == 3
