@@ -138,6 +138,22 @@ def maybe_in(rows: DataFrame, hashes: DataFrame, name: str) -> DataFrame:
     return found.withColumns({"__byte": byte, "__place": place.cast("int")}).filter(hit).select(rows.columns)
 
 
+def maybe(rows: DataFrame, hashes: DataFrame, name: str, out: str) -> DataFrame:
+    """rows with the boolean `out`: whether their long column `name` may be among those of hashes (a written table).
+
+    A bitmap filter: eight bits for each hash, but _FILTER_BITS at most, so the broadcast is bounded; a fuller filter says
+    yes more often.
+    """
+    bits = 1 << max(_MAP_BITS.bit_length() - 1, min((hashes.count() * 8).bit_length(), _FILTER_BITS.bit_length() - 1))
+    bit = F.pmod(F.col(name), F.lit(bits))
+    number, place = F.shiftright(bit, 15).alias("__map"), F.pmod(bit, F.lit(_MAP_BITS))
+    maps = hashes.groupBy(number).agg(F.bitmap_construct_agg(place).alias("__bits"))
+    byte = F.conv(F.hex(F.substring("__bits", F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.expr("shiftright(__byte, __place % 8) & 1") == 1, F.lit(False))
+    found = rows.withColumn("__map", F.shiftright(bit, 15)).join(F.broadcast(maps), "__map", "left")
+    return found.withColumns({"__byte": byte, "__place": place.cast("int")}).select(*rows.columns, hit.alias(out))
+
+
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = 256) -> DataFrame:
     """df.mapInArrow(run, schema), where run gets batches of a few rows, so that long texts don't add up in a worker."""
     ship(df.sparkSession)
