@@ -171,8 +171,9 @@ def _take_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start, end = (ranges.field(i).to_numpy().astype(np.int64) for i in (0, 1))
             order = np.argsort(start, kind="stable")
             start, end = start[order], np.maximum.accumulate(end[order])
-            first = np.flatnonzero(np.concatenate(([True], start[1:] > end[:-1])))
-            start, end = start[first], end[np.append(first[1:] - 1, len(end) - 1)]
+            new = np.ones(len(start), bool)
+            new[1:] = start[1:] > end[:-1]
+            start, end = start[new], end[np.append(new[1:], True)[: len(end)]]
             spans.append([{"start": x, "length": y - x} for x, y in zip(start.tolist(), end.tolist(), strict=True)])
             kept.append(b"".join(raw[x:y] for x, y in zip([0, *end.tolist()], [*start.tolist(), len(raw)], strict=True)))
         yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3, b.num_columns)), pa.array(spans, kind), pa.array(kept, pa.binary())], [*b.schema.names[3:], "spans", "kept"])
