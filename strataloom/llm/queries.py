@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataloom.llm import chat_format, exact_dedup, language_id, license_scan, near_dedup, packing, quality_rules, source_mix, substring_dedup, suffix_dedup, token_counts
+from strataloom.llm import chat_format, exact_dedup, language_id, lexical_search, license_scan, near_dedup, packing, quality_rules, source_mix, substring_dedup, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_chat_format": chat_format.query,
     "op10_exact_dedup": exact_dedup.query,
     "op12_suffix_dedup": suffix_dedup.query,
+    "op13_lexical_search": lexical_search.query,
 }
 
 ORACLES = {
@@ -24,4 +25,5 @@ ORACLES = {
     "op6_quality_rules": quality_rules.ORACLE,
     "op9_chat_format": chat_format.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
+    "op13_lexical_search": lexical_search.ORACLE,
 }
