@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataloom.llm import chat_format, exact_dedup, language_id, lexical_search, license_scan, near_dedup, packing, quality_rules, source_mix, substring_dedup, suffix_dedup, token_counts
+from strataloom.llm import chat_format, exact_dedup, language_id, lexical_search, license_scan, near_dedup, packing, quality_rules, source_mix, substring_dedup, suffix_dedup, token_counts, turn_repair
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language_id": language_id.query,
     "op9_chat_format": chat_format.query,
     "op10_exact_dedup": exact_dedup.query,
+    "op11_turn_repair": turn_repair.query,
     "op12_suffix_dedup": suffix_dedup.query,
     "op13_lexical_search": lexical_search.query,
 }
