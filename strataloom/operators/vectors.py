@@ -7,11 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.functions.rules import SCORE_FLOOR, TOP_K
 from strataloom.functions.text import embedding_text
+from strataloom.operators import vector_index
+from strataloom.operators.shuffles import Scratch
 from strataloom.plans.session import ship
 
 
@@ -70,45 +72,14 @@ def top_k(points: DataFrame, query: list[float], vector_col: str, id_col: str, k
     return scores(points, query, vector_col).filter(F.col("score") >= floor).orderBy(F.desc("score"), id_col).limit(k)
 
 
-def top_k_each(points: DataFrame, queries: DataFrame, vector_col: str, id_col: str, k: int = TOP_K, floor: float = SCORE_FLOOR, block: int = 8192) -> DataFrame:
-    """query_id, id, score, place: top k for each row of queries (query_id, vector), a stated query set.
+def top_k_each(points: DataFrame, queries: DataFrame, vector_col: str, id_col: str, k: int = TOP_K, floor: float = SCORE_FLOOR) -> DataFrame:
+    """query_id, id, score, place: top k of all points for each row of queries (query_id, vector), a stated query set.
 
-    Queries are taken in blocks of about `block` by a hash of their id; a block goes to every task as one matrix.
-    Points are read once a block, and a task keeps k rows a query, so only those meet in the last ordering. Every
-    point of a batch that ties with its k-th score counts, so ids order ties whatever the batches.
+    Exact: blocks of points meet blocks of queries by an equi-join; a block keeps every point that ties with its k-th score,
+    so ids order ties whatever the blocks.
     """
-    ship(points.sparkSession)
-    spark, n = points.sparkSession, -(-queries.count() // block)
-    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {points.schema[id_col].dataType.simpleString()}, score double"
-    rows = points.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"))
-    found = spark.createDataFrame([], kinds)
-    for i in range(n):
-        part = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i).select("query_id", "vector").collect()
-        matrix = np.array([r[1] for r in part], np.float64).reshape(len(part), -1)
-        sent = spark.sparkContext.broadcast(([r[0] for r in part], matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)))
-
-        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            ids, matrix = sent.value
-            best = pd.DataFrame({"q": [], "id": [], "score": []})
-            for b in batches:
-                if not len(b) or not ids:
-                    continue
-                # copies of a vector are scored once: they tie, and of each tie the k smallest ids are enough
-                b = b.sort_values("id", ignore_index=True)
-                m, copy = np.unique(np.stack(b.vector.to_numpy()).astype(np.float64), axis=0, return_inverse=True)
-                m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-                s = m @ matrix.T
-                least = np.partition(s, -k, axis=0)[-k] if len(m) > k else np.full(s.shape[1], -np.inf)
-                at, q = np.nonzero(s >= np.maximum(least, floor) - 1e-9)
-                # a matrix product may round by place; this sum is the same in every batch
-                new = pd.DataFrame({"at": at, "q": q, "score": np.einsum("ij,ij->i", m[at], matrix[q])})
-                firsts = pd.DataFrame({"at": copy.reshape(-1), "id": b.id}).groupby("at").head(k)
-                new = new.merge(firsts, on="at")[["q", "id", "score"]]
-                best = pd.concat([best, new[new.score >= floor]]).sort_values(["q", "score", "id"], ascending=[True, False, True]).groupby("q").head(k)
-            yield pd.DataFrame({"query_id": [ids[int(q)] for q in best.q], "id": best.id, "score": best.score})
-
-        found = found.unionByName(rows.mapInPandas(run, kinds))
-    return found.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).filter(F.col("place") <= k)
+    scratch = Scratch(points.sparkSession, "vectors")
+    return vector_index.search(vector_index.build_index(points, vector_col, id_col, scratch), queries, scratch, k=k, floor=floor)
 
 
 def hashed_embedding(text: str, size: int = 384) -> list[float]:

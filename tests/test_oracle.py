@@ -8,7 +8,7 @@ import os
 import duckdb
 import pytest
 
-from strataloom.plans.details import ORACLES, QUERIES
+from strataloom.plans.stored import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
