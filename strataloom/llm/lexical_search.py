@@ -136,7 +136,7 @@ def _best(places: np.ndarray, scores: np.ndarray, offsets: np.ndarray, uses: tup
     first, of, factor = uses
     term = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     keys = (places << 32 | np.arange(len(places))).tolist()
-    merged = heapq.merge(*(islice(keys, a, b) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)))
+    merged = heapq.merge(*(iter(keys[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)))
     heaps: list[list[tuple[int, int]]] = [[] for _ in range(items)]
     least = np.zeros(items, np.int64)
     rest = np.empty(0, np.int64)
