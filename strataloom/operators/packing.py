@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.functions.rules import PACK_ALWAYS, PACK_OVERHEAD
+from strataloom.operators.scan import WHOLE, Segments, by_size
 from strataloom.plans.session import ship
 
 
@@ -55,10 +56,14 @@ def pack_context(rows: DataFrame, keys: list[str], order: list[str], size: str,
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, rows.schema)
 
 
-def pack_prefix(rows: DataFrame, keys: list[str], order: list[str], size: Column, budget: int) -> DataFrame:
-    """Rows of each key up to the first that overflows the budget."""
-    run = F.sum(size).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("used", run).filter(F.col("used") <= budget)
+def pack_prefix(rows: DataFrame, keys: list[str], order: list[str], size: Column, budget: int, whole: int = WHOLE) -> DataFrame:
+    """Rows of each key, with `used`, up to the first that overflows the budget. A key of more than `whole` rows is scanned in parts."""
+
+    def plain(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("used", F.sum(size).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+
+    packed = by_size(rows, keys, whole, plain, lambda rows, scratch: Segments(rows, keys, order, scratch).total(size, "used").out())
+    return packed.filter(F.col("used") <= budget)
 
 
 def diff_size(length: Column, n_files: Column, budget: int, marker: int = 22) -> Column:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataloom.operators import scan
+from strataloom.operators.scan import WHOLE, Segments, by_size
+
 
 def latest_per_key(rows: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
     """The last row of each key by `order`, of which the last entry breaks ties.
@@ -27,26 +30,53 @@ def last_n(rows: DataFrame, keys: list[str], order: list[str], n: int) -> DataFr
     return rows.withColumn("__n", F.row_number().over(newest)).filter(F.col("__n") <= n).drop("__n")
 
 
-def merge_windows(ranges: DataFrame, keys: list[str], total: Column, padding: int = 15, gap: int = 6, most: int = 4) -> DataFrame:
-    """Line ranges (start, end) padded, clamped to [1, total] and merged where the next begins within `gap` lines; the first `most`."""
-    rows = ranges.withColumns({"start": F.greatest(F.lit(1), F.col("start") - padding), "end": F.least(total, F.col("end") + padding)})
-    order = Window.partitionBy(*keys).orderBy("start", "end")
-    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("opens", (before.isNull() | (F.col("start") > before + gap)).cast("int")).withColumn("n", F.sum("opens").over(order))
-    return rows.groupBy(*keys, "n").agg(F.min("start").alias("start"), F.max("end").alias("end")).filter(F.col("n") <= most)
+def merge_windows(ranges: DataFrame, keys: list[str], total: Column, padding: int = 15, gap: int = 6, most: int = 4, whole: int = WHOLE) -> DataFrame:
+    """Line ranges (start, end) padded, clamped to [1, total] and merged where the next begins within `gap` lines; the first `most`.
+
+    A key of more than `whole` ranges is scanned in parts.
+    """
+    rows = ranges.withColumns({"start": F.greatest(F.lit(1), F.col("start") - padding), "end": F.least(total, F.col("end") + padding)}).select(*keys, "start", "end")
+    opens = lambda before: (before.isNull() | (F.col("start") > before + gap)).cast("int")
+
+    def plain(rows: DataFrame) -> DataFrame:
+        order = Window.partitionBy(*keys).orderBy("start", "end")
+        before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        return rows.withColumn("opens", opens(before)).withColumn("n", F.sum("opens").over(order)).select(*keys, "start", "end", "n")
+
+    def split(rows: DataFrame, scratch: scan.Scratch) -> DataFrame:
+        cut = Segments(rows, keys, ["start", "end"], scratch).greatest_before(F.col("end"), "before").total(opens(F.col("before")), "n")
+        return cut.out().select(*keys, "start", "end", "n")
+
+    merged = by_size(rows, keys, whole, plain, split)
+    return merged.groupBy(*keys, "n").agg(F.min("start").alias("start"), F.max("end").alias("end")).filter(F.col("n") <= most)
+
+
+def sliding_sum(rows: DataFrame, keys: list[str], ts: str, value: str, seconds: int = 60, name: str = "used", whole: int = WHOLE) -> DataFrame:
+    """Sum over the rows of the last `seconds`, the row that is exactly so old excluded; null for a row without a time.
+
+    A key of more than `whole` rows is scanned in parts.
+    """
+
+    def plain(rows: DataFrame) -> DataFrame:
+        micros = F.unix_micros(F.col(ts).cast("timestamp"))
+        frame = Window.partitionBy(*keys).orderBy("__t").rangeBetween(1 - seconds * 1_000_000, 0)
+        return rows.withColumn("__t", micros).withColumn(name, F.when(F.col("__t").isNotNull(), F.sum(value).over(frame))).drop("__t")
+
+    return by_size(rows, keys, whole, plain, lambda rows, scratch: scan.sliding_sum(rows, keys, ts, value, seconds * 1_000_000, name, scratch))
+
 
+def status_changes(rows: DataFrame, keys: list[str], order: list[str], status: Column, whole: int = WHOLE) -> DataFrame:
+    """Rows whose status differs from the one before; the first of each key too. A key of more than `whole` rows is scanned in parts."""
 
-def sliding_sum(rows: DataFrame, keys: list[str], ts: str, value: str, seconds: int = 60, name: str = "used") -> DataFrame:
-    """Sum over the rows of the last `seconds`, the row that is exactly so old excluded."""
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    frame = Window.partitionBy(*keys).orderBy("__t").rangeBetween(1 - seconds * 1_000_000, 0)
-    return rows.withColumn("__t", micros).withColumn(name, F.sum(value).over(frame)).drop("__t")
+    def plain(rows: DataFrame) -> DataFrame:
+        before = F.lag("__s").over(Window.partitionBy(*keys).orderBy(*order))
+        return rows.withColumn("__s", status).withColumn("__b", before).filter(~F.col("__s").eqNullSafe(F.col("__b"))).drop("__s", "__b")
 
+    def split(rows: DataFrame, scratch: scan.Scratch) -> DataFrame:
+        cut = Segments(rows.withColumn("__s", status), keys, order, scratch).before(F.col("__s"), "__b").out()
+        return cut.filter(~F.col("__s").eqNullSafe(F.col("__b.value"))).drop("__s", "__b")
 
-def status_changes(rows: DataFrame, keys: list[str], order: list[str], status: Column) -> DataFrame:
-    """Rows whose status differs from the one before; the first of each key too."""
-    before = F.lag("__s").over(Window.partitionBy(*keys).orderBy(*order))
-    return rows.withColumn("__s", status).withColumn("__b", before).filter(~F.col("__s").eqNullSafe(F.col("__b"))).drop("__s", "__b")
+    return by_size(rows, keys, whole, plain, split)
 
 
 def fixed_rate(rows: DataFrame, keys: list[str], ts: str, seconds: int, most: int) -> DataFrame:

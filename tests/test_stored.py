@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 
+import functools
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strataloom.operators import vector_index, vectors
+from strataloom.operators import packing, vector_index, vectors, windows
+from strataloom.operators.scan import Segments
 from strataloom.operators.shuffles import Scratch
+from strataloom.plans.stored import ORACLES, QUERIES
+from tests.test_oracle import SF, plain
 
 # -- vectors ----------------------------------------------------------------------
 
@@ -63,3 +69,60 @@ def test_index_of_nothing(spark):
     index = vector_index.build_index(none, "v", "id", scratch, centers)
     queries = none.select(F.col("id").alias("query_id"), F.col("v").alias("vector"))
     assert vector_index.probes_for(index, queries, scratch, centers) == 1 and vector_index.search(index, queries, scratch, centers).count() == 0
+
+
+# -- scans of hot keys ------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def hot(spark):
+    """Most events under one user, some under a null one, ties in time, null values and times."""
+    rng = random.Random(7)
+    rows = [(i, rng.choice([1] * 8 + [2, None]), rng.choice([None, *range(1000)]), rng.choice(["a", "a", "b", None]), rng.choice([None, 1.5, 2.25, 100.125])) for i in range(700)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, second int, status string, value double")
+    return df.withColumn("ts", F.timestamp_seconds("second")).repartition(4).cache()
+
+
+def rows_of(df):
+    return sorted(map(repr, (tuple(r) for r in df.collect())))
+
+
+def test_scans_in_parts_equal_plain_windows(hot):
+    both = lambda f: (rows_of(f(10**9)), rows_of(f(60)))
+    whole, split = both(lambda n: windows.sliding_sum(hot, ["user_id"], "ts", "value", 60, whole=n).select("event_id", "used"))
+    assert whole == split and len(whole) == 700
+    whole, split = both(lambda n: windows.status_changes(hot, ["user_id"], ["ts", "event_id"], F.col("status"), whole=n).select("event_id", "status"))
+    assert whole == split and 100 < len(whole) < 700
+    whole, split = both(lambda n: packing.pack_prefix(hot, ["user_id"], ["ts", "event_id"], F.col("value"), 5000, whole=n).select("event_id", "used"))
+    assert whole == split and 100 < len(whole) < 700
+    ranges = hot.filter("second IS NOT NULL").select("user_id", (F.col("second") * 7).alias("start"), (F.col("second") * 7 + F.col("event_id") % 9).alias("end"))
+    whole, split = both(lambda n: windows.merge_windows(ranges, ["user_id"], F.lit(9000), padding=1, gap=2, most=1000, whole=n))
+    assert whole == split and len(whole) > 50
+
+
+def test_parts_of_a_hot_key_are_many_and_alike(spark, hot):
+    cut = Segments(hot.filter("user_id = 1"), ["user_id"], ["ts"], Scratch(spark, "test"))
+    sizes = [r["count"] for r in cut.rows.groupBy("__part").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 0.45 * sum(sizes)
+
+
+def test_scans_of_nothing(hot):
+    none = hot.limit(0)
+    assert windows.sliding_sum(none, ["user_id"], "ts", "value", whole=0).count() == 0
+    assert windows.status_changes(none, ["user_id"], ["ts"], F.col("status"), whole=0).count() == 0
+
+
+def test_plain_queries_on_hot_keys_equal_their_sql(spark, monkeypatch):
+    """The registered queries with a bound so low that every key is scanned in parts, as if it were hot."""
+    import duckdb
+
+    con = duckdb.connect()
+    for name in ("events", "documents"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{SF}/{name}.parquet')")
+    for module, name, query in ((windows, "merge_windows", "merge_windows"), (windows, "sliding_sum", "sliding_tokens"), (windows, "status_changes", "status_changes"), (packing, "pack_prefix", "diff_pack_prefix")):
+        monkeypatch.setattr(module, name, functools.partial(getattr(module, name), whole=2))
+        df = QUERIES[query](spark, SF)
+        cols = sorted(df.columns)
+        ran = con.execute(ORACLES[query])
+        at = [[d[0] for d in ran.description].index(c) for c in cols]
+        assert sorted(tuple(map(plain, (r[c] for c in cols))) for r in df.collect()) == sorted(tuple(plain(r[i]) for i in at) for r in ran.fetchall())
