@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.functions import paths
 from strataloom.functions.rules import MAX_FILE_SIZE, MAX_FILES
 from strataloom.operators import chunking, graph, selection, upserts, vectors
 from strataloom.operators.extract.analyze import analyze_files
+from strataloom.streaming.ledger import Store
 
 # Chunks of a repository, and changed files that a push may bring.
 MAX_CHUNKS, MAX_CHANGED = 6000, 120
@@ -72,3 +73,33 @@ def index_incremental(old: dict[str, DataFrame], changes: DataFrame, contents: D
     sources = now.select(F.col("path").alias("file_path"), "content").join(changed, "file_path", "left_semi")
     new = _tables(sources, None, provider, rest["files"].select("file_path"), rest["symbols"])
     return {name: graph.latest_edges(old[name], new[name], gone, column) for name, column in FILE_OF.items()}
+
+
+def index_store(spark: SparkSession, path: str, like: dict[str, DataFrame]) -> Store:
+    """A store for the tables of many repositories; like: the tables of any index, for their schemas."""
+    schemas = {name: "repository string, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in like[name].schema) for name in FILE_OF}
+    return Store(spark, path, {name: (schema, ["repository"]) for name, schema in schemas.items()})
+
+
+def store_index(store: Store, batch: int, repository: str, index: dict[str, DataFrame]) -> bool:
+    """Put a whole index in place of what is stored of the repository; False where the batch is a replay."""
+    return _replace(store, batch, repository, {}, lambda old, changes: index)
+
+
+def store_push(store: Store, batch: int, repository: str, changes: DataFrame, contents: DataFrame, **settings) -> bool:
+    """Apply a push (see index_incremental) to the stored index of the repository; False where the batch is a replay."""
+    given = {"changes": changes, "contents": contents}
+    return _replace(store, batch, repository, given, lambda old, staged: index_incremental(old, staged["changes"], staged["contents"], **settings))
+
+
+def _replace(store: Store, batch: int, repository: str, given: dict[str, DataFrame], make) -> bool:
+    own = F.col("repository") == repository
+    named = {name: rows.withColumn("repository", F.lit(repository)) for name, rows in given.items()}
+    named["repository"] = store.spark.range(1).select(F.lit(repository).alias("repository"))
+
+    def merge(old: dict[str, DataFrame], staged: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        before = {name: rows.filter(own).drop("repository") for name, rows in old.items()}
+        after = make(before, {name: rows.drop("repository") for name, rows in staged.items()})
+        return {name: old[name].filter(~own).unionByName(after[name].withColumn("repository", F.lit(repository))) for name in FILE_OF}
+
+    return store.update(batch, named, merge)

@@ -9,6 +9,7 @@ from strataloom.operators import vector_index
 from strataloom.operators.shuffles import Scratch
 from strataloom.plans.details import ORACLES, QUERIES, query
 from strataloom.sources.tables import table
+from strataloom.streaming.ledger import Store
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -34,3 +35,32 @@ def vector_index_topk(spark, sf_dir):
 def vector_index_recall(spark, sf_dir):
     measured = vector_index.recall(*_vector_search(spark, sf_dir))
     return measured.agg(F.count("*").alias("queries"), F.coalesce(F.avg("recall") >= 0.9, F.lit(False)).alias("enough"))
+
+# -- a stream of batches, each applied once -----------------------------------------
+
+_TOTALS = "user_id bigint, event_type string, n bigint, last_id bigint, total decimal(38,10)"
+
+
+def _add_events(old: dict[str, DataFrame], changes: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Counts and sums, which applying a batch twice would spoil."""
+    keys = ["user_id", "event_type"]
+    new = changes["events"].groupBy(*keys).agg(F.count("*").alias("n"), F.max("event_id").alias("last_id"), F.sum(F.col("value").cast("decimal(28,10)")).alias("total"))
+    both = old["totals"].unionByName(new)
+    return {"totals": both.groupBy(*keys).agg(F.sum("n").alias("n"), F.max("last_id").alias("last_id"), F.sum("total").cast("decimal(38,10)").alias("total"))}
+
+
+@query("SELECT user_id, event_type, count(*) AS n, max(event_id) AS last_id, round(sum(value::decimal(28,10)), 4)::double AS total FROM events GROUP BY 1, 2")
+def replayed_batches(spark, sf_dir):
+    """events as a stream of five files; each batch is tried twice."""
+    scratch, events = Scratch(spark, "replay"), table(spark, sf_dir, "events")
+    landed = f"{scratch.path}/landed"
+    events.repartitionByRange(5, "event_id").write.parquet(landed)
+    store = Store(spark, f"{scratch.path}/store", {"totals": (_TOTALS, ["user_id", "event_type"])}, buckets=8)
+
+    def twice(df: DataFrame, n: int) -> None:
+        for _ in range(2):
+            store.update(n, {"events": df}, _add_events)
+
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    stream.writeStream.option("checkpointLocation", f"{scratch.path}/offsets").foreachBatch(twice).trigger(availableNow=True).start().awaitTermination()
+    return store.read("totals").select("user_id", "event_type", "n", "last_id", F.round("total", 4).cast("double").alias("total"))

@@ -10,10 +10,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strataloom.operators import packing, vector_index, vectors, windows
+from strataloom.operators import indexing, packing, vector_index, vectors, windows
 from strataloom.operators.scan import Segments
 from strataloom.operators.shuffles import Scratch
+from strataloom.plans import fixtures as X
 from strataloom.plans.stored import ORACLES, QUERIES
+from strataloom.streaming.ledger import Store, into
 from tests.test_oracle import SF, plain
 
 # -- vectors ----------------------------------------------------------------------
@@ -126,3 +128,64 @@ def test_plain_queries_on_hot_keys_equal_their_sql(spark, monkeypatch):
         ran = con.execute(ORACLES[query])
         at = [[d[0] for d in ran.description].index(c) for c in cols]
         assert sorted(tuple(map(plain, (r[c] for c in cols))) for r in df.collect()) == sorted(tuple(plain(r[i]) for i in at) for r in ran.fetchall())
+
+
+# -- batches applied once ---------------------------------------------------------
+
+
+def _counts(old, new):
+    return {"t": old["t"].unionByName(new["t"]).groupBy("k").agg(F.sum("n").alias("n"))}
+
+
+def test_a_batch_counts_once_whatever_fails(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"), {"t": ("k string, n bigint", ["k"])}, buckets=4)
+    rows = lambda *k: {"t": spark.createDataFrame([(x, 1) for x in k], "k string, n bigint")}
+    held = lambda: {r["k"]: r["n"] for r in store.read("t").collect()}
+    assert held() == {} and store.update(0, rows("a", "b", None), _counts) and held() == {"a": 1, "b": 1, None: 1}
+    assert not store.update(0, rows("a"), _counts) and held()["a"] == 1  # a replay
+
+    def broken(old, new):
+        raise OSError("an executor was lost")
+
+    before = store.manifest()
+    with pytest.raises(OSError, match="lost"):
+        store.update(1, rows("a"), broken)
+    swap, store._swap = store._swap, lambda _: broken(0, 0)  # lost between the write and the swap
+    with pytest.raises(OSError, match="lost"):
+        store.update(1, rows("a"), _counts)
+    store._swap = swap
+    assert store.manifest() == before and held()["a"] == 1
+    assert store.update(1, rows("a", "c"), _counts) and held() == {"a": 2, "b": 1, None: 1, "c": 1}
+    assert store.update(2, rows(), _counts) and held()["a"] == 2  # an empty batch is a batch
+    assert store.sweep() > 0 and held() == {"a": 2, "b": 1, None: 1, "c": 1} and store.sweep() == 0
+    untouched = {b: f for b, f in before.folders["t"].items() if f in store.manifest().folders["t"].values()}
+    assert untouched  # buckets without a change keep their files
+    other = Store(spark, store.path, store.tables, buckets=4)
+    with pytest.raises(RuntimeError, match="another writer"):
+        other._swap(store.manifest())
+    with pytest.raises(ValueError, match="doesn't touch"):
+        store.update(3, rows("a"), lambda old, new: {"t": spark.createDataFrame([(x, 1) for x in "abcdefgh"], "k string, n bigint")})
+
+
+def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
+    landed, store = str(tmp_path / "in"), Store(spark, str(tmp_path / "store"), {"t": ("k string, n bigint", ["k"])})
+    for turn in range(2):
+        spark.createDataFrame([("a", 1), ("b", turn)], "k string, n bigint").coalesce(1).write.mode("append").parquet(landed)
+        stream = spark.readStream.schema("k string, n bigint").parquet(landed)
+        into(stream, store, lambda df: {"t": df}, _counts, str(tmp_path / "offsets")).awaitTermination()
+    assert {r["k"]: r["n"] for r in store.read("t").collect()} == {"a": 2, "b": 1} and store.manifest().batch == 1
+
+
+def test_a_push_changes_the_stored_index_once(spark, tmp_path):
+    tree = spark.createDataFrame(X.DEMO, "file_path string, content string").select(F.col("file_path").alias("path"), F.octet_length("content").alias("size"), "content").cache()
+    last = max(p for p, _ in X.DEMO)
+    first = indexing.index_full(tree.filter(F.col("path") != last))
+    store = indexing.index_store(spark, str(tmp_path / "index"), first)
+    assert indexing.store_index(store, 0, "o/r", first) and indexing.store_index(store, 1, "o/s", first)
+    push = spark.createDataFrame([(0, last, "added")], "place int, file_path string, kind string")
+    assert indexing.store_push(store, 2, "o/r", push, tree) and not indexing.store_push(store, 2, "o/r", push, tree)
+    whole = indexing.index_full(tree)
+    for name, cols in {"files": ["file_path", "symbol_count"], "symbols": ["file_path", "qualified_name", "start_line"], "edges": ["type", "from_file", "to_name", "line"], "chunks": ["file_path", "start_line", "code"]}.items():
+        held = store.read(name)
+        assert rows_of(held.filter("repository = 'o/r'").select(*cols)) == rows_of(whole[name].select(*cols)), name
+        assert rows_of(held.filter("repository = 'o/s'").select(*cols)) == rows_of(first[name].select(*cols)), name
