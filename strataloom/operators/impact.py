@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataloom.operators import grams
+from strataloom.operators.grams import GramIndex
+from strataloom.operators.shuffles import Scratch
+
 # Limits of each part, and the confidence from which a caller counts as certain.
 DEFINITIONS, CALLS, IMPORTERS, SECOND_HOP, CALLERS, ROUTE_FILES, ROUTES_EACH, LISTED, CERTAIN = 10, 400, 200, 200, 40, 40, 8, 40, 0.7
 SEVERITY = ("", "LOW", "MEDIUM", "HIGH")
@@ -114,8 +118,20 @@ def overall_risk(counts: DataFrame) -> DataFrame:
     return counts.select(F.when(F.col("high") > 0, "HIGH").when(F.col("medium") > 0, "MEDIUM").otherwise("LOW").alias("risk"))
 
 
-def search_symbols(symbols: DataFrame, term: str, most: int = 25) -> DataFrame:
-    """Symbols whose name contains the term in any case; none for less than two characters."""
-    term = term.strip()
-    hit = F.contains(F.lower("name"), F.lit(term.lower())) if len(term) > 1 else F.lit(False)
+def search_symbols(symbols: DataFrame, term: str, most: int = 25, index: GramIndex | None = None) -> DataFrame:
+    """Symbols whose name contains the term in any case; none for less than two characters.
+
+    index: a stored one of the distinct names in lower case, each its own id (name_index); it is asked instead of all names.
+    """
+    term = term.strip().lower()
+    hit = F.contains(F.lower("name"), F.lit(term)) if len(term) > 1 else F.lit(False)
+    if index is not None and len(term) > 1:
+        spark = symbols.sparkSession
+        wanted = spark.range(1).select(F.lit(term).alias("needle"))
+        names = grams.candidates(wanted, index, Scratch(spark, "symbols")).select(F.col("id").alias("__name")).distinct()
+        symbols = symbols.join(names, F.lower("name") == F.col("__name"), "left_semi")
     return symbols.filter(hit).orderBy(F.desc("exported"), F.desc("loc"), "name", "file_path", "start_line").limit(most)
+
+
+def name_index(symbols: DataFrame, path: str) -> GramIndex:
+    return GramIndex.write(symbols.select(F.lower("name").alias("name")).distinct(), "name", "name", path)

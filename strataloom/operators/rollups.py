@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from strataloom.functions import paths
 from strataloom.functions.rules import ENTRY_POINTS
+from strataloom.operators import grams
+from strataloom.operators.shuffles import Scratch
 
 
 def by_language(files: DataFrame) -> DataFrame:
@@ -61,13 +63,14 @@ def path_tree(files: DataFrame, path: str = "file_path") -> DataFrame:
 
 
 def related_tests(tests: DataFrame, changed: DataFrame, most: int = 60) -> DataFrame:
-    """Test files whose path contains the name of a changed file, without its extension.
+    """Test files whose path contains the name of a changed file, without its extension: the first `most` by path.
 
-    The changed set is a stated query set of `most` paths: it is compared with every test path.
+    All changed files count; names and paths meet by gram postings.
     """
+    scratch = Scratch(tests.sparkSession, "tests")
     base = F.regexp_replace(paths.basename(F.col("file_path")), r"(?i)\.[a-z]+$", "")
-    names = changed.orderBy("file_path").limit(most).select(base.alias("base")).distinct()
-    return tests.join(F.broadcast(names), F.contains(F.col("file_path"), F.col("base")), "left_semi")
+    found = grams.containing(tests.select(F.col("file_path").alias("path")), changed.select(base.alias("base")), "path", "path", "base", scratch)
+    return tests.join(found.select(F.col("id").alias("file_path")), "file_path", "left_semi").orderBy("file_path").limit(most)
 
 
 def top_per_key(rows: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:

@@ -57,15 +57,13 @@ def impact_risk(spark, sf_dir):
     return impact.overall_risk(Q._fixture_impact(spark).counts())
 
 
-_CHANGED: X.Rows = [("src/order.js",), ("pkg/login.go",), ("src/user.PY",), ("src/none.js",)]
-
-
 @query(f"""
-WITH t AS (SELECT t.* FROM {X.values(X.TREE, X.TREE_SCHEMA)}), b AS (SELECT DISTINCT regexp_replace(regexp_extract(p, '[^/]*$'), '(?i)\\.[a-z]+$', '') AS base FROM {X.values(_CHANGED, "p string")})
-SELECT path AS file_path FROM t WHERE regexp_matches(path, '(?i)test|spec') AND EXISTS (SELECT 1 FROM b WHERE contains(path, base))""")
+SELECT file_path FROM {Q._SQL_FILES} t WHERE is_test AND EXISTS (SELECT 1 FROM {Q._SQL_FILES} c WHERE NOT c.is_test AND contains(t.file_path, regexp_replace(regexp_extract(c.file_path, '[^/]*$'), '(?i)\\.[a-z]+$', '')))
+ORDER BY file_path LIMIT 60""")
 def related_tests(spark, sf_dir):
-    tests = X.frame(spark, X.TREE, X.TREE_SCHEMA).filter(F.col("path").rlike("(?i)test|spec")).select(F.col("path").alias("file_path"))
-    return rollups.related_tests(tests, X.frame(spark, _CHANGED, "file_path string"))
+    """Every file that isn't a test is a changed one."""
+    files = Q._files(spark, sf_dir)
+    return rollups.related_tests(files.filter("is_test").select("file_path"), files.filter("NOT is_test"))
 
 
 @query(f"WITH l AS ({ORACLES['module_links']}), n AS (SELECT source AS node FROM l GROUP BY 1 ORDER BY sum(weight) DESC, node LIMIT 30) SELECT source, target, weight FROM l WHERE source IN (FROM n) AND target IN (FROM n) ORDER BY weight DESC, source, target LIMIT 80")

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from strataloom.functions import paths, text
 from strataloom.functions import rules as R
-from strataloom.functions.expr import let
-from strataloom.operators import access, answers, chunking, graph, impact, indexing, jobs, manifests, packing, patches, retrieval, review, rollups, selection, upserts, vectors, views, windows
+from strataloom.operators import access, answers, chunking, grams, graph, impact, indexing, jobs, manifests, packing, patches, retrieval, review, rollups, selection, upserts, vectors, views, windows
 from strataloom.operators.extract import analyze
+from strataloom.operators.shuffles import Scratch
 from strataloom.plans import fixtures as X
 from strataloom.sources.tables import compare_trees, table
 from strataloom.streaming import events as E
@@ -184,16 +184,8 @@ def two_hop_neighbours(spark, sf_dir):
 
 @query("SELECT DISTINCT d.doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def passage_contains(spark, sf_dir):
-    docs, passages = _docs(spark, sf_dir), table(spark, sf_dir, "benchmark")
-    # containment by shared word windows: only documents that share a window of a passage are compared with it whole
-    at = lambda w, i: [F.get(w, i + k) for k in range(8)]
-    window = lambda c: let(c, lambda w: F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(w) - 8)), lambda i: F.xxhash64(*at(w, i)))))
-    words = F.split("text", " ")
-    keyed = passages.select(F.col("text").alias("passage"), F.slice(words, F.lit(2), F.greatest(F.lit(1), F.size(words) - 2)).alias("w")).select("passage", F.get(window(F.col("w")), F.lit(0)).alias("h"), (F.size("w") >= 8).alias("long"))
-    hits = docs.select("doc_id", F.explode(window(words)).alias("h")).join(F.broadcast(keyed.filter("long")), "h").select("doc_id", "passage").distinct()
-    long = hits.join(docs.select("doc_id", "text"), "doc_id").filter(F.contains("text", "passage")).select("doc_id")
-    short = docs.join(keyed.filter("NOT long").select("passage"), F.contains("text", "passage"), "left_semi").select("doc_id")
-    return long.unionByName(short).distinct()
+    scratch = Scratch(spark, "passages")
+    return grams.containing(_docs(spark, sf_dir), table(spark, sf_dir, "benchmark"), "doc_id", "text", "text", scratch, size=16).select(F.col("id").alias("doc_id")).distinct()
 
 
 @query(f"""

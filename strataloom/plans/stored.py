@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.operators import vector_index
+from strataloom.operators import grams, vector_index
 from strataloom.operators.shuffles import Scratch
 from strataloom.plans.details import ORACLES, QUERIES, query
 from strataloom.sources.tables import table
@@ -64,3 +64,29 @@ def replayed_batches(spark, sf_dir):
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(landed)
     stream.writeStream.option("checkpointLocation", f"{scratch.path}/offsets").foreachBatch(twice).trigger(availableNow=True).start().awaitTermination()
     return store.read("totals").select("user_id", "event_type", "n", "last_id", F.round("total", 4).cast("double").alias("total"))
+
+# -- substrings by gram postings -----------------------------------------------------
+
+
+@query("""
+WITH w AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS word FROM documents)
+SELECT page_id, word FROM pages JOIN w ON word <> '' AND contains(url, word)""")
+def words_in_urls(spark, sf_dir):
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", " ")).alias("word")).filter("word <> ''")
+    found = grams.containing(table(spark, sf_dir, "pages"), words, "page_id", "url", "word", Scratch(spark, "words"))
+    return found.select(F.col("id").alias("page_id"), F.col("needle").alias("word"))
+
+
+@query("""
+WITH w AS (SELECT item_id, unnest(string_split(lower(text), ' ')) AS word FROM benchmark),
+l AS (SELECT item_id, word FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY length(word) DESC, word) AS n FROM w) WHERE n = 1)
+SELECT item_id, word, doc_id FROM l JOIN documents ON contains(lower(text), word)""")
+def text_index_search(spark, sf_dir):
+    """The longest word of each passage, searched in a stored index of the lower-cased documents."""
+    scratch = Scratch(spark, "texts")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))
+    index = grams.GramIndex.write(docs, "doc_id", "text", f"{scratch.path}/index")
+    words = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.split(F.lower("text"), " ")).alias("word"))
+    longest = words.groupBy("item_id").agg(F.min_by("word", F.struct(-F.length("word"), "word")).alias("word"))
+    found = grams.containing(docs, longest, "doc_id", "text", "word", scratch, index)
+    return longest.join(found, longest["word"] == found["needle"]).select("item_id", "word", F.col("id").alias("doc_id"))

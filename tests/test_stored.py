@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strataloom.operators import indexing, packing, vector_index, vectors, windows
+from strataloom.operators import grams, impact, indexing, packing, rollups, vector_index, vectors, windows
 from strataloom.operators.scan import Segments
 from strataloom.operators.shuffles import Scratch
 from strataloom.plans import fixtures as X
@@ -189,3 +189,51 @@ def test_a_push_changes_the_stored_index_once(spark, tmp_path):
         held = store.read(name)
         assert rows_of(held.filter("repository = 'o/r'").select(*cols)) == rows_of(whole[name].select(*cols)), name
         assert rows_of(held.filter("repository = 'o/s'").select(*cols)) == rows_of(first[name].select(*cols)), name
+
+
+# -- gram postings ----------------------------------------------------------------
+
+
+def _found(df):
+    return sorted((r["needle"], r["id"]) for r in df.collect())
+
+
+@pytest.mark.parametrize("stored", [False, True])
+def test_needles_are_found_as_by_contains(spark, tmp_path, stored):
+    """Short, empty, null, absent and repeated needles; characters beyond the basic plane; a gram that every text holds."""
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("abcé😀\n ", k=rng.randint(0, 60))) + "the" for _ in range(300)] + [None, "", "ab", "the"]
+    needles = ["", None, "a", "é", "😀", "ab", "a\n", "the", "thee", "abcabcabc", "zzz", "the"] + ["".join(rng.choices("abcé😀\n ", k=rng.randint(1, 7))) for _ in range(150)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n long, t string").repartition(3)
+    scratch = Scratch(spark, "test")
+    index = grams.GramIndex.write(rows, "n", "t", str(tmp_path / "index")) if stored else None
+    got = grams.containing(rows, spark.createDataFrame([(x,) for x in needles], "x string"), "n", "t", "x", scratch, index)
+    want = sorted((x, i) for x in {*needles} - {None} for i, t in enumerate(texts) if t is not None and x in t)
+    assert _found(got) == want and len(want) > 1000
+    plan = got._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_a_search_reads_only_its_grams(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"text {i:06}") for i in range(3000)], "n long, t string")
+    index = grams.GramIndex.write(rows, "n", "t", str(tmp_path / "index"))
+    wanted = spark.createDataFrame([("999",)], "gram string").withColumn("hash", F.xxhash64("gram"))
+    part = index.of(wanted, index.postings, Scratch(spark, "test"))
+    assert part.count() == 3 and "PushedFilters: [IsNotNull(gram), EqualTo(gram,999)]" in part._jdf.queryExecution().toString()
+    few = index.of(spark.createDataFrame([("999",), ("998",)], "gram string").withColumn("hash", F.xxhash64("gram")), index.postings, Scratch(spark, "test"))
+    assert few.count() == 6 and "PushedFilters: [In(gram, [998,999])]" in few._jdf.queryExecution().toString()
+
+
+def test_all_changed_files_count(spark):
+    changed = spark.createDataFrame([(f"src/m{i:03}.js",) for i in range(200)], "file_path string")
+    tests = spark.createDataFrame([(f"tests/m{i:03}.test.js",) for i in range(150, 240)], "file_path string")
+    got = rollups.related_tests(tests, changed)
+    assert [r["file_path"] for r in got.collect()] == [f"tests/m{i}.test.js" for i in range(150, 200)]
+    assert "NestedLoop" not in got._jdf.queryExecution().toString()
+
+
+def test_symbols_by_a_stored_index(spark, tmp_path):
+    symbols = spark.createDataFrame([(f"f{i % 3}", n, i % 2 == 0, i % 5, i) for i, n in enumerate(["chargeCard", "Recharge", "refund", "CHAR", "char", "c", "harbour"])], "file_path string, name string, exported boolean, loc int, start_line int")
+    index = impact.name_index(symbols, str(tmp_path / "names"))
+    for term in ("char", "HA", "c", " fund ", "nothing"):
+        assert rows_of(impact.search_symbols(symbols, term, index=index)) == rows_of(impact.search_symbols(symbols, term))
