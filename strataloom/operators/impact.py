@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strataloom.operators import grams
 from strataloom.operators.grams import GramIndex
-from strataloom.operators.shuffles import Scratch
+from strataloom.operators.shuffles import Scratch, maybe_in
 
 # Limits of each part, and the confidence from which a caller counts as certain.
 DEFINITIONS, CALLS, IMPORTERS, SECOND_HOP, CALLERS, ROUTE_FILES, ROUTES_EACH, LISTED, CERTAIN = 10, 400, 200, 200, 40, 40, 8, 40, 0.7
@@ -23,88 +23,132 @@ def module(symbol: Column) -> Column:
     return F.when(F.coalesce(symbol, F.lit("")) == "", "<module>").otherwise(symbol)
 
 
-def symbol_name(text: str) -> str:
+def symbol_name(text: Column) -> Column:
     """The name asked for, without call brackets."""
-    return text.strip().removesuffix("()")
+    return F.regexp_replace(F.trim(text), r"\(\)$", "")
 
 
-def definitions(symbols: DataFrame, name: str, file_path: str | None = None) -> DataFrame:
-    found = symbols.filter((F.col("name") == name) | (F.col("qualified_name") == name))
-    found = found if file_path is None else found.filter(F.col("file_path") == file_path)
-    return found.orderBy("file_path", "start_line").limit(DEFINITIONS)
+def first_each(rows: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
+    """The first n rows of each key; a task gives n rows a key at most to the shuffle, so a hub costs no more than others."""
+    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("__n") <= n).drop("__n")
 
 
-class Impact:
-    """The parts of one analysis as lazy DataFrames; every limit follows a total order.
+class Impacts:
+    """Analyses of many symbols at once, as lazy DataFrames by `asked`; every limit is a question's own and follows a total order.
 
-    Symbols are matched by name; by_target matches the second hop by the resolved symbol instead of the called
-    name, which finds hops through methods too.
+    asked: asked (a key), name, file_path (null: any file). The frontier of all questions is expanded by equi-joins: edges
+    that no question may reach are left out by a bitmap, and of the edges at one node only as many are kept as a
+    question may list. Symbols are matched by name; by_target matches the second hop by the resolved symbol
+    instead of the called name, which finds hops through methods too.
     """
 
-    def __init__(self, symbols: DataFrame, edges: DataFrame, files: DataFrame, name: str, file_path: str | None = None, by_target: bool = False):
-        self.name = name = symbol_name(name)
-        self.definitions = definitions(symbols, name, file_path)
-        self.defined_in = self.definitions.select("file_path").distinct()
-        order = ["from_file", "line", "from_symbol", "to_name", "to_file"]
-        named = edges.filter(F.col("type").isin("calls", "tests") & (F.col("to_name") == name)).orderBy(*order).limit(CALLS)
+    def __init__(self, symbols: DataFrame, edges: DataFrame, files: DataFrame, asked: DataFrame, by_target: bool = False):
+        self._scratch = Scratch(symbols.sparkSession, "impact")
+        self.asked = self._keep(asked.select("asked", symbol_name(F.col("name")).alias("name"), F.col("file_path").alias("__in")), "asked")
+        named = symbols.withColumn("__name", F.explode(F.array_distinct(F.array("name", "qualified_name"))))
+        found = named.join(self.asked.select("asked", F.col("name").alias("__name"), "__in"), "__name").filter("__in IS NULL OR __in = file_path").drop("__name", "__in")
+        self.definitions = self._keep(first_each(found, ["asked"], ["file_path", "start_line", "qualified_name"], DEFINITIONS), "definitions")
+        self.defined_in = self.definitions.select("asked", "file_path").distinct()
         meta = files.select(F.col("file_path").alias("from_file"), "is_test", "language")
-        self.calls = named.join(meta, "from_file", "left").withColumn("is_test", F.coalesce("is_test", F.lit(False)))
-        self.importers = edges.filter("type = 'imports'").join(self.defined_in.select(F.col("file_path").alias("to_file")), "to_file", "left_semi").orderBy(*order).limit(IMPORTERS)
-        callers = self.calls.filter("from_symbol <> '' AND from_symbol <> '<module>'").groupBy("from_symbol").agg(F.min("from_file").alias("f")).orderBy("f", "from_symbol").limit(CALLERS)
-        callers = callers.select(F.col("from_symbol").alias("hop"))
-        target = "to_symbol" if by_target else "to_name"
-        self.second = edges.filter("type = 'calls'").withColumn("hop", F.col(target)).join(callers, "hop", "left_semi").orderBy(*order).limit(SECOND_HOP)
-        touched = self.defined_in.unionByName(self.calls.select(F.col("from_file").alias("file_path"))).distinct()
-        with_routes = files.filter(F.size("routes") > 0).join(touched, "file_path", "left_semi").orderBy("file_path").limit(ROUTE_FILES)
-        self.routes = with_routes.select("file_path", F.posexplode(F.slice("routes", 1, ROUTES_EACH)).alias("n", "route")).select("file_path", "n", "route.*")
+        named = self._edges(edges.filter(F.col("type").isin("calls", "tests")), "to_name", self.asked.select("asked", F.col("name").alias("to_name")), CALLS)
+        calls = named.join(meta, "from_file", "left").withColumn("is_test", F.coalesce("is_test", F.lit(False)))
+        self.calls = self._keep(calls.join(self.asked.select("asked", "name"), "asked"), "calls")
+        self.importers = self._edges(edges.filter("type = 'imports'"), "to_file", self.defined_in.select("asked", F.col("file_path").alias("to_file")), IMPORTERS)
+        callers = self.calls.filter("from_symbol <> '' AND from_symbol <> '<module>'").groupBy("asked", "from_symbol").agg(F.min("from_file").alias("f"))
+        callers = first_each(callers, ["asked"], ["f", "from_symbol"], CALLERS).select("asked", F.col("from_symbol").alias("hop"))
+        second = edges.filter("type = 'calls'").withColumn("hop", F.col("to_symbol" if by_target else "to_name"))
+        self.second = self._keep(self._edges(second, "hop", callers, SECOND_HOP).join(self.asked.select("asked", "name"), "asked"), "second")
+        touched = self.defined_in.unionByName(self.calls.select("asked", F.col("from_file").alias("file_path"))).distinct()
+        with_routes = first_each(files.filter(F.size("routes") > 0).join(touched, "file_path"), ["asked"], ["file_path"], ROUTE_FILES)
+        self.routes = with_routes.select("asked", "file_path", F.posexplode(F.slice("routes", 1, ROUTES_EACH)).alias("n", "route")).select("asked", "file_path", "n", "route.*")
         self.files = files
 
+    def _keep(self, rows: DataFrame, name: str) -> DataFrame:
+        """What several parts read is written: some hundred rows a question."""
+        return self._scratch.write(rows, name)
+
+    def _edges(self, edges: DataFrame, key: str, wanted: DataFrame, n: int) -> DataFrame:
+        """The first n edges of each question that hold one of its keys; wanted: asked and the key."""
+        order = ["from_file", "line", "from_symbol", "to_name", "to_file"]
+        wanted = self._keep(wanted.distinct().withColumn("__hash", F.xxhash64(key)), f"wanted-{key}")
+        near = maybe_in(edges.withColumn("__hash", F.xxhash64(key)), wanted.select("__hash"), "__hash").drop("__hash")
+        return first_each(first_each(near, [key], order, n).join(wanted.drop("__hash"), key), ["asked"], order, n)
+
     def records(self) -> DataFrame:
-        """file_path, rank, reason, detail, seq: why a file is concerned, in the order of the parts."""
+        """asked, file_path, rank, reason, detail, seq: why a file is concerned, in the order of the parts."""
         say = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
-        line = F.col("line").cast("string")
+        line, name = F.col("line").cast("string"), F.col("name")
         tests = F.col("is_test") | (F.col("type") == "tests")
         sure = F.col("confidence") >= CERTAIN
-        row = lambda part, file, rank, reason, detail, *order: [F.col(file).alias("file_path"), rank.alias("rank"), reason.alias("reason"), detail.alias("detail"), F.struct(F.lit(part).alias("p"), *[F.col(o).cast("string").alias(f"o{i}") for i, o in enumerate(order)]).alias("seq")]
+        row = lambda part, file, rank, reason, detail, *order: ["asked", F.col(file).alias("file_path"), rank.alias("rank"), reason.alias("reason"), detail.alias("detail"), F.struct(F.lit(part).alias("p"), *[F.col(o).cast("string").alias(f"o{i}") for i, o in enumerate(order)]).alias("seq")]
         order = ("from_file", "line", "from_symbol")
-        called = self.calls.select(*row(1, "from_file", F.when(tests, 1).when(sure, 3).otherwise(2), F.when(tests, f"Tests {self.name}").otherwise(f"Calls {self.name}()"), say(module(F.col("from_symbol")), f" → {self.name} at line ", line, F.when(sure, "").otherwise(" (unresolved receiver)")), *order))
-        imported = self.importers.select(*row(2, "from_file", F.lit(2), say("Imports ", F.col("to_file")), say(f"imports the module that defines {self.name} (line ", line, ")"), *order))
-        second = self.second.select(*row(3, "from_file", F.lit(2), F.lit(f"Indirectly reaches {self.name}"), say(module(F.col("from_symbol")), " → ", F.col("to_name"), f" → {self.name}"), *order))
+        called = self.calls.select(*row(1, "from_file", F.when(tests, 1).when(sure, 3).otherwise(2), F.when(tests, say("Tests ", name)).otherwise(say("Calls ", name, "()")), say(module(F.col("from_symbol")), " → ", name, " at line ", line, F.when(sure, "").otherwise(" (unresolved receiver)")), *order))
+        importers = self.importers.join(self.asked.select("asked", "name"), "asked")
+        imported = importers.select(*row(2, "from_file", F.lit(2), say("Imports ", F.col("to_file")), say("imports the module that defines ", name, " (line ", line, ")"), *order))
+        second = self.second.select(*row(3, "from_file", F.lit(2), say("Indirectly reaches ", name), say(module(F.col("from_symbol")), " → ", F.col("to_name"), " → ", name), *order))
         routed = self.routes.select(*row(4, "file_path", F.lit(3), F.lit("Exposes an API route in the affected path"), say(F.col("method"), " ", F.col("path"), " → ", F.col("handler")), "file_path", "n", "path"))
         every = called.unionByName(imported).unionByName(second).unionByName(routed)
-        return every.filter("file_path <> ''").join(self.defined_in, "file_path", "left_anti")
+        return every.filter("file_path <> ''").join(self.defined_in, ["asked", "file_path"], "left_anti")
 
     def ranked(self) -> DataFrame:
-        """file_path, severity, reasons, details, is_test, language of every concerned file, before the cut.
+        """asked, file_path, severity, reasons, details, is_test, language of every concerned file, before the cut.
 
-        A file has at most some hundred records, by the limits of the parts.
+        A file has at most some hundred records a question, by the limits of the parts.
         """
-        folded = self.records().groupBy("file_path").agg(F.max("rank").alias("rank"), F.sort_array(F.collect_list(F.struct("seq", "reason", "detail"))).alias("r"))
+        folded = self.records().groupBy("asked", "file_path").agg(F.max("rank").alias("rank"), F.sort_array(F.collect_list(F.struct("seq", "reason", "detail"))).alias("r"))
         field = lambda f: F.transform("r", lambda x: x[f])
-        out = folded.select("file_path", "rank", severity_name(F.col("rank")).alias("severity"), F.array_distinct(field("reason")).alias("reasons"), field("detail").alias("details"))
+        out = folded.select("asked", "file_path", "rank", severity_name(F.col("rank")).alias("severity"), F.array_distinct(field("reason")).alias("reasons"), field("detail").alias("details"))
         meta = self.files.select("file_path", "is_test", "language")
-        return out.join(meta, "file_path", "left").withColumns({"is_test": F.coalesce("is_test", F.lit(False)), "language": F.coalesce("language", F.lit(""))})
+        return out.join(meta, "file_path", "left").select("asked", "file_path", "rank", "severity", "reasons", "details", F.coalesce("is_test", F.lit(False)).alias("is_test"), F.coalesce("language", F.lit("")).alias("language"))
 
     def impacts(self) -> DataFrame:
-        return self.ranked().orderBy(F.desc("rank"), F.desc(F.size("details")), "file_path").limit(LISTED)
+        return first_each(self.ranked(), ["asked"], [F.desc("rank"), F.desc(F.size("details")), "file_path"], LISTED)
+
+    def counts(self) -> DataFrame:
+        out, zeros = self.asked.select("asked"), []
+        parts = [(self.definitions, "definitions"), (self.calls.filter("type = 'calls'"), "direct_callers"), (self.importers, "importers"), (self.second, "second_hop"), (self.calls.filter("is_test").select("asked", "from_file").distinct(), "tests"), (self.routes, "routes")]
+        for df, name in parts:
+            out = out.join(df.groupBy("asked").agg(F.count("*").alias(name)), "asked", "left")
+            zeros.append(name)
+        levels = self.ranked().groupBy("asked").agg(*[F.count_if(F.col("severity") == s).alias(s.lower()) for s in ("HIGH", "MEDIUM", "LOW")])
+        return out.join(levels, "asked", "left").na.fill(0, [*zeros, "high", "medium", "low"])
+
+    def tests(self) -> DataFrame:
+        return self.calls.filter((F.col("type") == "tests") | F.col("is_test")).select("asked", F.col("from_file").alias("file_path"))
+
+    def call_paths(self) -> DataFrame:
+        """asked, call_path: chains caller → name, with one hop more where it is known."""
+        order = ["from_file", "line", "from_symbol"]
+        first = first_each(self.calls.filter("type = 'calls'"), ["asked"], order, PATHS_FROM).select("asked", "from_file", "line", module(F.col("from_symbol")).alias("caller"), "name")
+        up = self.second.select("asked", F.col("to_name").alias("caller"), F.col("from_file").alias("up_file"), module(F.col("from_symbol")).alias("up"), F.row_number().over(Window.partitionBy("asked", "to_name").orderBy(*order)).alias("k")).filter(F.col("k") <= PATHS_UP)
+        path = F.concat(F.coalesce(F.concat("up_file", F.lit(":"), "up", F.lit(" → ")), F.lit("")), "from_file", F.lit(":"), "caller", F.lit(" → "), "name")
+        paths = first.join(up, ["asked", "caller"], "left").select("asked", "from_file", "line", "k", path.alias("call_path"))
+        once = paths.groupBy("asked", "call_path").agg(F.min(F.struct("from_file", "line", "k")).alias("o"))
+        return first_each(once, ["asked"], ["o"], PATHS).select("asked", "call_path")
+
+
+class Impact:
+    """The analysis of one symbol: Impacts with one question, without its key."""
+
+    def __init__(self, symbols: DataFrame, edges: DataFrame, files: DataFrame, name: str, file_path: str | None = None, by_target: bool = False):
+        asked = symbols.sparkSession.range(1).select(F.lit(0).alias("asked"), F.lit(name).alias("name"), F.lit(file_path).cast("string").alias("file_path"))
+        self._of = Impacts(symbols, edges, files, asked, by_target)
+        self.definitions, self.defined_in, self.calls, self.importers, self.second, self.routes = (df.drop("asked") for df in (self._of.definitions, self._of.defined_in, self._of.calls, self._of.importers, self._of.second, self._of.routes))
+
+    def impacts(self) -> DataFrame:
+        return self._of.impacts().drop("asked").orderBy(F.desc("rank"), F.desc(F.size("details")), "file_path")
+
+    def ranked(self) -> DataFrame:
+        return self._of.ranked().drop("asked")
 
     def counts(self) -> DataFrame:
-        one = lambda df, name: df.agg(F.count("*").alias(name))
-        out = one(self.definitions, "definitions")
-        for df, name in ((self.calls.filter("type = 'calls'"), "direct_callers"), (self.importers, "importers"), (self.second, "second_hop"), (self.calls.filter("is_test").select("from_file").distinct(), "tests"), (self.routes, "routes")):
-            out = out.join(one(df, name))  # one row each
-        levels = self.ranked().agg(*[F.count_if(F.col("severity") == s).alias(s.lower()) for s in ("HIGH", "MEDIUM", "LOW")])
-        return out.join(levels)
+        return self._of.counts().drop("asked")
 
     def tests(self) -> DataFrame:
-        return self.calls.filter((F.col("type") == "tests") | F.col("is_test")).select(F.col("from_file").alias("file_path"))
+        return self._of.tests().drop("asked")
 
     def call_paths(self) -> DataFrame:
-        """call_path: chains caller → name, with one hop more where it is known."""
-        first = self.calls.filter("type = 'calls'").orderBy("from_file", "line", "from_symbol").limit(PATHS_FROM).select("from_file", "line", module(F.col("from_symbol")).alias("caller"))
-        up = self.second.select(F.col("to_name").alias("caller"), F.col("from_file").alias("up_file"), module(F.col("from_symbol")).alias("up"), F.row_number().over(Window.partitionBy("to_name").orderBy("from_file", "line", "from_symbol")).alias("k")).filter(F.col("k") <= PATHS_UP)
-        paths = first.join(up, "caller", "left").select("from_file", "line", "k", F.concat(F.coalesce(F.concat("up_file", F.lit(":"), "up", F.lit(" → ")), F.lit("")), "from_file", F.lit(":"), "caller", F.lit(f" → {self.name}")).alias("call_path"))
-        return paths.groupBy("call_path").agg(F.min(F.struct("from_file", "line", "k")).alias("o")).orderBy("o").limit(PATHS).select("call_path")
+        return self._of.call_paths().drop("asked")
 
 
 def with_semantic(impacts: DataFrame, hits: DataFrame, defined_in: DataFrame, most: int = 6, listed: int = LISTED) -> DataFrame:

@@ -7,7 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataloom.operators.impact import first_each
 from strataloom.operators.packing import greedy
+from strataloom.operators.shuffles import Scratch, maybe_in
 
 # Weights of the origins, and limits.
 WEIGHT = {"structural": 3, "semantic": 2, "graph": 1, "fallback": 0}
@@ -29,15 +31,31 @@ def covering_chunk(symbols: DataFrame, chunks: DataFrame) -> DataFrame:
     return symbols.join(c, inside).withColumn("__n", first).filter("__n = 1").drop("__n")
 
 
+def neighbours_each(edges: DataFrame, focus: DataFrame, scratch: Scratch, most_edges: int = EDGES, most: int = NEIGHBOURS) -> tuple[DataFrame, DataFrame]:
+    """(edges at the focus files of each question, file_path of the first files at their other ends); focus: asked, file_path.
+
+    Repeated edges count once. Edges far from all questions are left out by a bitmap, and each file gives as many as a
+    question may have, so a file with very many edges costs no more than others. The edges are written: several parts read them.
+    """
+    order = ["from_file", "line", "to_name", "to_file"]
+    keys = scratch.write(focus.select("asked", "file_path").distinct().withColumn("__hash", F.xxhash64("file_path")), "focus")
+
+    def at(end: str, kinds: str) -> DataFrame:
+        near = maybe_in(edges.filter(kinds).withColumn("__hash", F.xxhash64(end)), keys.select("__hash"), "__hash").drop("__hash")
+        few = first_each(near.dropDuplicates(), [end], [*order, *sorted(set(edges.columns) - {*order})], most_edges)
+        return few.join(keys.select("asked", F.col("file_path").alias(end)), end).select("asked", *edges.columns)
+
+    both = at("to_file", "type IN ('calls', 'imports')").unionByName(at("from_file", "type = 'calls'")).dropDuplicates()
+    near = scratch.write(first_each(both, ["asked"], [*order, *sorted(set(edges.columns) - {*order})], most_edges), "near")
+    ends = near.select("asked", "from_file", "line", F.posexplode(F.array("from_file", "to_file")).alias("k", "file_path")).filter("file_path <> ''").join(keys, ["asked", "file_path"], "left_anti")
+    files = ends.groupBy("asked", "file_path").agg(F.min(F.struct("from_file", "line", "k")).alias("o"))
+    return near, first_each(files, ["asked"], ["o"], most).select("asked", "file_path")
+
+
 def neighbour_files(edges: DataFrame, focus: DataFrame, most_edges: int = EDGES, most: int = NEIGHBOURS) -> tuple[DataFrame, DataFrame]:
-    """(edges at the focus files, file_path of the first files at their other ends)."""
-    keys = focus.select("file_path").distinct()
-    into = edges.filter("type IN ('calls', 'imports')").join(keys.withColumnRenamed("file_path", "to_file"), "to_file", "left_semi")
-    out = edges.filter("type = 'calls'").join(keys.withColumnRenamed("file_path", "from_file"), "from_file", "left_semi")
-    near = into.unionByName(out).dropDuplicates().orderBy("from_file", "line", "to_name", "to_file").limit(most_edges).persist()
-    ends = near.select("from_file", "line", F.posexplode(F.array("from_file", "to_file")).alias("k", "file_path")).filter("file_path <> ''").join(keys, "file_path", "left_anti")
-    files = ends.groupBy("file_path").agg(F.min(F.struct("from_file", "line", "k")).alias("o")).orderBy("o").limit(most).select("file_path")
-    return near, files
+    """neighbours_each for one question: (edges, file_path)."""
+    near, files = neighbours_each(edges, focus.select(F.lit(0).alias("asked"), "file_path"), Scratch(edges.sparkSession, "neighbours"), most_edges, most)
+    return near.drop("asked"), files.drop("asked")
 
 
 def graph_notes(near: DataFrame) -> DataFrame:
@@ -63,10 +81,11 @@ def retrieve(chunks: DataFrame, symbols: DataFrame, edges: DataFrame, semantic:
 
     semantic: its similar chunks with score, best first; names: the identifiers in it. Of several ways to one chunk
     (file and first line) the strongest origin counts. Nothing found: the first chunks of the repository. What the
-    limits bound to some hundred rows is kept, as several parts read it.
+    limits bound to some hundred rows is written, as several parts read it.
     """
-    semantic = semantic.persist()
-    matched = symbols.join(names.select("name").distinct(), "name", "left_semi").orderBy("file_path", "start_line").limit(SYMBOLS).persist()
+    scratch = Scratch(chunks.sparkSession, "retrieval")
+    semantic = scratch.write(semantic, "semantic")
+    matched = scratch.write(symbols.join(names.select("name").distinct(), "name", "left_semi").orderBy("file_path", "start_line").limit(SYMBOLS), "matched")
     keep = ["file_path", "start_line", "end_line", "symbol_name", "symbol_type", "code"]
     structural = covering_chunk(matched, chunks_of_files(chunks, matched, STRUCTURAL)).select(*[F.col(f"c_{k}").alias(k) for k in keep])
     origin = lambda df, name, rank: df.select(*keep, F.lit(name).alias("origin"), F.lit(WEIGHT[name]).alias("weight"), rank.cast("double").alias("rank"))
@@ -74,15 +93,16 @@ def retrieve(chunks: DataFrame, symbols: DataFrame, edges: DataFrame, semantic:
     notes = symbols.sparkSession.createDataFrame([], "note string")
     if include_graph:
         best = semantic.orderBy(F.desc("score"), "file_path", "start_line").limit(FOCUS)
-        near, files = neighbour_files(edges, matched.select("file_path").unionByName(best.select("file_path")).persist())
+        near, files = neighbour_files(edges, matched.select("file_path").unionByName(best.select("file_path")))
         hop = chunks_of_files(chunks, files, GRAPH_READ).orderBy("file_path", "start_line").limit(GRAPH)
         found = found.unionByName(origin(hop, "graph", F.lit(RANK["graph"])))
         notes = graph_notes(near)
-    found = found.persist()
+    found = scratch.write(found, "found")
     any_ = found.limit(1).agg(F.count("*").alias("n"))
     rest = chunks.orderBy("file_path", "start_line").limit(FALLBACK).join(any_).filter("n = 0")
     found = found.unionByName(origin(rest, "fallback", F.lit(RANK["fallback"])))
-    once = found.groupBy("file_path", "start_line").agg(F.max_by(F.struct(*[c for c in found.columns if c not in ("file_path", "start_line")]), F.struct("weight", "rank", "end_line")).alias("c")).select("file_path", "start_line", "c.*").persist()
+    once = found.groupBy("file_path", "start_line").agg(F.max_by(F.struct(*[c for c in found.columns if c not in ("file_path", "start_line")]), F.struct("weight", "rank", "end_line")).alias("c")).select("file_path", "start_line", "c.*")
+    once = scratch.write(once, "once")
     return Retrieval(_packed(once, max_chars), notes, matched)
 
 

@@ -681,8 +681,9 @@ def code_chunks(spark, sf_dir):
 
 @query()
 def hybrid_retrieval(spark, sf_dir):
-    analyzed = analyze.analyze_files(demo_files(spark)).cache()
-    chunks, parts = chunking.chunk_files(analyzed).cache(), graph.build_graph(analyzed)
+    scratch = Scratch(spark, "hybrid")
+    analyzed = scratch.write(analyze.analyze_files(demo_files(spark)), "analyzed")
+    chunks, parts = scratch.write(chunking.chunk_files(analyzed), "chunks"), graph.build_graph(analyzed)
     asked = "Where is chargeCard used and what does order_total do?"
     similar = vectors.top_k(vectors.embed(chunks), vectors.hashed_embedding(asked), "vector", "file_path", k=8)
     names = spark.range(1).select(F.explode(text.identifiers(F.lit(asked))).alias("name"))

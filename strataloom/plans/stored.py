@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.operators import grams, vector_index
+from strataloom.operators import grams, impact, retrieval, vector_index
 from strataloom.operators.shuffles import Scratch
 from strataloom.plans.details import ORACLES, QUERIES, query
 from strataloom.sources.tables import table
@@ -90,3 +90,86 @@ def text_index_search(spark, sf_dir):
     longest = words.groupBy("item_id").agg(F.min_by("word", F.struct(-F.length("word"), "word")).alias("word"))
     found = grams.containing(docs, longest, "doc_id", "text", "word", scratch, index)
     return longest.join(found, longest["word"] == found["needle"]).select("item_id", "word", F.col("id").alias("doc_id"))
+
+# -- many questions to a graph at once -------------------------------------------------
+
+_SALES_SQL = """
+e AS (SELECT CASE WHEN l_returnflag = 'R' THEN 'tests' ELSE 'calls' END AS type, 'part/' || l_partkey AS from_file, 'p' || l_partkey AS from_symbol, 's' || l_suppkey AS to_name, 'supplier/' || l_suppkey AS to_file, l_orderkey * 10 + l_linenumber AS line, 0.5::double + l_discount * 4 AS confidence FROM lineitem
+UNION ALL SELECT 'calls', 'order/' || l_orderkey, 'o' || l_orderkey, 'p' || l_partkey, 'part/' || l_partkey, l_linenumber, 0.5::double FROM lineitem
+UNION ALL SELECT 'imports', 'nation/' || s_nationkey, '', './' || s_suppkey, 'supplier/' || s_suppkey, s_suppkey, 1.0::double FROM supplier),
+f AS (SELECT 'part/' || p_partkey AS file_path, p_size < 5 AS is_test, CASE WHEN p_size >= 45 THEN 1 ELSE 0 END AS n_routes FROM part),
+a AS (SELECT s_suppkey AS asked, 's' || s_suppkey AS name, 'supplier/' || s_suppkey AS own FROM supplier)"""
+
+
+def _sales(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(symbols, edges, files): orders call parts, parts call suppliers, nations import them; large parts have a route."""
+    lines, suppliers, parts = (table(spark, sf_dir, n) for n in ("lineitem", "supplier", "part"))
+    name = lambda kind, key: F.concat(F.lit(kind), F.col(key).cast("string"))
+    edge = lambda type_, file, symbol, to, to_file, line, sure: [type_.alias("type"), file.alias("from_file"), symbol.alias("from_symbol"), to.alias("to_name"), to_file.alias("to_file"), to.alias("to_symbol"), line.cast("long").alias("line"), sure.alias("confidence")]
+    kind = F.when(F.col("l_returnflag") == "R", "tests").otherwise("calls")
+    supplied = lines.select(*edge(kind, name("part/", "l_partkey"), name("p", "l_partkey"), name("s", "l_suppkey"), name("supplier/", "l_suppkey"), F.col("l_orderkey") * 10 + F.col("l_linenumber"), F.lit(0.5) + F.col("l_discount") * 4))
+    ordered = lines.select(*edge(F.lit("calls"), name("order/", "l_orderkey"), name("o", "l_orderkey"), name("p", "l_partkey"), name("part/", "l_partkey"), F.col("l_linenumber"), F.lit(0.5)))
+    imported = suppliers.select(*edge(F.lit("imports"), name("nation/", "s_nationkey"), F.lit(""), name("./", "s_suppkey"), name("supplier/", "s_suppkey"), F.col("s_suppkey"), F.lit(1.0)))
+    route = F.array(F.struct(F.lit("GET").alias("method"), F.col("p_name").alias("path"), F.col("p_type").alias("handler"), F.lit(1).alias("line")))
+    files = parts.select(name("part/", "p_partkey").alias("file_path"), (F.col("p_size") < 5).alias("is_test"), F.col("p_brand").alias("language"), F.when(F.col("p_size") >= 45, route).otherwise(F.slice(route, 1, 0)).alias("routes"))
+    own = name("s", "s_suppkey")
+    symbols = suppliers.select(name("supplier/", "s_suppkey").alias("file_path"), own.alias("name"), own.alias("qualified_name"), F.lit(1).alias("start_line"))
+    return symbols, supplied.unionByName(ordered).unionByName(imported), files
+
+
+def _asked_suppliers(spark, sf_dir) -> DataFrame:
+    name = F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit("()"))
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("asked"), name.alias("name"), F.lit(None).cast("string").alias("file_path"))
+
+
+_FIRST = "row_number() OVER (PARTITION BY asked ORDER BY from_file, line, from_symbol, to_name, to_file) AS n"
+_IMPACTS_SQL = f"""
+WITH {_SALES_SQL},
+c AS (SELECT * FROM (SELECT a.asked, e.*, coalesce(f.is_test, false) AS is_test, {_FIRST} FROM a JOIN e ON e.to_name = a.name AND e.type IN ('calls', 'tests') LEFT JOIN f ON f.file_path = e.from_file) WHERE n <= 400),
+i AS (SELECT * FROM (SELECT a.asked, e.*, {_FIRST} FROM a JOIN e ON e.to_file = a.own AND e.type = 'imports') WHERE n <= 200),
+h AS (SELECT asked, from_symbol AS hop FROM (SELECT asked, from_symbol, row_number() OVER (PARTITION BY asked ORDER BY min(from_file), from_symbol) AS n FROM c WHERE from_symbol NOT IN ('', '<module>') GROUP BY 1, 2) WHERE n <= 40),
+d AS (SELECT * FROM (SELECT h.asked, e.*, {_FIRST} FROM h JOIN e ON e.to_name = h.hop AND e.type = 'calls') WHERE n <= 200),
+t AS (SELECT asked, from_file AS file_path FROM c UNION SELECT asked, own FROM a),
+g AS (SELECT asked, file_path FROM (SELECT asked, file_path, row_number() OVER (PARTITION BY asked ORDER BY file_path) AS n FROM t JOIN f USING (file_path) WHERE n_routes > 0) WHERE n <= 40),
+r AS (SELECT asked, from_file AS file_path, CASE WHEN is_test OR type = 'tests' THEN 1 WHEN confidence >= 0.7 THEN 3 ELSE 2 END AS rank, CASE WHEN is_test OR type = 'tests' THEN 't' ELSE 'c' END AS reason FROM c
+UNION ALL SELECT asked, from_file, 2, 'i' FROM i UNION ALL SELECT asked, from_file, 2, 'h' FROM d UNION ALL SELECT asked, file_path, 3, 'r' FROM g),
+s AS (SELECT asked, file_path, max(rank) AS rank, count(*) AS n_details, count(DISTINCT reason)::int AS n_reasons FROM r GROUP BY 1, 2)"""
+
+
+@query(f"""{_IMPACTS_SQL}
+SELECT asked AS supplier, file_path, CASE rank WHEN 3 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END AS severity, n_details, n_reasons
+FROM (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY rank DESC, n_details DESC, file_path) AS n FROM s) WHERE n <= 40""")
+def supplier_impacts(spark, sf_dir):
+    """The impact of every supplier at once."""
+    out = impact.Impacts(*_sales(spark, sf_dir), _asked_suppliers(spark, sf_dir)).impacts()
+    return out.select(F.col("asked").alias("supplier"), "file_path", "severity", F.size("details").cast("long").alias("n_details"), F.size("reasons").alias("n_reasons"))
+
+
+@query(f"""{_IMPACTS_SQL}
+SELECT asked AS supplier, (SELECT count(*) FROM c WHERE c.asked = a.asked AND type = 'calls') AS direct_callers, (SELECT count(*) FROM i WHERE i.asked = a.asked) AS importers, (SELECT count(*) FROM d WHERE d.asked = a.asked) AS second_hop,
+ (SELECT count(DISTINCT from_file) FROM c WHERE c.asked = a.asked AND is_test) AS tests, (SELECT count(*) FROM g WHERE g.asked = a.asked) AS routes, (SELECT count(*) FROM s WHERE s.asked = a.asked AND rank = 3) AS high, (SELECT count(*) FROM s WHERE s.asked = a.asked AND rank = 1) AS low FROM a""")
+def supplier_impact_counts(spark, sf_dir):
+    out = impact.Impacts(*_sales(spark, sf_dir), _asked_suppliers(spark, sf_dir)).counts()
+    return out.select(F.col("asked").alias("supplier"), "direct_callers", "importers", "second_hop", "tests", "routes", "high", "low")
+
+
+@query(f"""{_IMPACTS_SQL},
+p AS (SELECT asked, from_file, line, from_symbol AS caller, n FROM (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY from_file, line, from_symbol) AS k FROM c WHERE type = 'calls') WHERE k <= 12),
+u AS (SELECT asked, to_name AS caller, from_file || ':' || from_symbol || ' → ' AS up, row_number() OVER (PARTITION BY asked, to_name ORDER BY from_file, line, from_symbol) AS k FROM d),
+w AS (SELECT p.asked, coalesce(up, '') || from_file || ':' || p.caller || ' → s' || p.asked AS call_path, min((from_file, line, u.k)) AS o FROM p LEFT JOIN u ON u.asked = p.asked AND u.caller = p.caller AND u.k <= 2 GROUP BY 1, 2)
+SELECT asked AS supplier, call_path FROM (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY o) AS n FROM w) WHERE n <= 14""")
+def supplier_call_paths(spark, sf_dir):
+    out = impact.Impacts(*_sales(spark, sf_dir), _asked_suppliers(spark, sf_dir)).call_paths()
+    return out.select(F.col("asked").alias("supplier"), "call_path")
+
+
+@query(f"""
+WITH {_SALES_SQL},
+x AS (SELECT DISTINCT a.asked, e.* FROM a JOIN e ON (e.to_file = a.own AND e.type IN ('calls', 'imports')) OR (e.from_file = a.own AND e.type = 'calls')),
+n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY from_file, line, to_name, to_file, confidence, from_symbol, type) AS k FROM x) WHERE k <= 60),
+o AS (SELECT asked, file_path, min((from_file, line)) AS o FROM (SELECT asked, from_file, line, unnest([from_file, to_file]) AS file_path FROM n) WHERE file_path <> 'supplier/' || asked GROUP BY 1, 2)
+SELECT asked AS supplier, file_path FROM (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY o) AS r FROM o) WHERE r <= 6""")
+def supplier_neighbours(spark, sf_dir):
+    symbols, edges, _ = _sales(spark, sf_dir)
+    focus = symbols.select(F.substring("name", 2, 20).cast("long").alias("asked"), "file_path")
+    return retrieval.neighbours_each(edges, focus, Scratch(spark, "near"))[1].select(F.col("asked").alias("supplier"), "file_path")
