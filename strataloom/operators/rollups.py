@@ -26,6 +26,40 @@ def totals(files: DataFrame) -> DataFrame:
     return files.agg(F.count("*").alias("files"), F.count_if("is_test").alias("test_files"), F.sum("lines").cast("long").alias("lines"), F.sum(F.size("routes")).cast("long").alias("routes"))
 
 
+# Directories and modules that are listed.
+DIRECTORIES, MODULES = 12, 40
+
+
+def repository_facts(files: DataFrame, keys: list[str] | None = None, directories: int = DIRECTORIES, most_modules: int = MODULES) -> DataFrame:
+    """keys, kind (total, language, directory, module), name, place, files, test_files, lines, symbols, routes.
+
+    files: keys, file_path, language, lines, is_test, symbol_count, n_routes. One aggregation over grouping sets, so the
+    files are read once, and a task gives a row for each group to the shuffle. Languages follow their lines, the
+    others their files; of directories and modules the first are listed. Null counts are none; a repository without files has no facts.
+    """
+    keys = keys or []
+    rows = files.select(*keys, F.col("language"), paths.top_directory(F.col("file_path")).alias("directory"), paths.module_of(F.col("file_path")).alias("module"), "lines", "is_test", "symbol_count", "n_routes")
+    sets = [[*keys, *s] for s in ([], ["language"], ["directory"], ["module"])]
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    one = rows.groupingSets(sets, *keys, "language", "directory", "module").agg(F.grouping_id().alias("__g"), F.count("*").alias("files"), F.count_if("is_test").alias("test_files"), total("lines").alias("lines"), total("symbol_count").alias("symbols"), total("n_routes").alias("routes"))
+    # bits of the grouping id: language, directory, module; a bit is set where the column isn't grouped by
+    kind = F.element_at(F.create_map(*[F.lit(x) for p in ((7, "total"), (3, "language"), (5, "directory"), (6, "module")) for x in p]), F.col("__g").cast("int"))
+    name = F.when(kind == "language", F.col("language")).when(kind == "directory", F.col("directory")).when(kind == "module", F.col("module"))
+    one = one.select(*keys, kind.alias("kind"), name.alias("name"), "files", "test_files", "lines", "symbols", "routes").filter("files > 0")
+    order = Window.partitionBy(*keys, "kind").orderBy(F.desc(F.when(F.col("kind") == "language", F.col("lines")).otherwise(F.col("files"))), "name")
+    most = F.when(F.col("kind") == "directory", directories).when(F.col("kind") == "module", most_modules).otherwise(2**31 - 1)
+    return one.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
+
+
+def facts_record(facts: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """One row a repository: files, test_files, lines, symbols, routes and the lists languages, directories, modules in order."""
+    keys = keys or []
+    measures = ["files", "test_files", "lines", "symbols", "routes"]
+    listed = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("place", "name", *measures)))), lambda x: x.dropFields("place"))
+    totals = [F.max(F.when(F.col("kind") == "total", F.col(m))).alias(m) for m in measures]
+    return facts.groupBy(*keys).agg(*totals, listed("language").alias("languages"), listed("directory").alias("directories"), listed("module").alias("modules"))
+
+
 def entry_points(files: DataFrame, most: int = 8) -> DataFrame:
     hit = reduce(Column.__or__, [F.col("file_path").rlike(p) for p in ENTRY_POINTS])
     return files.filter(hit).select("file_path").orderBy(paths.depth(F.col("file_path")), "file_path").limit(most)

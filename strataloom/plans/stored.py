@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.operators import grams, impact, retrieval, vector_index
+from strataloom.functions import paths
+from strataloom.operators import grams, impact, retrieval, rollups, upserts, vector_index
 from strataloom.operators.shuffles import Scratch
 from strataloom.plans.details import ORACLES, QUERIES, query
-from strataloom.sources.tables import table
+from strataloom.sources.tables import bucketed, table
+from strataloom.streaming.events import rate_windows
 from strataloom.streaming.ledger import Store
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -173,3 +175,80 @@ def supplier_neighbours(spark, sf_dir):
     symbols, edges, _ = _sales(spark, sf_dir)
     focus = symbols.select(F.substring("name", 2, 20).cast("long").alias("asked"), "file_path")
     return retrieval.neighbours_each(edges, focus, Scratch(spark, "near"))[1].select(F.col("asked").alias("supplier"), "file_path")
+
+
+# -- facts in one pass, tables in buckets ----------------------------------------------
+
+_FACTS_SQL = r"""
+f AS (SELECT source || '/' || lang || '/doc' || doc_id || '.md' AS file_path, lang AS language, len(string_split(text, chr(10))) AS lines, contains(text, '?') AS is_test, len(regexp_extract_all(text, '[A-Z][a-z]+')) AS symbols, 0 AS routes FROM documents
+UNION ALL SELECT regexp_replace(url, '^https?://', ''), 'html', len(string_split(html, chr(10))), false, len(regexp_extract_all(html, '<[a-z]+')), len(regexp_extract_all(html, 'href="')) FROM pages),
+p AS (SELECT *, string_split(file_path, '/') AS s FROM f),
+k AS (SELECT *, CASE WHEN len(s) > 1 THEN s[1] ELSE '(root)' END AS directory, CASE WHEN len(s) > 2 THEN s[1] || '/' || s[2] WHEN len(s) > 1 THEN s[1] ELSE '(root)' END AS module FROM p)"""
+
+
+def _all_files(spark, sf_dir) -> DataFrame:
+    """documents and pages as files: words with a capital and tags are their symbols, links their routes."""
+    count = lambda c, pattern: F.regexp_count(c, F.lit(pattern))
+    path = F.concat("source", F.lit("/"), "lang", F.lit("/doc"), F.col("doc_id").cast("string"), F.lit(".md"))
+    docs = table(spark, sf_dir, "documents").select(path.alias("file_path"), F.col("lang").alias("language"), F.size(F.split("text", "\n")).alias("lines"), F.contains("text", F.lit("?")).alias("is_test"), count("text", "[A-Z][a-z]+").alias("symbol_count"), F.lit(0).alias("n_routes"))
+    pages = table(spark, sf_dir, "pages").select(F.regexp_replace("url", "^https?://", "").alias("file_path"), F.lit("html").alias("language"), F.size(F.split("html", "\n")).alias("lines"), F.lit(False).alias("is_test"), count("html", "<[a-z]+").alias("symbol_count"), count("html", 'href="').alias("n_routes"))
+    return docs.unionByName(pages)
+
+
+@query(f"""
+WITH {_FACTS_SQL},
+g AS (SELECT CASE grouping_id(language, directory, module) WHEN 7 THEN 'total' WHEN 3 THEN 'language' WHEN 5 THEN 'directory' ELSE 'module' END AS kind, coalesce(language, directory, module) AS name, count(*) AS files, count_if(is_test) AS test_files, sum(lines)::bigint AS lines, sum(symbols)::bigint AS symbols, sum(routes)::bigint AS routes
+FROM k GROUP BY GROUPING SETS ((), (language), (directory), (module))),
+r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY CASE WHEN kind = 'language' THEN lines ELSE files END DESC, name)::int AS place FROM g)
+SELECT kind, name, place, files, test_files, lines, symbols, routes FROM r WHERE place <= CASE kind WHEN 'directory' THEN 12 WHEN 'module' THEN 40 ELSE 1000000 END""")
+def repository_facts(spark, sf_dir):
+    return rollups.repository_facts(_all_files(spark, sf_dir)).select("kind", "name", "place", "files", "test_files", "lines", "symbols", "routes")
+
+
+@query(f"""
+WITH {_FACTS_SQL}, l AS (SELECT directory, language, sum(lines) AS lines FROM k GROUP BY 1, 2)
+SELECT k.directory, count(*) AS files, sum(symbols)::bigint AS symbols, sum(routes)::bigint AS routes, (SELECT string_agg(language, ',' ORDER BY lines DESC, language) FROM l WHERE l.directory = k.directory) AS languages FROM k GROUP BY 1""")
+def repository_records(spark, sf_dir):
+    """The facts of every directory as of a repository, one row each."""
+    files = _all_files(spark, sf_dir).withColumn("repository", paths.top_directory(F.col("file_path")))
+    record = rollups.facts_record(rollups.repository_facts(files, ["repository"]), ["repository"])
+    return record.select(F.col("repository").alias("directory"), "files", "symbols", "routes", F.array_join(F.transform("languages", lambda x: x["name"]), ",").alias("languages"))
+
+
+@query("SELECT source, count(*) AS files, count(l.doc_id) AS labelled, coalesce(sum(l.toxic), 0)::bigint AS toxic FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY source")
+def bucketed_join(spark, sf_dir):
+    """documents and labels stored in buckets by doc_id, which join without an exchange."""
+    scratch = Scratch(spark, "buckets")
+    stored = {}
+    for name, columns in (("documents", ["doc_id", "source"]), ("labels", ["doc_id", "toxic"])):
+        rows = table(spark, sf_dir, name).select(*columns)
+        stored[name] = bucketed(rows, f"strataloom_{name}_{scratch.path[-32:]}", f"{scratch.path}/{name}", ["doc_id"], buckets=16)
+    labels = stored["labels"].withColumn("labelled", F.lit(1))
+    joined = stored["documents"].hint("merge").join(labels.hint("merge"), "doc_id", "left")
+    return joined.groupBy("source").agg(F.count("*").alias("files"), F.count("labelled").alias("labelled"), F.coalesce(F.sum("toxic"), F.lit(0)).cast("long").alias("toxic"))
+
+
+# -- rates over event time -------------------------------------------------------------
+
+
+@query("SELECT user_id, (floor(epoch_us(ts) / 3600000000) * 3600)::bigint AS window_start, count(*) AS n, greatest(0, count(*) - 2) AS rejected FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")
+def rate_limit_stream(spark, sf_dir):
+    """events as a stream in the order of time: hourly windows in the stream's state, put into a store as they grow."""
+    scratch, events = Scratch(spark, "rates"), table(spark, sf_dir, "events")
+    landed = f"{scratch.path}/landed"
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    first, last = events.agg(F.min(at), F.max(at)).first()
+    parts = scratch.write(events.withColumn("part", F.floor((at - F.lit(first)) * 4 / F.lit((last or 0) - (first or 0) + 1))), "parts")
+    for i in range(4):  # a file after the other, so that they are read in this order
+        parts.filter(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(landed)
+    keys = ["user_id", "window_start"]
+    store = Store(spark, f"{scratch.path}/store", {"rates": ("user_id bigint, window_start bigint, n bigint, rejected bigint", keys)}, buckets=8)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    counted = rate_windows(stream, ["user_id"], "ts", 3600, 2)
+    put = lambda old, new: {"rates": upserts.upsert(old["rates"], new["rates"], keys)}
+
+    def batch(df: DataFrame, n: int) -> None:
+        store.update(n, {"rates": df}, put)
+
+    counted.writeStream.option("checkpointLocation", f"{scratch.path}/offsets").outputMode("update").foreachBatch(batch).trigger(availableNow=True).start().awaitTermination()
+    return store.read("rates")

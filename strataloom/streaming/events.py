@@ -111,6 +111,20 @@ def status_stream(statuses: DataFrame, key: str, status: str) -> DataFrame:
     return statuses.groupBy(key).applyInPandasWithState(step, kept, "last string", "append", GroupStateTimeout.NoTimeout)
 
 
+def rate_windows(requests: DataFrame, keys: list[str], ts: str, seconds: int, most: int, late: str = "10 minutes") -> DataFrame:
+    """keys, window_start (seconds), n, rejected: requests of each fixed window and those beyond the limit; a batch or a stream.
+
+    A stream keeps the windows in its state, gives them anew as they grow (update mode), and closes them when its
+    watermark, `late` behind the newest request, has passed their end: a request for a closed window is dropped and
+    not counted. A request without a time has no window.
+    """
+    rows = requests.withColumn("__at", F.col(ts).cast("timestamp")).filter("__at IS NOT NULL")
+    rows = rows.withWatermark("__at", late) if rows.isStreaming else rows
+    counted = rows.groupBy(*keys, F.window("__at", f"{seconds} seconds").alias("__w")).agg(F.count("*").alias("n"))
+    start = F.unix_seconds("__w.start").alias("window_start")
+    return counted.select(*keys, start, "n", F.greatest(F.lit(0), F.col("n") - most).alias("rejected"))
+
+
 def sync(events: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, **trigger):
     """Run apply(queued changes, batch) on each micro-batch of routed push events."""
 

@@ -80,8 +80,9 @@ class Store:
         """Apply a batch; False where it has been applied before.
 
         changes: rows by name, each with the keys of the tables it concerns. merge gets the stored rows of the buckets that
-        the changes touch, and the changes, and returns what these buckets hold from now on. Changes are
-        staged first, so a stream that can't be read twice alike is read once.
+        the changes touch, and the changes, and returns what these buckets hold from now on; a function in place of a table is
+        called when those before it have been written. Changes are staged first, so a stream that can't be read twice
+        alike is read once.
         """
         last = self.manifest()
         if batch <= last.batch:
@@ -99,6 +100,7 @@ class Store:
         new = merge(old, staged)
         folders = {t: dict(b) for t, b in last.folders.items()}
         for table, rows in new.items():
+            rows = rows() if callable(rows) else rows
             at = f"data/{attempt}/{table}"
             columns = self.spark.createDataFrame([], self.tables[table][0]).columns
             rows.select(*columns, self._bucket(table).alias("bucket")).write.partitionBy("bucket").parquet(f"{self.path}/{at}")

@@ -15,6 +15,8 @@ from strataloom.operators.scan import Segments
 from strataloom.operators.shuffles import Scratch
 from strataloom.plans import fixtures as X
 from strataloom.plans.stored import ORACLES, QUERIES
+from strataloom.sources.tables import bucketed
+from strataloom.streaming.events import rate_windows
 from strataloom.streaming.ledger import Store, into
 from tests.test_oracle import SF, plain
 
@@ -237,3 +239,78 @@ def test_symbols_by_a_stored_index(spark, tmp_path):
     index = impact.name_index(symbols, str(tmp_path / "names"))
     for term in ("char", "HA", "c", " fund ", "nothing"):
         assert rows_of(impact.search_symbols(symbols, term, index=index)) == rows_of(impact.search_symbols(symbols, term))
+
+
+# -- many questions at once, facts, buckets, rates ----------------------------------
+
+
+def test_many_questions_are_as_many_single_ones(spark):
+    """All symbols of the fixture at once, a name that nothing has, one asked twice; a hub with very many calls."""
+    symbols, edges = X.frame(spark, X.SYMBOLS, X.SYMBOLS_SCHEMA), X.frame(spark, X.EDGES, X.EDGES_SCHEMA)
+    hub = spark.range(3000).select(F.lit("calls").alias("type"), F.concat(F.lit("gen/f"), F.col("id") % 900, F.lit(".js")).alias("from_file"), F.concat(F.lit("s"), F.col("id") % 70).alias("from_symbol"), F.lit("src/billing.js").alias("to_file"), F.lit("refund").alias("to_symbol"), F.lit("refund").alias("to_name"), F.col("id").cast("int").alias("line"), F.lit(False).alias("external"), F.lit(0.95).alias("confidence"))
+    edges = edges.unionByName(hub)
+    route = F.array(F.struct(F.lit("GET").alias("method"), F.lit("/r").alias("path"), F.lit("h").alias("handler"), F.lit(1).alias("line")))
+    files = X.frame(spark, X.FILES, X.FILES_SCHEMA).withColumn("routes", F.slice(route, F.lit(1), F.least(F.lit(1), F.col("n_routes"))))
+    names = ["charge()", "refund", "OrderService.place", "nothing", " charge "]
+    asked = spark.createDataFrame([(i, n, "src/orders.js" if n == "place" else None) for i, n in enumerate(names)], "asked int, name string, file_path string")
+    many = impact.Impacts(symbols, edges, files, asked)
+    got = {part: sorted(map(repr, (tuple(r) for r in getattr(many, part)().collect()))) for part in ("impacts", "counts", "call_paths")}
+    want = {part: [] for part in got}
+    for i, name in enumerate(names):
+        one = impact.Impact(symbols, edges, files, name)
+        for part in want:
+            want[part] += [repr((i, *r)) for r in getattr(one, part)().collect()]
+    assert got == {part: sorted(rows) for part, rows in want.items()}
+    assert many.calls.filter("asked = 1").count() == impact.CALLS and many.second.filter("asked = 1").count() <= impact.SECOND_HOP
+
+
+def test_facts_read_the_files_once(spark, tmp_path):
+    rows = [("src/a/x.js", "javascript", 10, False, 2, 1), ("src/b.js", "javascript", None, True, None, 0), ("README.md", "markdown", 99, False, 0, None), (None, None, 1, None, 1, 1)]
+    spark.createDataFrame(rows, "file_path string, language string, lines int, is_test boolean, symbol_count int, n_routes int").write.parquet(str(tmp_path / "f"))
+    facts = rollups.repository_facts(spark.read.parquet(str(tmp_path / "f")))
+    assert str(facts._jdf.queryExecution().executedPlan()).count("FileScan") == 1
+    record = rollups.facts_record(facts).first()
+    assert (record["files"], record["test_files"], record["lines"], record["symbols"], record["routes"]) == (4, 1, 110, 3, 2)
+    assert [(x["name"], x["lines"]) for x in record["languages"]] == [("markdown", 99), ("javascript", 10), (None, 1)]
+    assert [(x["name"], x["files"]) for x in record["directories"]] == [("(root)", 2), ("src", 2)]  # a null path is in the root
+    assert rollups.repository_facts(spark.read.parquet(str(tmp_path / "f")).limit(0)).count() == 0
+
+
+def test_buckets_join_without_an_exchange(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = QUERIES["bucketed_join"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert joined.count("Relation") == 2
+        scratch = Scratch(spark, "test")
+        both = [bucketed(spark.range(1000).select((F.col("id") % 50).alias("k"), F.col("id").alias(f"v{i}")), f"b{i}", f"{scratch.path}/b{i}", ["k"], buckets=4) for i in range(2)]
+        out = both[0].join(both[1], "k").groupBy("k").count()
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SortMergeJoin" in plan and out.count() == 50
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name in ("b0", "b1"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_status_is_observed_while_writing(spark, tmp_path):
+    tree = spark.createDataFrame(X.DEMO, "file_path string, content string").select(F.col("file_path").alias("path"), F.octet_length("content").alias("size"), "content")
+    full = indexing.index_full(tree)
+    store = indexing.index_store(spark, str(tmp_path / "index"), full)
+    assert indexing.index_repository(store, 0, "o/r", tree) and indexing.index_repository(store, 1, "o/s", tree, max_files=2) and not indexing.index_repository(store, 1, "o/s", tree)
+    status = {r["repository"]: r for r in store.read("status").collect()}
+    for name in indexing.FILE_OF:
+        assert status["o/r"][name] == full[name].count() == store.read(name).filter("repository = 'o/r'").count()
+    assert (status["o/r"]["status"], status["o/r"]["truncated"]) == ("indexed", False)
+    assert (status["o/s"]["status"], status["o/s"]["truncated"], status["o/s"]["files"]) == ("partial", True, 2)
+
+
+def test_late_requests_of_closed_windows_are_dropped(spark, tmp_path):
+    schema, landed, out = "user string, ts timestamp", str(tmp_path / "in"), []
+    stream = lambda: rate_windows(spark.readStream.schema(schema).parquet(landed), ["user"], "ts", 60, 1, late="2 minutes")
+    for seconds in ([0, 10, 70], [600], [30, 500]):  # 30 is late for its window by then, 500 isn't
+        spark.createDataFrame([("u", s) for s in seconds], "user string, s long").select("user", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.mode("append").parquet(landed)
+        stream().writeStream.option("checkpointLocation", str(tmp_path / "offsets")).outputMode("update").foreachBatch(lambda df, n: out.extend(map(tuple, df.collect()))).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(out) == [("u", 0, 2, 1), ("u", 60, 1, 0), ("u", 480, 1, 0), ("u", 600, 1, 0)]
+    batch = rate_windows(spark.read.schema(schema).parquet(landed), ["user"], "ts", 60, 1)
+    assert sorted(map(tuple, batch.collect())) == [("u", 0, 3, 2), ("u", 60, 1, 0), ("u", 480, 1, 0), ("u", 600, 1, 0)]
