@@ -52,15 +52,18 @@ class Model:
     threshold: float = 0.0
 
     def logits(self, texts: list[str | None]) -> np.ndarray:
-        """Whole texts, in pieces of some MB; embeddings are averaged over all subwords."""
+        """Whole texts, in pieces of some MB; embeddings are averaged over all subwords of a text, none of which reaches into the next."""
         buf, at = _clean(texts)
+        last = max(GRAMS) - 1
         few = len(self.languages) <= DIMENSIONS
         lookup = self.embedding @ self.weights if few else self.embedding
-        total, places = np.zeros((len(texts), lookup.shape[1])), np.diff(at)
+        total, places = np.zeros((len(texts), lookup.shape[1])), np.diff(at) - last
+        ends = (at[1:, None] - np.arange(1, last + 1)).reshape(-1)  # places of subwords that would
         end = len(buf) - max(GRAMS) + 1
         for a in range(0, end, _PIECE):
             b = min(a + _PIECE, end)
-            part = sum(lookup[i] for i in _buckets(buf[a : b + max(GRAMS) - 1]))
+            part = sum(lookup[i] for i in _buckets(buf[a : b + last]))
+            part[ends[(ends >= a) & (ends < b)] - a] = 0
             lo, hi = np.searchsorted(at, a, "right") - 1, np.searchsorted(at, b, "left")
             starts = np.maximum(at[lo:hi], a) - a
             total[lo:hi] += np.add.reduceat(part, starts, axis=0, dtype=np.float64)
@@ -133,19 +136,22 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """A model from a bounded sample of the labelled rows that aren't held out; None where there are none.
 
     Sampled are, by a hash of the id, about ROWS_EACH rows of each of the LANGUAGES most frequent languages, but
-    about ROWS_ALL in all, of texts with a letter and at most TEXT_BYTES bytes, each read whole.
+    about ROWS_ALL in all, of texts with a letter. They are texts of at most TEXT_BYTES bytes, each read whole; only a
+    language without any such text is learned from the first TEXT_BYTES characters of its longer ones.
     """
-    rows = docs.filter(F.col(lang_col).isNotNull() & ~held_out(id_col) & F.col(text_col).rlike(r"\p{L}") & (F.octet_length(text_col) <= TEXT_BYTES))
-    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit("train"), id_col).alias("h"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    rows = docs.filter(F.col(lang_col).isNotNull() & ~held_out(id_col) & F.col(text_col).rlike(r"\p{L}"))
+    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit("train"), id_col).alias("h"), (F.octet_length(text_col) > TEXT_BYTES).alias("long"))
+    counts = rows.groupBy("lang").agg(F.count_if(~F.col("long")).alias("short"), F.count("*").alias("all"))
+    counts = counts.select("lang", (F.col("short") == 0).alias("only_long"), F.when(F.col("short") > 0, F.col("short")).otherwise(F.col("all")).alias("count")).orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return None
     each = min(ROWS_EACH, ROWS_ALL // len(counts))
-    rate = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["count"])) for r in counts], "lang string, rate double")
-    sample = rows.join(F.broadcast(rate), "lang").filter(F.col("h") / float(1 << 64) + 0.5 < F.col("rate")).select("h", "text", "lang").collect()
+    rate = docs.sparkSession.createDataFrame([(r["lang"], r["only_long"], min(1.0, each / r["count"])) for r in counts], "lang string, long boolean, rate double")
+    rows = rows.withColumn("text", F.substring("text", 1, TEXT_BYTES))  # of texts that aren't long, the whole
+    sample = rows.join(F.broadcast(rate), ["lang", "long"]).filter(F.col("h") / float(1 << 64) + 0.5 < F.col("rate")).select("h", "text", "lang").collect()
     sample.sort(key=lambda r: (r["h"], r["lang"], r["text"]))
     if not sample:  # a tiny table whose few rows all fell out of the sample
-        sample = rows.join(F.broadcast(rate), "lang").select("h", "text", "lang").orderBy("h").limit(each).collect()
+        sample = rows.join(F.broadcast(rate), ["lang", "long"]).select("h", "text", "lang").orderBy("h").limit(each).collect()
     return train([r["text"] for r in sample], [r["lang"] for r in sample])
 
 
