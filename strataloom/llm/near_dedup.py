@@ -20,13 +20,17 @@ SIMILARITY = 0.8
 #: (1 - 0.8 ** 6) ** 36 < 2e-5, however often its shingles repeat: they all weigh the same.
 BANDS, ROWS = 40, 6
 REGISTERS = BANDS * ROWS
-#: Large buckets that a node may lie in without being searched in them: its other 36 bands find its links.
+#: Large buckets that a node may lie in without being searched in them: its other 36 bands find its links. The default of
+#: the parameter `spare`; with 0 every large bucket is searched by each of its members.
 SPARE = 4
 #: Estimated similarity below which a candidate isn't read again. With two bits kept of each register, the estimate
 #: of a link falls below it with probability below 2e-6.
 ESTIMATE = 0.64
-#: Members of a bucket up to which its nodes are compared directly; in larger ones rare shingles choose the pairs.
+#: Members of a bucket up to which its nodes are compared directly; in larger ones rare shingles choose the pairs. Both ways
+#: find the same links. The default of the parameter `direct`.
 DIRECT = 64
+#: Members of one shingle of a large bucket that meet in one task; more are dealt in blocks that meet block by block.
+MEET = 1024
 #: Members that hold a shingle up to which it counts as rare.
 OFTEN = 16
 _WORDS = -(-REGISTERS // 32)
@@ -214,11 +218,13 @@ def _rare_pairs(members: DataFrame, texts: DataFrame, nodes: DataFrame, scratch:
     rows = scratch.write(map_arrow(rows, ordered, f"{cols}, ids array<bigint>", 128), "first")
     rows = rows.select("head", "node", "class", "n", "far", F.posexplode("ids").alias("place", "id"))
     common = scratch.write(rows.groupBy("head", "id").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("holders")).filter("low <> high").drop("low", "high"), "common")
-    first = spread_join(rows, common, ["head", "id"], "holders", "node").drop("holders")
+    first = spread_join(rows, common, ["head", "id"], "holders", "node").withColumn("blocks", F.ceil(F.col("holders") / MEET).cast("int")).drop("holders")
     first = scratch.write(first.join(nodes.select("node", "sig"), "node"), "rare")
-    sides = [first.select(*[F.col(c).alias(f"{c[0]}{x}") for c in ("head", "class", "n", "far", "id", "place")], F.col("sig").alias(f"sig{x}"), F.col("node").alias(x)) for x in "ab"]
+    # the block of a member on its own side, and every block of the other side
+    own, other = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    sides = [first.select(*[F.col(c).alias(f"{c[0]}{x}") for c in ("head", "class", "n", "far", "id", "place")], F.col("sig").alias(f"sig{x}"), F.col("node").alias(x), y.alias(f"x{x}"), z.alias(f"y{x}")) for x, y, z in (("a", own, other), ("b", other, own))]
     shared = "floor((4 * (na + nb) + 8) / 9)"  # places count from 0
-    meet = F.expr(f"ha = hb AND ia = ib AND a < b AND ca <> cb AND 5 * least(na, nb) >= 4 * greatest(na, nb) AND pa <= na - {shared} AND pb <= nb - {shared} AND abs(fa - fb) <= {1 - SIMILARITY} + 1e-9")
+    meet = F.expr(f"ha = hb AND ia = ib AND xa = xb AND ya = yb AND a < b AND ca <> cb AND 5 * least(na, nb) >= 4 * greatest(na, nb) AND pa <= na - {shared} AND pb <= nb - {shared} AND abs(fa - fb) <= {1 - SIMILARITY} + 1e-9")
     return scratch.write(sides[0].join(sides[1], meet & _maybe("a", "b")).select("a", "b").distinct(), "rare-pairs")
 
 
@@ -238,7 +244,7 @@ def _large(large: DataFrame, classes: DataFrame, docs: DataFrame, nodes: DataFra
     return many, _texts(docs, wanted, nodes, id_col, text_col, scratch)
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: Column | None = None) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: Column | None = None, spare: int = SPARE, direct: int = DIRECT) -> DataFrame:
     """doc_id, class_id, class_size, kept for each row of docs, and `row` where such a column is given.
 
     Words are runs without white space, ASCII letters in lower case; a link joins two texts whose five-word shingle
@@ -249,9 +255,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Copies count once: a node is a distinct word sequence, and only nodes are banded. Every bucket first links its
     members to its head. What that leaves in different components of one bucket is then compared, directly in
-    buckets of up to DIRECT members, and by a search over rare shingles in larger ones: none is capped. A node in
-    SPARE large buckets or fewer isn't searched there, as its other bands meet its links with the probability stated
-    at BANDS. A signature rules out a link with probability below 2e-6. Links rest on the whole texts; only
+    buckets of up to `direct` members, and by a search over rare shingles in larger ones: none is capped. A node in
+    `spare` large buckets or fewer isn't searched there, as its other bands meet its links with the probability stated
+    at BANDS; with 0 it is searched in all. A signature rules out a link with probability below 2e-6. Links rest on the whole texts; only
     candidates' texts, found by a bitmap filter, are shuffled.
     """
     scratch = Scratch(docs.sparkSession, "near")
@@ -264,7 +270,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     full = scratch.write(banded.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1"), "full")
     shared = scratch.write(spread_join(banded, full, ["band"], "members", "node"), "shared")
     # the head of a bucket is the node with the largest buckets: of a text and its variants, the text
-    weight = shared.groupBy("node").agg(F.sum("members").alias("weight"), F.count_if(F.col("members") > DIRECT).alias("large"))
+    weight = shared.groupBy("node").agg(F.sum("members").alias("weight"), F.count_if(F.col("members") > direct).alias("large"))
     weighed = scratch.write(shared.drop("members").join(weight, "node"), "weighed")
     heads = weighed.groupBy("band").agg(F.max(F.struct("weight", (-F.col("node")).alias("node")))["node"].alias("head"), F.count("*").alias("members"))
     heads = scratch.write(heads.withColumn("head", -F.col("head")), "heads")
@@ -276,18 +282,18 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # members of one bucket that are still in different components; sizes within 0.8 fall in neighbouring steps
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / SIMILARITY)))
-    placed = buckets.filter((F.col("members") <= DIRECT) | (F.col("large") > SPARE)).drop("large")
+    placed = buckets.filter((F.col("members") <= direct) | (F.col("large") > spare)).drop("large")
     placed = scratch.write(placed.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")), "placed")
     open_ = placed.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("searched")).filter("low <> high").drop("low", "high")
     placed = scratch.write(spread_join(placed, scratch.write(open_, "open"), ["band"], "searched", "node"), "searched")
-    few = scratch.write(placed.filter(F.col("members") <= DIRECT).join(nodes.select("node", "n", "sig", step.cast("int").alias("step")), "node"), "few")
+    few = scratch.write(placed.filter(F.col("members") <= direct).join(nodes.select("node", "n", "sig", step.cast("int").alias("step")), "node"), "few")
     side = lambda x, at: few.select("band", F.col("node").alias(x), F.col("class").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"sig{x}"), at.alias("step"))
     left, right = side("a", F.explode(F.array("step", F.col("step") + 1))), side("b", F.col("step"))
     r = right.withColumnsRenamed({"band": "rband", "step": "rstep"})
     near = left.join(r, (F.col("band") == F.col("rband")) & (F.col("step") == F.col("rstep")) & (F.col("ca") != F.col("cb")) & _maybe("a", "b"))
     near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     cross = near.distinct()
-    large = placed.filter(F.col("members") > DIRECT)
+    large = placed.filter(F.col("members") > direct)
     if not large.isEmpty():
         cross = cross.unionByName(_rare_pairs(*_large(large, classes, docs, nodes, id_col, text_col, scratch), nodes, scratch)).distinct()
     cross = scratch.write(cross.join(star, ["a", "b"], "left_anti"), "cross")
