@@ -249,8 +249,7 @@ def test_near_classes(spark, docs, none, awkward):
 
 
 @pytest.mark.parametrize("direct", [0, 64])
-def test_near_classes_in_a_large_group_of_variants(spark, direct, monkeypatch):
-    monkeypatch.setattr(near_dedup, "DIRECT", direct)
+def test_near_classes_in_a_large_group_of_variants(spark, direct):
     rng = random.Random(5)
     base, rows = words(rng, 120).split(), []
     for i in range(120):
@@ -258,7 +257,7 @@ def test_near_classes_in_a_large_group_of_variants(spark, direct, monkeypatch):
         for k in rng.sample(range(120), rng.randint(0, 9)):
             w[k] = f"{w[k]}{rng.randint(0, 3)}"
         rows.append((i, " ".join(w)))
-    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), direct=direct).collect()
     assert Counter((r["doc_id"], r["class_id"], r["class_size"]) for r in got) == brute_classes(rows)
 
 
