@@ -83,17 +83,17 @@ def edges_after_push(spark, sf_dir):
     return out.select("type", "from_file", "to_name", "line")
 
 
-@query(f"SELECT file_path, name, start_line, coalesce(greatest(start_line, lead(start_line) OVER (PARTITION BY file_path ORDER BY start_line) - 1), 80) AS end_line FROM {X.values(X.SYMBOLS, X.SYMBOLS_SCHEMA)}")
+@query("SELECT conv_id::varchar AS file_path, role || turn AS name, turn AS start_line, coalesce(greatest(turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) - 1), 1000) AS end_line FROM conversations")
 def symbol_ends(spark, sf_dir):
-    symbols = X.frame(spark, X.SYMBOLS, X.SYMBOLS_SCHEMA).select("file_path", "name", "start_line")
-    return windows.end_by_next(symbols, ["file_path"], ["start_line"], F.lit(80))
+    symbols = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("file_path"), F.concat("role", F.col("turn").cast("string")).alias("name"), F.col("turn").alias("start_line"))
+    return windows.end_by_next(symbols, ["file_path"], ["start_line"], F.lit(1000).cast("long"))
 
 
 @query(f"""
-WITH c AS (SELECT t.*, {Q._REASON} AS reason FROM {X.values(X.TREE, X.TREE_SCHEMA)})
-SELECT count(*) AS discovered, count_if(reason IS NULL) AS source_count, least(9, count_if(reason IS NULL)) AS n_selected, count_if(reason IS NULL) > 9 AS truncated FROM c""")
+WITH c AS (SELECT t.*, {Q._REASON} AS reason FROM {Q._T})
+SELECT source, count(*) AS discovered, count_if(reason IS NULL) AS source_count, least(9, count_if(reason IS NULL)) AS n_selected, count_if(reason IS NULL) > 9 AS truncated FROM c GROUP BY source""")
 def selection_counts(spark, sf_dir):
-    return selection.selection_summary(selection.select_files(X.frame(spark, X.TREE, X.TREE_SCHEMA), max_files=9), [])
+    return selection.selection_summary(selection.select_files(Q._trees(spark, sf_dir), ["source"], max_files=9), ["source"])
 
 
 # -- tables by key, jobs and logs ---------------------------------------------------
@@ -230,11 +230,15 @@ def text_forms(spark, sf_dir):
 
 
 @query("""
-WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)
-SELECT doc_id, '--- lines 1-2 of ' || len(l) || ' ---' || chr(10) || array_to_string(list_transform(l[1:2], lambda x, i: lpad(i::varchar, 4, ' ') || '| ' || x), chr(10)) AS excerpt FROM l""")
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), h AS (SELECT *, (len(l) + 1) // 2 AS h FROM l),
+p AS (SELECT *, list_transform(l, lambda x, i: lpad(i::varchar, 4, ' ') || '| ' || x) AS x FROM h)
+SELECT doc_id, '--- lines 1-' || h || ' of ' || len(l) || ' ---' || chr(10) || array_to_string(x[1:h], chr(10)) || CASE WHEN h < len(l) THEN chr(10) || chr(10) || '--- lines ' || (h + 1) || '-' || len(l) || ' of ' || len(l) || ' ---' || chr(10) || array_to_string(x[h + 1:], chr(10)) ELSE '' END AS excerpt FROM p""")
 def numbered_excerpts(spark, sf_dir):
-    first = F.array(F.struct(F.lit(1).alias("start"), F.lit(2).alias("end")))
-    return Q._docs(spark, sf_dir).select("doc_id", text.numbered_windows(F.col("text"), first).alias("excerpt"))
+    """Both halves of every text."""
+    n = F.size(F.split("text", "\n"))
+    half = F.floor((n + 1) / 2).cast("int")
+    both = F.array(F.struct(F.lit(1).alias("start"), half.alias("end")), F.struct((half + 1).alias("start"), n.alias("end")))
+    return Q._docs(spark, sf_dir).select("doc_id", text.numbered_windows(F.col("text"), F.filter(both, lambda w: w["start"] <= w["end"])).alias("excerpt"))
 
 
 @query("SELECT file_path, chunk_no FROM (SELECT source AS file_path, doc_id AS chunk_no FROM documents) ORDER BY file_path, chunk_no LIMIT 6000")
@@ -252,11 +256,11 @@ def path_identities(spark, sf_dir):
 
 
 @query("""
-WITH b AS (SELECT DISTINCT o_custkey AS sha FROM orders WHERE o_orderkey % 3 <> 0), h AS (SELECT DISTINCT o_custkey AS sha FROM orders WHERE o_orderkey % 5 <> 0), c AS (SELECT (SELECT count(*) FROM h ANTI JOIN b USING (sha)) AS ahead_by, (SELECT count(*) FROM b ANTI JOIN h USING (sha)) AS behind_by)
+WITH b AS (SELECT DISTINCT o_custkey AS sha FROM orders WHERE o_orderkey % 3 <> 0), h AS (SELECT DISTINCT o_custkey AS sha FROM orders WHERE o_orderkey % 5 <> 0 OR o_orderkey % 15 = 0), c AS (SELECT (SELECT count(*) FROM h ANTI JOIN b USING (sha)) AS ahead_by, (SELECT count(*) FROM b ANTI JOIN h USING (sha)) AS behind_by)
 SELECT ahead_by, behind_by, CASE WHEN ahead_by > 0 AND behind_by > 0 THEN 'diverged' WHEN ahead_by > 0 THEN 'ahead' WHEN behind_by > 0 THEN 'behind' ELSE 'identical' END AS status FROM c""")
 def history_compare(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("sha"), "o_orderkey")
-    return tables.compare_commits(orders.filter("o_orderkey % 3 <> 0"), orders.filter("o_orderkey % 5 <> 0"))
+    return tables.compare_commits(orders.filter("o_orderkey % 3 <> 0"), orders.filter("o_orderkey % 5 <> 0 OR o_orderkey % 15 = 0"))
 
 
 @query("SELECT DISTINCT e.user_id AS number, d.doc_id AS sha FROM documents d JOIN events e ON d.doc_id IN (e.event_id, e.event_id + 1)")
@@ -273,13 +277,13 @@ _LANDED_SCHEMA = "n int, branch string, installation string, languages string"
 
 
 @query(f"""
-SELECT n, branch ->> '$.name' AS name, branch ->> '$.commit.sha' AS sha, coalesce(branch ->> '$.commit.commit.message', '') AS message, coalesce(branch ->> '$.commit.commit.author.name', '') AS author, coalesce(branch ->> '$.protected', 'false') = 'true' AS protected,
+SELECT doc_id, branch ->> '$.name' AS name, branch ->> '$.commit.sha' AS sha, coalesce(branch ->> '$.commit.commit.message', '') AS message, coalesce(branch ->> '$.commit.commit.author.name', '') AS author, coalesce(branch ->> '$.protected', 'false') = 'true' AS protected,
  coalesce(installation ->> '$.account.login', '') AS account, coalesce(installation ->> '$.account.type', '') AS account_type, installation ->> '$.repository_selection' AS repository_selection, coalesce(languages ->> '$.Python', '0')::bigint AS python_bytes
-FROM {X.values(_LANDED, _LANDED_SCHEMA)}""")
+FROM {Q._of_documents_sql(_LANDED, _LANDED_SCHEMA)}""")
 def landed_records(spark, sf_dir):
-    rows = X.frame(spark, _LANDED, _LANDED_SCHEMA)
+    rows = Q._of_documents(spark, sf_dir, _LANDED, _LANDED_SCHEMA)
     b, i, found = tables.branches(F.col("branch")), tables.installations(F.col("installation")), tables.languages(F.col("languages"))
-    return rows.select("n", *[b[c].alias(c) for c in ("name", "sha", "message", "author", "protected")], *[i[c].alias(c) for c in ("account", "account_type", "repository_selection")], F.coalesce(F.try_element_at(found, F.lit("Python")), F.lit(0)).alias("python_bytes"))
+    return rows.select("doc_id", *[b[c].alias(c) for c in ("name", "sha", "message", "author", "protected")], *[i[c].alias(c) for c in ("account", "account_type", "repository_selection")], F.coalesce(F.try_element_at(found, F.lit("Python")), F.lit(0)).alias("python_bytes"))
 
 
 @query(f"""

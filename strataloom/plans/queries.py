@@ -54,6 +54,17 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SQL_FILES = "(SELECT source || '/' || lang || '/doc' || doc_id || '.md' AS file_path, lang AS language, len(string_split(text, chr(10))) AS lines, doc_id % 10 = 0 AS is_test FROM documents)"
 
+def _of_documents(spark: SparkSession, sf_dir: str, rows: X.Rows, schema: str) -> DataFrame:
+    """Every document with one of the cases in turn: doc_id, source, lang, body and the case's columns."""
+    docs = _docs(spark, sf_dir).select("doc_id", "source", "lang", F.col("text").alias("body"))
+    cases = X.frame(spark, [(i, *r) for i, r in enumerate(rows)], f"__k int, {schema}")
+    return docs.withColumn("__k", F.pmod("doc_id", F.lit(len(rows))).cast("int")).join(F.broadcast(cases), "__k").drop("__k")
+
+
+def _of_documents_sql(rows: X.Rows, schema: str) -> str:
+    return f"(SELECT d.doc_id, d.source, d.lang, d.text AS body, t.* EXCLUDE (k_) FROM documents d JOIN (SELECT * FROM {X.values([(i, *r) for i, r in enumerate(rows)], 'k_ int, ' + schema)}) t ON t.k_ = d.doc_id % {len(rows)})"
+
+
 # -- similarity ---------------------------------------------------------------
 
 
@@ -147,11 +158,11 @@ def url_prefix_tree(spark, sf_dir):
 
 
 @query(f"""
-WITH f AS (SELECT t.* FROM {X.values(X.TREE, X.TREE_SCHEMA)})
+WITH f AS (SELECT path FROM (SELECT 'd' || doc_id || '/' || path AS path FROM {_of_documents_sql(X.TREE, X.TREE_SCHEMA)}))
 SELECT path AS file_path FROM f WHERE regexp_matches(path, '(?i)(^|/)(server|app|main|index)\\.(js|jsx|mjs|cjs|ts|tsx)$') OR regexp_matches(path, '(?i)(^|/)main\\.(py|go|rs|java|kt)$') OR regexp_matches(path, '(?i)(^|/)manage\\.py$') OR regexp_matches(path, '(?i)(^|/)cmd/[^/]+/main\\.go$')
 ORDER BY len(string_split(path, '/')), path LIMIT 8""")
 def entry_points(spark, sf_dir):
-    return rollups.entry_points(X.frame(spark, X.TREE, X.TREE_SCHEMA).withColumnRenamed("path", "file_path"))
+    return rollups.entry_points(_trees(spark, sf_dir).withColumnRenamed("path", "file_path"))
 
 
 # -- joins and sets -----------------------------------------------------------
@@ -188,25 +199,27 @@ def passage_contains(spark, sf_dir):
     return grams.containing(_docs(spark, sf_dir), table(spark, sf_dir, "benchmark"), "doc_id", "text", "text", scratch, size=16).select(F.col("id").alias("doc_id")).distinct()
 
 
-@query(f"""
-WITH s AS (SELECT t.* FROM {X.values(X.SYMBOLS, X.SYMBOLS_SCHEMA)}), c AS (SELECT file_path, unnest(range(1, 80, 10)) AS a FROM (SELECT DISTINCT file_path FROM s)),
+@query("""
+WITH s AS (SELECT conv_id::varchar AS file_path, role || turn AS name, (turn * 9 + 1)::int AS start_line FROM conversations), m AS (SELECT file_path, max(start_line) AS last FROM s GROUP BY 1),
+c AS (SELECT file_path, unnest(range(1, last + 1, 10)) AS a FROM m),
 j AS (SELECT s.file_path, s.name, s.start_line, c.a AS chunk_start, c.a + 14 AS chunk_end, row_number() OVER (PARTITION BY s.file_path, s.name, s.start_line ORDER BY c.a) AS n FROM s JOIN c ON s.file_path = c.file_path AND c.a <= s.start_line + 2 AND c.a + 14 >= s.start_line)
 SELECT file_path, name, start_line, chunk_start::int AS chunk_start, chunk_end::int AS chunk_end FROM j WHERE n = 1""")
 def containment_join(spark, sf_dir):
-    symbols = X.frame(spark, X.SYMBOLS, X.SYMBOLS_SCHEMA)
-    starts = F.explode(F.sequence(F.lit(1), F.lit(79), F.lit(10)))
-    chunks = symbols.select("file_path").distinct().select("file_path", starts.alias("start_line")).withColumn("end_line", F.col("start_line") + 14)
+    turns = table(spark, sf_dir, "conversations")
+    symbols = turns.select(F.col("conv_id").cast("string").alias("file_path"), F.concat("role", F.col("turn").cast("string")).alias("name"), (F.col("turn") * 9 + 1).cast("int").alias("start_line"))
+    last = symbols.groupBy("file_path").agg(F.max("start_line").alias("last"))
+    chunks = last.select("file_path", F.explode(F.sequence(F.lit(1), "last", F.lit(10))).alias("start_line")).withColumn("end_line", F.col("start_line") + 14)
     out = retrieval.covering_chunk(symbols, chunks)
     return out.select("file_path", "name", "start_line", F.col("c_start_line").alias("chunk_start"), F.col("c_end_line").alias("chunk_end"))
 
 
 @query("""
-WITH a AS (SELECT doc_id, sha256(text) AS sha FROM documents WHERE doc_id % 7 <> 0), b AS (SELECT doc_id, sha256(CASE WHEN doc_id % 11 = 0 THEN text || '!' ELSE text END) AS sha FROM documents WHERE doc_id % 5 <> 0)
+WITH a AS (SELECT doc_id, sha256(text) AS sha FROM documents WHERE doc_id % 7 <> 0), b AS (SELECT doc_id, sha256(CASE WHEN doc_id % 11 = 0 THEN text || '!' ELSE text END) AS sha FROM documents WHERE doc_id % 5 <> 0 OR doc_id % 35 = 0)
 SELECT coalesce(a.doc_id, b.doc_id)::varchar AS path, CASE WHEN a.doc_id IS NULL THEN 'added' WHEN b.doc_id IS NULL THEN 'removed' ELSE 'modified' END AS status FROM a FULL JOIN b ON a.doc_id = b.doc_id WHERE a.sha IS DISTINCT FROM b.sha""")
 def tree_compare(spark, sf_dir):
     docs, path = _docs(spark, sf_dir), F.col("doc_id").cast("string").alias("path")
     base = docs.filter("doc_id % 7 <> 0").select(path, F.sha2("text", 256).alias("sha"))
-    head = docs.filter("doc_id % 5 <> 0").select(path, F.sha2(F.when(F.col("doc_id") % 11 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("sha"))
+    head = docs.filter("doc_id % 5 <> 0 OR doc_id % 35 = 0").select(path, F.sha2(F.when(F.col("doc_id") % 11 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("sha"))
     return compare_trees(base, head)
 
 
@@ -230,7 +243,15 @@ def diff_pack_prefix(spark, sf_dir):
 
 # -- file selection -----------------------------------------------------------
 
-_T = X.values(X.TREE, X.TREE_SCHEMA)
+#: The tree of each source: a file a document.
+_T = f"(SELECT source, 'd' || doc_id || '/' || path AS path, size FROM {_of_documents_sql(X.TREE, X.TREE_SCHEMA)}) AS t"
+
+
+def _trees(spark, sf_dir) -> DataFrame:
+    own = F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("/"), "path")
+    return _of_documents(spark, sf_dir, X.TREE, X.TREE_SCHEMA).select("source", own.alias("path"), "size")
+
+
 _BASE = "regexp_extract(path, '[^/]*$')"
 _EXT_SQL = "regexp_extract(regexp_extract(lower(path), '[^/]*$'), '[^.].*?(\\.[^.]*)$', 1)"
 _MAP = lambda m: "MAP {" + ", ".join(f"{X._literal(k)}: {X._literal(v)}" for k, v in m.items()) + "}"
@@ -246,12 +267,12 @@ _SCORE = f"""(CASE WHEN {_BASE} IN ({_in(R.MANIFEST_NAMES)}) THEN 55 ELSE 0 END
 
 
 @query(f"""
-WITH t AS (SELECT t.* FROM {_T}), c AS (SELECT path, {_REASON} AS reason, {_LANG} AS lang, {_SCORE} AS score, {_TEST} AS is_test FROM t),
-r AS (SELECT *, row_number() OVER (PARTITION BY reason IS NULL ORDER BY score DESC, path) AS n FROM c)
-SELECT path, CASE WHEN reason IS NULL AND n > 9 THEN 'over-max-files' ELSE reason END AS reason, CASE WHEN reason IS NULL THEN lang END AS language, CASE WHEN reason IS NULL THEN score END AS score, is_test, reason IS NULL AND n <= 9 AS selected FROM r""")
+WITH t AS (SELECT t.* FROM {_T}), c AS (SELECT source, path, {_REASON} AS reason, {_LANG} AS lang, {_SCORE} AS score, {_TEST} AS is_test FROM t),
+r AS (SELECT *, row_number() OVER (PARTITION BY source, reason IS NULL ORDER BY score DESC, path) AS n FROM c)
+SELECT source, path, CASE WHEN reason IS NULL AND n > 9 THEN 'over-max-files' ELSE reason END AS reason, CASE WHEN reason IS NULL THEN lang END AS language, CASE WHEN reason IS NULL THEN score END AS score, is_test, reason IS NULL AND n <= 9 AS selected FROM r""")
 def file_select(spark, sf_dir):
-    rows = selection.select_files(X.frame(spark, X.TREE, X.TREE_SCHEMA), max_files=9)
-    return rows.select("path", "reason", "language", "score", paths.is_test_path(F.col("path")).alias("is_test"), "selected")
+    rows = selection.select_files(_trees(spark, sf_dir), ["source"], max_files=9)
+    return rows.select("source", "path", "reason", "language", "score", paths.is_test_path(F.col("path")).alias("is_test"), "selected")
 
 
 # -- windows and event logic ----------------------------------------------------
@@ -366,22 +387,24 @@ def json_props(spark, sf_dir):
 
 
 @query(f"""
-WITH t AS (SELECT t.* FROM {X.values(X.PROSE, X.TEXTS_SCHEMA)}), m AS (SELECT n, unnest(regexp_extract_all(t, '[A-Za-z0-9_./@-]+\\.[A-Za-z0-9]+:\\d+(?:-\\d+)?')) AS x FROM t)
-SELECT n, regexp_extract(x, '^(.*?):', 1) AS path, regexp_extract(x, ':(\\d+)', 1)::int AS first, nullif(regexp_extract(x, '-(\\d+)$', 1), '')::int AS last FROM m""")
+WITH t AS (SELECT doc_id, body || ' ' || t AS t FROM {_of_documents_sql(X.PROSE, X.TEXTS_SCHEMA)}), m AS (SELECT doc_id, unnest(regexp_extract_all(t, '[A-Za-z0-9_./@-]+\\.[A-Za-z0-9]+:\\d+(?:-\\d+)?')) AS x FROM t)
+SELECT doc_id, regexp_extract(x, '^(.*?):', 1) AS path, regexp_extract(x, ':(\\d+)', 1)::int AS first, nullif(regexp_extract(x, '-(\\d+)$', 1), '')::int AS last FROM m""")
 def citations_regex(spark, sf_dir):
-    return X.frame(spark, X.PROSE, X.TEXTS_SCHEMA).select("n", F.inline(text.mentions(F.col("t"))))
+    rows = _of_documents(spark, sf_dir, X.PROSE, X.TEXTS_SCHEMA)
+    return rows.select("doc_id", F.inline(text.mentions(F.concat("body", F.lit(" "), "t"))))
 
 
 def _scrub_sql() -> str:
-    out = "t"
+    out = "t || ' ' || body"
     for p in R.SECRETS:
         out = f"regexp_replace({out}, {X._literal(p)}, '[redacted]', 'g')"
-    return f"SELECT n, {out} AS scrubbed FROM {X.values(X.LOGS, X.TEXTS_SCHEMA)}"
+    return f"SELECT doc_id, {out} AS scrubbed FROM {_of_documents_sql(X.LOGS, X.TEXTS_SCHEMA)}"
 
 
 @query(_scrub_sql())
 def secret_scrub(spark, sf_dir):
-    return X.frame(spark, X.LOGS, X.TEXTS_SCHEMA).select("n", text.scrub_secrets(F.col("t")).alias("scrubbed"))
+    rows = _of_documents(spark, sf_dir, X.LOGS, X.TEXTS_SCHEMA)
+    return rows.select("doc_id", text.scrub_secrets(F.concat("t", F.lit(" "), "body")).alias("scrubbed"))
 
 
 @query("""
@@ -393,31 +416,34 @@ def numbered_lines(spark, sf_dir):
 
 
 @query(f"""
-WITH b AS (SELECT t.* FROM {X.values(X.BRANCHES, X.TEXTS_SCHEMA)}), p AS (SELECT t.* FROM {X.values(X.PATHS, X.TEXTS_SCHEMA)}), q AS (SELECT n, regexp_replace(trim(t), '^\\./', '') AS v FROM p)
-SELECT 'branch' AS kind, n, (length(t) BETWEEN 1 AND 240 AND NOT regexp_matches(t, '^\\.|\\.\\.|[~^:?*\\[\\\\\\s]|//|/$|\\.lock$|@\\{{'))::varchar AS verdict FROM b
-UNION ALL SELECT 'path', n, CASE WHEN v = '' THEN 'missing' WHEN starts_with(v, '/') OR regexp_matches(v, '^[A-Za-z]:') THEN 'absolute' WHEN contains(v, '\\') THEN 'backslash' WHEN len(list_filter(string_split(v, '/'), lambda x: x IN ('..', '.', ''))) > 0 THEN 'segment' WHEN split_part(v, '/', 1) = '.git' THEN 'internals' WHEN length(v) > 400 THEN 'too-long' ELSE 'ok' END FROM q""")
+WITH b AS (SELECT * FROM {_of_documents_sql(X.BRANCHES, X.TEXTS_SCHEMA)}), p AS (SELECT * FROM {_of_documents_sql(X.PATHS, X.TEXTS_SCHEMA)}), q AS (SELECT doc_id, regexp_replace(trim(t), '^\\./', '') AS v FROM p)
+SELECT 'branch' AS kind, doc_id, (length(t) BETWEEN 1 AND 240 AND NOT regexp_matches(t, '^\\.|\\.\\.|[~^:?*\\[\\\\\\s]|//|/$|\\.lock$|@\\{{'))::varchar AS verdict FROM b
+UNION ALL SELECT 'path', doc_id, CASE WHEN v = '' THEN 'missing' WHEN starts_with(v, '/') OR regexp_matches(v, '^[A-Za-z]:') THEN 'absolute' WHEN contains(v, '\\') THEN 'backslash' WHEN len(list_filter(string_split(v, '/'), lambda x: x IN ('..', '.', ''))) > 0 THEN 'segment' WHEN split_part(v, '/', 1) = '.git' THEN 'internals' WHEN length(v) > 400 THEN 'too-long' ELSE 'ok' END FROM q""")
 def name_checks(spark, sf_dir):
-    branches = X.frame(spark, X.BRANCHES, X.TEXTS_SCHEMA).select(F.lit("branch").alias("kind"), "n", text.safe_branch(F.col("t")).cast("string").alias("verdict"))
-    checked = X.frame(spark, X.PATHS, X.TEXTS_SCHEMA).select(F.lit("path").alias("kind"), "n", F.coalesce(paths.unsafe_path(F.col("t")), F.lit("ok")).alias("verdict"))
+    branches = _of_documents(spark, sf_dir, X.BRANCHES, X.TEXTS_SCHEMA).select(F.lit("branch").alias("kind"), "doc_id", text.safe_branch(F.col("t")).cast("string").alias("verdict"))
+    checked = _of_documents(spark, sf_dir, X.PATHS, X.TEXTS_SCHEMA).select(F.lit("path").alias("kind"), "doc_id", F.coalesce(paths.unsafe_path(F.col("t")), F.lit("ok")).alias("verdict"))
     return branches.unionByName(checked)
 
 
 @query(f"""
-WITH a AS (SELECT n, regexp_replace(trim(t), '^git\\+', '') AS v, t FROM {X.values(X.REPOS, X.TEXTS_SCHEMA)}), b AS (SELECT n, t, regexp_replace(regexp_replace(v, '^git@github\\.com:', 'https://github.com/'), '(?i)^github\\.com/', 'https://github.com/') AS v FROM a),
-c AS (SELECT n, v, regexp_matches(v, '(?i)^https?://') AS url, lower(regexp_extract(v, '(?i)^https?://([^/:?#]*)', 1)) AS site, list_filter(string_split(CASE WHEN regexp_matches(v, '(?i)^https?://') THEN regexp_extract(v, '(?i)^https?://[^/?#]*([^?#]*)', 1) ELSE v END, '/'), lambda x: x <> '') AS p FROM b),
+WITH a AS (SELECT doc_id, regexp_replace(trim(t), '^git\\+', '') AS v, t FROM {_of_documents_sql(X.REPOS, X.TEXTS_SCHEMA)}), b AS (SELECT doc_id, t, regexp_replace(regexp_replace(v, '^git@github\\.com:', 'https://github.com/'), '(?i)^github\\.com/', 'https://github.com/') AS v FROM a),
+c AS (SELECT doc_id, v, regexp_matches(v, '(?i)^https?://') AS url, lower(regexp_extract(v, '(?i)^https?://([^/:?#]*)', 1)) AS site, list_filter(string_split(CASE WHEN regexp_matches(v, '(?i)^https?://') THEN regexp_extract(v, '(?i)^https?://[^/?#]*([^?#]*)', 1) ELSE v END, '/'), lambda x: x <> '') AS p FROM b),
 d AS (SELECT *, coalesce(p[1], '') AS o, regexp_replace(coalesce(p[2], ''), '(?i)\\.git$', '') AS r FROM c),
 e AS (SELECT *, CASE WHEN v = '' THEN 'empty' WHEN url AND site NOT IN ('github.com', 'www.github.com') THEN 'host' WHEN url AND len(p) < 2 THEN 'incomplete' WHEN NOT url AND len(p) <> 2 THEN 'format' WHEN NOT regexp_matches(o, '^[A-Za-z0-9][A-Za-z0-9-]{{0,38}}$') THEN 'owner' WHEN NOT regexp_matches(r, '^[A-Za-z0-9._-]{{1,100}}$') THEN 'name' END AS error FROM d)
-SELECT n, CASE WHEN error IS NULL THEN o END AS owner, CASE WHEN error IS NULL THEN r END AS repo, CASE WHEN error IS NULL AND url AND p[3] IN ('tree', 'blob') THEN p[4] END AS branch, error FROM e""")
+SELECT doc_id, CASE WHEN error IS NULL THEN o END AS owner, CASE WHEN error IS NULL THEN r END AS repo, CASE WHEN error IS NULL AND url AND p[3] IN ('tree', 'blob') THEN p[4] END AS branch, error FROM e""")
 def repo_identity(spark, sf_dir):
-    return X.frame(spark, X.REPOS, X.TEXTS_SCHEMA).select("n", F.inline(F.array(text.repo_identity(F.col("t")))))
+    return _of_documents(spark, sf_dir, X.REPOS, X.TEXTS_SCHEMA).select("doc_id", F.inline(F.array(text.repo_identity(F.col("t")))))
 
 
 @query(f"""
-WITH a AS (SELECT n, trim(t) AS t FROM {X.values(X.ANSWERS, X.TEXTS_SCHEMA)}), b AS (SELECT n, CASE WHEN regexp_matches(t, '```(json)?\\s*[\\s\\S]*?```') THEN regexp_extract(t, '```(?:json)?\\s*([\\s\\S]*?)```', 1) ELSE t END AS t FROM a),
-c AS (SELECT n, regexp_extract(t, '(\\{{[\\s\\S]*\\}})', 1) AS whole FROM b), d AS (SELECT *, regexp_replace(whole, ',\\s*([}}\\]])', '\\1', 'g') AS mended FROM c)
-SELECT n, CASE WHEN whole <> '' AND whole = mended AND json_valid(whole) THEN whole WHEN mended <> '' AND json_valid(mended) THEN mended END AS json FROM d""")
+WITH a AS (SELECT event_id, trim(CASE event_id % 6 WHEN 0 THEN props WHEN 1 THEN 'Sure:' || chr(10) || '```json' || chr(10) || props || chr(10) || '```' || chr(10) || 'Done' WHEN 2 THEN replace(props, '}}', ',}}') WHEN 3 THEN 'text ' || props || ' more' WHEN 4 THEN replace(props, '}}', '') ELSE event_type END) AS t FROM events), b AS (SELECT event_id, CASE WHEN regexp_matches(t, '```(json)?\\s*[\\s\\S]*?```') THEN regexp_extract(t, '```(?:json)?\\s*([\\s\\S]*?)```', 1) ELSE t END AS t FROM a),
+c AS (SELECT event_id, regexp_extract(t, '(\\{{[\\s\\S]*\\}})', 1) AS whole FROM b), d AS (SELECT *, regexp_replace(whole, ',\\s*([}}\\]])', '\\1', 'g') AS mended FROM c)
+SELECT event_id, CASE WHEN whole <> '' AND whole = mended AND json_valid(whole) THEN whole WHEN mended <> '' AND json_valid(mended) THEN mended END AS json FROM d""")
 def noisy_json(spark, sf_dir):
-    return X.frame(spark, X.ANSWERS, X.TEXTS_SCHEMA).select("n", text.outermost_json(F.col("t")).alias("json"))
+    props, kind = F.col("props"), F.col("event_id") % 6
+    fenced = F.concat(F.lit("Sure:\n```json\n"), props, F.lit("\n```\nDone"))
+    said = F.when(kind == 0, props).when(kind == 1, fenced).when(kind == 2, F.replace(props, F.lit("}"), F.lit(",}"))).when(kind == 3, F.concat(F.lit("text "), props, F.lit(" more"))).when(kind == 4, F.replace(props, F.lit("}"), F.lit(""))).otherwise(F.col("event_type"))
+    return table(spark, sf_dir, "events").select("event_id", text.outermost_json(said).alias("json"))
 
 
 @query("""
@@ -532,9 +558,10 @@ def two_hop_impact(spark, sf_dir):
     return out.orderBy(F.desc("rank"), F.desc("details"), "supplier").limit(40).select("supplier", impact.severity_name(F.col("rank")).alias("severity"), "details")
 
 
-@query(f"SELECT name, file_path, kind FROM (SELECT t.* FROM {X.values(X.SYMBOLS, X.SYMBOLS_SCHEMA)}) WHERE contains(lower(name), 'au') ORDER BY exported DESC, loc DESC LIMIT 25")
+@query("SELECT p_name AS name, p_brand AS file_path, p_partkey AS start_line FROM part WHERE contains(lower(p_name), 'an') ORDER BY p_size > 25 DESC, p_size DESC, p_name, p_brand, p_partkey LIMIT 25")
 def symbol_search(spark, sf_dir):
-    return impact.search_symbols(X.frame(spark, X.SYMBOLS, X.SYMBOLS_SCHEMA), "AU").select("name", "file_path", "kind")
+    symbols = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.col("p_brand").alias("file_path"), F.col("p_partkey").alias("start_line"), F.col("p_size").alias("loc"), (F.col("p_size") > 25).alias("exported"))
+    return impact.search_symbols(symbols, "AN").select("name", "file_path", "start_line")
 
 
 # -- indexing, review and lists ---------------------------------------------------
@@ -563,9 +590,13 @@ def index_incremental(spark, sf_dir):
     return reduce(DataFrame.unionByName, parts)
 
 
-@query(f"SELECT n, CASE WHEN coalesce(indexed_branch, '') <> '' AND branch IS DISTINCT FROM indexed_branch THEN 'other-branch' WHEN status = 'not_indexed' THEN 'not-indexed' END AS refusal FROM {X.values(X.PUSHES, X.PUSHES_SCHEMA)}")
+@query("""
+WITH p AS (SELECT doc_id, lang AS branch, CASE doc_id % 3 WHEN 0 THEN 'en' WHEN 1 THEN '' END AS indexed_branch, CASE WHEN doc_id % 4 = 0 THEN 'not_indexed' ELSE 'indexed' END AS status FROM documents)
+SELECT doc_id, CASE WHEN coalesce(indexed_branch, '') <> '' AND branch IS DISTINCT FROM indexed_branch THEN 'other-branch' WHEN status = 'not_indexed' THEN 'not-indexed' END AS refusal FROM p""")
 def sync_guards(spark, sf_dir):
-    return X.frame(spark, X.PUSHES, X.PUSHES_SCHEMA).select("n", indexing.sync_refusal(F.col("branch"), F.col("indexed_branch"), F.col("status")).alias("refusal"))
+    indexed = F.when(F.col("doc_id") % 3 == 0, "en").when(F.col("doc_id") % 3 == 1, "")
+    status = F.when(F.col("doc_id") % 4 == 0, "not_indexed").otherwise("indexed")
+    return _docs(spark, sf_dir).select("doc_id", indexing.sync_refusal(F.col("lang"), indexed, status).alias("refusal"))
 
 
 @query("""
@@ -614,15 +645,15 @@ def change_targets(spark, sf_dir):
 
 
 @query(f"""
-WITH a AS (SELECT n, CASE WHEN json_valid(answer) AND json_type(answer) = 'OBJECT' THEN answer::json END AS j FROM {X.values(X.REVIEWS, X.REVIEWS_SCHEMA)}),
-f AS (SELECT n, j, CASE WHEN json_type(j, '$.findings') = 'ARRAY' THEN from_json(j -> 'findings', '[{{"severity":"VARCHAR","confidence":"VARCHAR","title":"VARCHAR","issue":"VARCHAR","recommendation":"VARCHAR","line":"INTEGER"}}]') END AS l FROM a)
-SELECT n, CASE WHEN j IS NULL THEN 'json' WHEN NOT coalesce(length(j ->> 'summary') BETWEEN 1 AND 1500, false) THEN 'summary' WHEN NOT coalesce(j ->> 'verdict' IN ('approve', 'comment', 'request_changes'), false) THEN 'verdict'
+WITH a AS (SELECT doc_id, CASE WHEN json_valid(answer) AND json_type(answer) = 'OBJECT' THEN answer::json END AS j FROM {_of_documents_sql(X.REVIEWS, X.REVIEWS_SCHEMA)}),
+f AS (SELECT doc_id, j, CASE WHEN json_type(j, '$.findings') = 'ARRAY' THEN from_json(j -> 'findings', '[{{"severity":"VARCHAR","confidence":"VARCHAR","title":"VARCHAR","issue":"VARCHAR","recommendation":"VARCHAR","line":"INTEGER"}}]') END AS l FROM a)
+SELECT doc_id, CASE WHEN j IS NULL THEN 'json' WHEN NOT coalesce(length(j ->> 'summary') BETWEEN 1 AND 1500, false) THEN 'summary' WHEN NOT coalesce(j ->> 'verdict' IN ('approve', 'comment', 'request_changes'), false) THEN 'verdict'
  WHEN NOT coalesce(j ->> 'riskLevel' IN ('HIGH', 'MEDIUM', 'LOW'), false) THEN 'riskLevel'
  WHEN l IS NULL OR len(l) > 25 OR len(list_filter(l, lambda x: NOT coalesce(x.severity IN ('HIGH', 'MEDIUM', 'LOW') AND x.confidence IN ('CONFIRMED', 'LIKELY', 'POSSIBLE', 'INSUFFICIENT_CONTEXT') AND length(x.title) <= 160 AND length(x.issue) <= 1200 AND length(x.recommendation) <= 1200 AND coalesce(x.line, 0) >= 0, false))) > 0 THEN 'findings'
  WHEN coalesce(json_array_length(j, '$.testGaps'), 0) > 10 THEN 'testGaps' END AS fault FROM f""")
 def answer_checks(spark, sf_dir):
-    rows = X.frame(spark, X.REVIEWS, X.REVIEWS_SCHEMA)
-    return rows.select("n", answers.review_fault(answers.parsed(F.col("answer"), answers.REVIEW)).alias("fault"))
+    rows = _of_documents(spark, sf_dir, X.REVIEWS, X.REVIEWS_SCHEMA)
+    return rows.select("doc_id", answers.review_fault(answers.parsed(F.col("answer"), answers.REVIEW)).alias("fault"))
 
 
 @query("""
@@ -713,21 +744,24 @@ _PERMS = "admin boolean, maintain boolean, push boolean, triage boolean, pull bo
 @query(f"""
 SELECT coalesce(admin, false) AS admin, coalesce(pull, true) AS pull, CASE WHEN admin THEN 'admin' WHEN maintain THEN 'maintain' WHEN push THEN 'write' WHEN triage THEN 'triage' ELSE 'read' END AS role,
  coalesce(push, false) OR coalesce(maintain, false) OR coalesce(admin, false) AS can_write, CASE WHEN coalesce(push, false) OR coalesce(maintain, false) OR coalesce(admin, false) THEN 'read_write' ELSE 'read_only' END AS mode, count(*) AS n
-FROM (SELECT t.* FROM {X.values(X.PERMISSIONS, _PERMS)}) GROUP BY ALL""")
+FROM {_of_documents_sql(X.PERMISSIONS, _PERMS)} GROUP BY ALL""")
 def permission_roles(spark, sf_dir):
-    rows = X.frame(spark, X.PERMISSIONS, _PERMS)
+    rows = _of_documents(spark, sf_dir, X.PERMISSIONS, _PERMS)
     p = access.permissions(*[F.col(c) for c in ("admin", "maintain", "push", "triage", "pull")])
     rows = rows.select("private", F.inline(F.array(p)))
     rows = rows.withColumn("mode", access.access(F.col("can_write"), F.col("private"), F.lit(None).cast("boolean"), F.lit(True))["mode"])
     return rows.groupBy("admin", "pull", "role", "can_write", "mode").agg(F.count("*").alias("n"))
 
 
+_ERRORS = "n int, status int, message string, remaining string, resource string"
+
+
 @query(f"""
-SELECT n, CASE WHEN status = 401 THEN 'AUTH_EXPIRED' WHEN status = 403 AND (coalesce(remaining, '') = '0' OR regexp_matches(message, '(?i)rate limit|secondary rate')) THEN 'RATE_LIMIT' WHEN status IN (403, 451) THEN 'FORBIDDEN' WHEN status = 404 AND resource = 'repository' THEN 'REPO_NOT_FOUND' WHEN status = 404 THEN 'NOT_FOUND'
- WHEN status = 409 OR (status = 422 AND regexp_matches(message, '(?i)already exists|no commits between')) THEN 'CONFLICT' WHEN status = 422 THEN 'BAD_REQUEST' ELSE 'UPSTREAM' END AS code FROM {X.values(X.ERRORS, "n int, status int, message string, remaining string, resource string")}""")
+SELECT doc_id, CASE WHEN status = 401 THEN 'AUTH_EXPIRED' WHEN status = 403 AND (coalesce(remaining, '') = '0' OR regexp_matches(message, '(?i)rate limit|secondary rate')) THEN 'RATE_LIMIT' WHEN status IN (403, 451) THEN 'FORBIDDEN' WHEN status = 404 AND resource = 'repository' THEN 'REPO_NOT_FOUND' WHEN status = 404 THEN 'NOT_FOUND'
+ WHEN status = 409 OR (status = 422 AND regexp_matches(message, '(?i)already exists|no commits between')) THEN 'CONFLICT' WHEN status = 422 THEN 'BAD_REQUEST' ELSE 'UPSTREAM' END AS code FROM {_of_documents_sql(X.ERRORS, _ERRORS)}""")
 def upstream_errors(spark, sf_dir):
-    rows = X.frame(spark, X.ERRORS, "n int, status int, message string, remaining string, resource string")
-    return rows.select("n", access.upstream_error(F.col("status"), F.col("message"), F.col("remaining"), F.col("resource")).alias("code"))
+    rows = _of_documents(spark, sf_dir, X.ERRORS, _ERRORS)
+    return rows.select("doc_id", access.upstream_error(F.col("status"), F.col("message"), F.col("remaining"), F.col("resource")).alias("code"))
 
 
 @query(f"""
