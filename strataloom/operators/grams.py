@@ -6,6 +6,8 @@ that a search reads the row groups that may hold its grams and no others.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,16 +19,16 @@ SIZE = 3
 PUSHED = 1000
 
 
-def grams(text: Column, size: int = SIZE) -> Column:
-    """The distinct grams of `size` characters of a text; none where it is shorter or null."""
+def grams(text: Column, size: int = SIZE, words: bool = False) -> Column:
+    """The distinct grams of `size` characters of a text; none where it is shorter or null. words: only those behind a blank."""
     # a match of no length at each place, which looks ahead: one pass over the text
-    every = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+    every = F.regexp_extract_all(text, F.lit(f"(?s){'(?<= )' if words else ''}(?=(.{{{size}}}))"), F.lit(1))
     return F.coalesce(F.array_distinct(every), F.array().cast("array<string>"))
 
 
-def postings(texts: DataFrame, id_col: str, text_col: str, sizes: tuple[int, ...] = (SIZE,)) -> DataFrame:
+def postings(texts: DataFrame, id_col: str, text_col: str, sizes: tuple[int, ...] = (SIZE,), words: bool = False) -> DataFrame:
     """gram, hash (of the gram), id: a row for each distinct gram of each text."""
-    all_ = F.flatten(F.array(*[grams(F.col(text_col), n) for n in sizes]))
+    all_ = F.flatten(F.array(*[grams(F.col(text_col), n, words) for n in sizes]))
     return texts.select(F.col(id_col).alias("id"), F.explode(all_).alias("gram")).select("gram", F.xxhash64("gram").alias("hash"), "id")
 
 
@@ -56,12 +58,12 @@ class GramIndex:
         return table.filter(F.col("gram").isin(few)) if len(few) <= PUSHED else maybe_in(table, wanted.select("hash"), "hash")
 
 
-def candidates(needles: DataFrame, index: GramIndex | DataFrame, scratch: Scratch, size: int = SIZE) -> DataFrame:
+def candidates(needles: DataFrame, index: GramIndex | DataFrame, scratch: Scratch, size: int = SIZE, words: bool = False) -> DataFrame:
     """needle, id: texts that hold the rarest gram of a needle (needle: distinct texts that aren't null or empty).
 
     index: a stored one, or the postings of the texts by the sizes of the needles. Hot grams are dealt over tasks.
     """
-    of_needle = F.when(F.length("needle") < size, F.array("needle")).otherwise(grams(F.col("needle"), size))
+    of_needle = F.when(F.length("needle") < size, F.array("needle")).otherwise(grams(F.col("needle"), size, words))
     asked = scratch.write(needles.select("needle", F.explode(of_needle).alias("gram")).withColumn("hash", F.xxhash64("gram")), "asked")
     wanted = scratch.write(asked.select("gram", "hash").distinct(), "wanted")
     if isinstance(index, GramIndex):
@@ -81,12 +83,19 @@ def containing(texts: DataFrame, needles: DataFrame, id_col: str, text_col: str,
     """needle, id: each distinct needle with the ids of the texts that contain it; exact.
 
     Null needles match nothing, the empty one every text that isn't null; ids may repeat. Candidates are verified on
-    the whole text. Without a stored index postings are made of the texts, and only those that may be asked for leave their task.
+    the whole text. Without a stored index postings are made of the texts, and only those that may be asked for leave
+    their task: needles of several words are looked up by grams behind a blank, of which a text has few, the others by all grams.
     """
     wanted = scratch.write(needles.select(F.col(needle_col).alias("needle")).filter("needle IS NOT NULL").distinct(), "needles")
-    short = [r["n"] for r in wanted.select(F.length("needle").alias("n")).filter((F.col("n") > 0) & (F.col("n") < size)).distinct().collect()]
-    found = candidates(wanted.filter("needle <> ''"), index or postings(texts, id_col, text_col, (*sorted(short), size)), scratch, size).distinct()
+    asked = wanted.filter("needle <> ''")
+    if index is not None:
+        found = candidates(asked, index, scratch, size)
+    else:
+        asked = asked.withColumn("words", F.size(grams(F.col("needle"), size, True)) > 0)
+        kinds = {r["words"]: r["lengths"] for r in asked.groupBy("words").agg(F.collect_set(F.least(F.length("needle"), F.lit(size))).alias("lengths")).collect()}
+        parts = [candidates(asked.filter(F.col("words") == w).drop("words"), postings(texts, id_col, text_col, tuple(sorted(lengths)), w), scratch, size, w) for w, lengths in kinds.items()]
+        found = reduce(DataFrame.unionByName, parts) if parts else candidates(asked.drop("words"), postings(texts.limit(0), id_col, text_col), scratch, size)
     own = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    hits = found.join(own, "id").filter(F.contains("text", "needle")).select("needle", "id").distinct()
+    hits = found.distinct().join(own, "id").filter(F.contains("text", "needle")).select("needle", "id").distinct()
     empty = own.filter("text IS NOT NULL").select(F.lit("").alias("needle"), "id").distinct()
     return hits.unionByName(empty) if wanted.filter("needle = ''").count() else hits

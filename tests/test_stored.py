@@ -206,6 +206,7 @@ def test_needles_are_found_as_by_contains(spark, tmp_path, stored):
     rng = random.Random(9)
     texts = ["".join(rng.choices("abcé😀\n ", k=rng.randint(0, 60))) + "the" for _ in range(300)] + [None, "", "ab", "the"]
     needles = ["", None, "a", "é", "😀", "ab", "a\n", "the", "thee", "abcabcabc", "zzz", "the"] + ["".join(rng.choices("abcé😀\n ", k=rng.randint(1, 7))) for _ in range(150)]
+    needles += [t[4:19] for t in texts[:60] if t]
     rows = spark.createDataFrame(list(enumerate(texts)), "n long, t string").repartition(3)
     scratch = Scratch(spark, "test")
     index = grams.GramIndex.write(rows, "n", "t", str(tmp_path / "index")) if stored else None
