@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.operators.shuffles import Scratch, maybe_in, spread_join
+from strataloom.operators.shuffles import Scratch, dealt, maybe_in, spread_join
 
 #: Characters of a gram; shorter needles are looked up by grams of their own length.
 SIZE = 3
@@ -86,6 +86,7 @@ def containing(texts: DataFrame, needles: DataFrame, id_col: str, text_col: str,
     the whole text. Without a stored index postings are made of the texts, and only those that may be asked for leave
     their task: needles of several words are looked up by grams behind a blank, of which a text has few, the others by all grams.
     """
+    texts = dealt(texts.select(id_col, text_col))
     wanted = scratch.write(needles.select(F.col(needle_col).alias("needle")).filter("needle IS NOT NULL").distinct(), "needles")
     asked = wanted.filter("needle <> ''")
     if index is not None:

@@ -89,10 +89,18 @@ def maybe(rows: DataFrame, hashes: DataFrame, name: str, out: str) -> DataFrame:
     bit = F.pmod(F.col(name), F.lit(bits))
     number, place = F.shiftright(bit, 15).alias("__map"), F.pmod(bit, F.lit(_MAP_BITS))
     maps = hashes.groupBy(number).agg(F.bitmap_construct_agg(place).alias("__bits"))
-    byte = F.conv(F.hex(F.substring("__bits", F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    hit = F.coalesce(F.expr("shiftright(__byte, __place % 8) & 1") == 1, F.lit(False))
-    found = rows.withColumn("__map", F.shiftright(bit, 15)).join(F.broadcast(maps), "__map", "left")
-    return found.withColumns({"__byte": byte, "__place": place.cast("int")}).select(*rows.columns, hit.alias(out))
+    # eight bytes of a map as a number, the first byte highest
+    word = lambda i: F.conv(F.hex(F.substring("__bits", i * 8 + 1, F.lit(8))), 16, -10).cast("long")
+    maps = maps.select("__map", F.transform(F.sequence(F.lit(0), F.lit(_MAP_BITS // 64 - 1)), word).alias("__words"))
+    found = rows.withColumn("__map", F.shiftright(bit, 15)).join(F.broadcast(maps), "__map", "left").withColumn("__place", place.cast("int"))
+    hit = F.expr("shiftright(get(__words, shiftright(__place, 6)), (7 - (shiftright(__place, 3) & 7)) * 8 + (__place & 7)) & 1") == 1
+    return found.select(*rows.columns, F.coalesce(hit, F.lit(False)).alias(out))
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows, dealt to all cores where they are in fewer pieces, as a small table in one file is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def maybe_in(rows: DataFrame, hashes: DataFrame, name: str) -> DataFrame:
