@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataloom.functions import paths
+from strataloom.functions import paths, text
+from strataloom.operators.impact import first_each
 from strataloom.operators.packing import greedy
+from strataloom.operators.windows import merge_windows
 
 # Files of a review and of its context, dependants read and shown.
 REVIEW_FILES, CONTEXT_FILES, DEPENDANTS, SHOWN = 12, 4, 50, 30
@@ -73,3 +75,71 @@ def ranked_targets(targets: DataFrame, retrieved: DataFrame, input_chars: int) -
     every = targets.select("path", F.lit(0).alias("kind"), "place").unionByName(retrieved.filter(~paths.is_test_path(F.col("path"))).select("path", F.lit(1).alias("kind"), "place"))
     first = every.groupBy("path").agg(F.min(F.struct("kind", "place")).alias("o")).orderBy("o", "path").limit(most)
     return first.select("path", F.row_number().over(Window.orderBy("o", "path")).alias("place"))
+
+
+# -- what a requested change is written from ------------------------------------------
+
+# Lines of a file that is shown whole, the share of the input for contents, the room that a further file
+# needs, windows of a file, lines of a file without a range; importers read and shown, paths told.
+WHOLE_LINES, CONTENT_SHARE, LEAST_ROOM, WINDOWS, FIRST_LINES = 260, 0.65, 900, 3, 80
+IMPORTERS, IMPORTERS_SHOWN, KNOWN_PATHS = 24, 14, 120
+CUT = "\n... [excerpt truncated]"
+
+
+def targets_each(targets: DataFrame, retrieved: DataFrame, input_chars: int) -> DataFrame:
+    """ranked_targets for many requests: request, path, place; targets and retrieved have a request, too."""
+    most = max(1, min(4, input_chars // 5000))
+    every = targets.select("request", "path", F.lit(0).alias("kind"), "place").unionByName(retrieved.filter(~paths.is_test_path(F.col("path"))).select("request", "path", F.lit(1).alias("kind"), "place"))
+    first = every.groupBy("request", "path").agg(F.min(F.struct("kind", "place")).alias("o"))
+    place = F.row_number().over(Window.partitionBy("request").orderBy("o", "path"))
+    return first.withColumn("place", place).filter(F.col("place") <= most).select("request", "path", "place")
+
+
+def change_files(targets: DataFrame, files: DataFrame, ranges: DataFrame, input_chars: int) -> DataFrame:
+    """request, place, path, lines, windowed, rendered: the files of each request that its budget still shows.
+
+    targets: those of targets_each, a few a request. files: path, content. ranges: request, path, start, end of the
+    retrieved places. A file is shown whole with line numbers, or in windows around its ranges (its first lines without one)
+    where it is too long or doesn't fit into what the files before have left; windows that don't fit are cut.
+    A file that would find less than LEAST_ROOM characters isn't shown, nor are those behind it. Null and empty contents are skipped.
+    """
+    rows = targets.join(files.select("path", "content"), "path").filter("content <> ''").withColumn("lines", F.size(text.lines_of(F.col("content"))))
+    given = ranges.select("request", "path", "start", "end", F.lit(True).alias("__given"))
+    own = rows.select("request", "path", "lines").join(given, ["request", "path"], "left")
+    own = own.select("request", "path", "lines", F.coalesce("start", F.lit(1)).alias("start"), F.when(F.col("__given"), F.col("end")).otherwise(F.least("lines", F.lit(FIRST_LINES))).alias("end"))
+    merged = merge_windows(own, ["request", "path"], F.col("lines"), most=WINDOWS)
+    merged = merged.groupBy("request", "path").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("windows"))
+    shown = rows.join(merged, ["request", "path"])
+    each = F.struct("place", "path", "lines", text.numbered(F.col("content")).alias("whole"), text.numbered_windows(F.col("content"), F.col("windows")).alias("part"))
+    lists = shown.groupBy("request").agg(F.sort_array(F.collect_list(each)).alias("files"))  # a few, as targets are
+
+    state = "struct<room:int,kept:array<struct<place:int,path:string,lines:int,windowed:boolean,rendered:string>>>"
+    room = int(input_chars * CONTENT_SHARE + 0.5)
+
+    def step(s: Column, f: Column) -> Column:
+        windowed = (F.length(f["whole"]) > s["room"]) | (f["lines"] > WHOLE_LINES)
+        part = F.when(F.length(f["part"]) > s["room"], F.concat(F.substring(f["part"], F.lit(1), s["room"]), F.lit(CUT))).otherwise(f["part"])
+        rendered = F.when(windowed, part).otherwise(f["whole"])
+        row = F.struct(f["place"].cast("int").alias("place"), f["path"].alias("path"), f["lines"].alias("lines"), windowed.alias("windowed"), rendered.alias("rendered"))
+        after = F.struct((s["room"] - F.length(rendered)).alias("room"), F.concat(s["kept"], F.array(row)).alias("kept"))
+        return F.when(s["room"] < LEAST_ROOM, s).otherwise(after).cast(state)
+
+    none = F.struct(F.lit(room).alias("room"), F.array().cast(state[state.index("array") : -1]).alias("kept")).cast(state)
+    return lists.select("request", F.inline(F.aggregate("files", none, step)["kept"]))
+
+
+def change_importers(edges: DataFrame, shown: DataFrame, most: int = IMPORTERS, listed: int = IMPORTERS_SHOWN) -> DataFrame:
+    """request, place, importer: lines for the calls and imports that reach a request's files (request, path), the first of them."""
+    order = ["from_file", "line", "type", "to_name", "to_file", "from_symbol"]
+    near = edges.filter("type IN ('imports', 'calls')").join(shown.select(F.col("path").alias("to_file")).distinct(), "to_file", "left_semi")
+    few = first_each(near, ["to_file"], order, most).join(shown.select("request", F.col("path").alias("to_file")).distinct(), "to_file")
+    place = F.row_number().over(Window.partitionBy("request").orderBy(*order))
+    origin = F.when(F.coalesce("from_symbol", F.lit("")) == "", "<module>").otherwise(F.col("from_symbol"))
+    said = F.format_string("- %s:%d %s %s %s", F.col("from_file"), F.col("line"), origin, F.col("type"), F.col("to_name"))
+    return few.select("request", place.alias("place"), said.alias("importer")).filter(F.col("place") <= min(most, listed))
+
+
+def known_paths(files: DataFrame, most: int = KNOWN_PATHS) -> DataFrame:
+    """place, path: the paths a new file must not collide with, the first `most`."""
+    first = files.select("path").distinct().orderBy("path").limit(most)
+    return first.select(F.row_number().over(Window.orderBy("path")).alias("place"), "path")  # `most` rows

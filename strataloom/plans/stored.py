@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.functions import paths
-from strataloom.operators import grams, impact, retrieval, rollups, upserts, vector_index
+from strataloom.operators import grams, impact, retrieval, review, rollups, upserts, vector_index
 from strataloom.operators.shuffles import Scratch
 from strataloom.plans.details import ORACLES, QUERIES, query
 from strataloom.sources.tables import bucketed, table
@@ -252,3 +252,44 @@ def rate_limit_stream(spark, sf_dir):
 
     counted.writeStream.option("checkpointLocation", f"{scratch.path}/offsets").outputMode("update").foreachBatch(batch).trigger(availableNow=True).start().awaitTermination()
     return store.read("rates")
+
+
+# -- requested changes -----------------------------------------------------------------
+
+_INPUT = 16_000
+
+_CHANGE_SQL = """
+w AS (SELECT source AS request, doc_id::varchar AS path, string_split(text, chr(10)) AS l, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents),
+c AS (SELECT *, len(l) AS lines, greatest(1, least(len(l), 1 + place * 7) - 15) AS a, least(len(l), least(len(l), 1 + place * 7) + 17) AS b FROM w WHERE place <= 3 AND NOT (len(l) = 1 AND l[1] = '')),
+x AS (SELECT *, list_transform(l, lambda x, i: lpad(i::varchar, 4, ' ') || '| ' || x) AS t FROM c),
+y AS (SELECT *, array_to_string(t, chr(10)) AS whole, '--- lines ' || a || '-' || b || ' of ' || lines || ' ---' || chr(10) || array_to_string(t[a:b], chr(10)) AS part, row_number() OVER (PARTITION BY request ORDER BY place) AS k FROM x),
+f AS (SELECT request, 0::bigint AS k, 10400::bigint AS room, NULL::bigint AS place, NULL::varchar AS path, NULL::bigint AS lines, false AS windowed, NULL::varchar AS rendered FROM (SELECT DISTINCT request FROM y)
+UNION ALL SELECT request, k, room - length(rendered), place, path, lines, windowed, rendered FROM (
+ SELECT y.request, y.k, f.room, y.place, y.path, y.lines, length(whole) > room OR y.lines > 260 AS windowed, CASE WHEN length(whole) > room OR y.lines > 260 THEN CASE WHEN length(part) > room THEN substr(part, 1, room) || chr(10) || '... [excerpt truncated]' ELSE part END ELSE whole END AS rendered
+ FROM f JOIN y ON y.request = f.request AND y.k = f.k + 1 WHERE f.room >= 900))"""
+
+
+def _changes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(edges, the files shown): each source asks to change its files, the first documents first, each around a line of its own."""
+    docs = table(spark, sf_dir, "documents")
+    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    files = docs.select(F.col("source").alias("request"), F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"), place.alias("place"))
+    targets = review.targets_each(files, files.limit(0), _INPUT)
+    line = F.least(F.size(F.split("content", "\n")), (1 + F.col("place") * 7).cast("int"))
+    ranges = files.select("request", "path", line.alias("start"), (line + 2).alias("end"))
+    own = F.col("doc_id").cast("string")
+    edges = table(spark, sf_dir, "labels").select(F.when(F.col("toxic") == 1, "imports").otherwise("calls").alias("type"), F.concat(F.lit("label"), F.col("quality").cast("string")).alias("from_file"), F.lit("").alias("from_symbol"), own.alias("to_file"), F.concat(F.lit("d"), own).alias("to_name"), F.col("doc_id").alias("line"))
+    return edges, review.change_files(targets, files.select("path", "content"), ranges, _INPUT)
+
+
+@query(f"WITH RECURSIVE {_CHANGE_SQL} SELECT request, place::int AS place, path, lines::int AS lines, windowed, rendered FROM f WHERE k > 0")
+def change_context(spark, sf_dir):
+    return _changes(spark, sf_dir)[1].select("request", "place", "path", "lines", "windowed", "rendered")
+
+
+@query(f"""
+WITH RECURSIVE {_CHANGE_SQL}, e AS (SELECT CASE WHEN toxic = 1 THEN 'imports' ELSE 'calls' END AS type, 'label' || quality AS from_file, doc_id::varchar AS to_file, 'd' || doc_id AS to_name, doc_id AS line FROM labels),
+n AS (SELECT request, row_number() OVER (PARTITION BY request ORDER BY from_file, line, type, to_name, to_file)::int AS place, '- ' || from_file || ':' || line || ' <module> ' || type || ' ' || to_name AS importer FROM f JOIN e ON e.to_file = f.path WHERE k > 0)
+SELECT request, place, importer FROM n WHERE place <= 14""")
+def change_importers(spark, sf_dir):
+    return review.change_importers(*_changes(spark, sf_dir))

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strataloom.operators import grams, impact, indexing, packing, rollups, vector_index, vectors, windows
+from strataloom.operators import grams, impact, indexing, packing, review, rollups, vector_index, vectors, windows
 from strataloom.operators.scan import Segments
 from strataloom.operators.shuffles import Scratch
 from strataloom.plans import fixtures as X
@@ -315,3 +315,26 @@ def test_late_requests_of_closed_windows_are_dropped(spark, tmp_path):
     assert sorted(out) == [("u", 0, 2, 1), ("u", 60, 1, 0), ("u", 480, 1, 0), ("u", 600, 1, 0)]
     batch = rate_windows(spark.read.schema(schema).parquet(landed), ["user"], "ts", 60, 1)
     assert sorted(map(tuple, batch.collect())) == [("u", 0, 3, 2), ("u", 60, 1, 0), ("u", 480, 1, 0), ("u", 600, 1, 0)]
+
+
+# -- requested changes ------------------------------------------------------------
+
+
+def test_files_of_a_change_share_its_budget(spark):
+    """A long file in windows, one that no longer fits whole, one that is cut, one that finds no room; merged windows."""
+    line = lambda n, w=20: "\n".join(f"{i:03} " + "x" * w for i in range(1, n + 1))
+    files = {"long.js": line(300, 4), "mid.js": line(100), "big.js": line(200, 60), "late.js": "short", "none.js": None, "small.js": "a\nb"}
+    df = spark.createDataFrame(list(files.items()), "path string, content string")
+    targets = spark.createDataFrame([("r", "long.js", 1), ("r", "mid.js", 2), ("r", "big.js", 3), ("r", "late.js", 4), ("s", "none.js", 1), ("s", "small.js", 2)], "request string, path string, place int")
+    ranges = spark.createDataFrame([("r", "long.js", 100, 101), ("r", "long.js", 120, 122), ("r", "long.js", 290, 299), ("s", "long.js", 1, 2)], "request string, path string, start int, end int")
+    got = {(r["request"], r["path"]): r for r in review.change_files(targets, df, ranges, 10_000).collect()}
+    assert got.keys() == {("r", "long.js"), ("r", "mid.js"), ("r", "big.js"), ("s", "small.js")}
+    long, mid, big, small = (got[k] for k in (("r", "long.js"), ("r", "mid.js"), ("r", "big.js"), ("s", "small.js")))
+    assert long["windowed"] and [x for x in long["rendered"].split("\n") if x.startswith("---")] == ["--- lines 85-137 of 300 ---", "--- lines 275-300 of 300 ---"]
+    assert not mid["windowed"] and mid["rendered"].startswith("   1| 001 x") and small["rendered"] == "   1| a\n   2| b"
+    room = 6500 - len(long["rendered"]) - len(mid["rendered"])
+    assert big["windowed"] and big["rendered"].startswith("--- lines 1-95 of 200 ---") and big["rendered"].endswith(review.CUT) and len(big["rendered"]) == room + len(review.CUT) > 900
+    edges = spark.createDataFrame([("imports" if i % 2 else "calls", f"f{i:03}.js", "" if i % 3 else "go", "mid.js", "mid", i) for i in range(40)] + [("tests", "t.js", "", "mid.js", "mid", 1)], "type string, from_file string, from_symbol string, to_file string, to_name string, line int")
+    said = review.change_importers(edges, review.change_files(targets, df, ranges, 10_000)).orderBy("place").collect()
+    assert len(said) == 14 and said[0]["importer"] == "- f000.js:0 go calls mid" and said[1]["importer"] == "- f001.js:1 <module> imports mid"
+    assert [r["path"] for r in review.known_paths(df, 3).orderBy("place").collect()] == ["big.js", "late.js", "long.js"]
