@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.functions import paths
-from strataloom.operators import grams, impact, retrieval, review, rollups, upserts, vector_index
+from strataloom.operators import grams, impact, retrieval, review, rollups, upserts, vector_index, views
 from strataloom.operators.shuffles import Scratch
 from strataloom.plans.details import ORACLES, QUERIES, query
 from strataloom.sources.tables import bucketed, table
@@ -293,3 +293,30 @@ n AS (SELECT request, row_number() OVER (PARTITION BY request ORDER BY from_file
 SELECT request, place, importer FROM n WHERE place <= 14""")
 def change_importers(spark, sf_dir):
     return review.change_importers(*_changes(spark, sf_dir))
+
+# -- lists -------------------------------------------------------------------------------
+
+
+@query("""
+WITH c AS (SELECT conv_id % 7 AS owner, conv_id, count(*) AS messages, max(turn) AS last FROM conversations GROUP BY 1, 2)
+SELECT owner, conv_id, messages, place FROM (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY last DESC, conv_id)::int AS place FROM c) WHERE place <= 20""")
+def conversation_list(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").withColumn("owner", F.col("conv_id") % 7)
+    return views.conversations(turns, "owner", "conv_id", "turn").select("owner", "conv_id", "messages", "place")
+
+
+@query("""
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations)
+SELECT conv_id, 'Earlier turns:' || chr(10) || string_agg(CASE WHEN role = 'user' THEN 'User' ELSE 'Assistant' END || ': ' || substr(text, 1, 700), chr(10) ORDER BY turn) AS block FROM r WHERE n <= 4 GROUP BY conv_id""")
+def history_blocks(spark, sf_dir):
+    return views.history(table(spark, sf_dir, "conversations"), "conv_id", "turn")
+
+
+@query("""
+WITH l AS (SELECT * FROM (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1)
+SELECT doc_id, event_id % 3 AS verdict, CASE WHEN l.user_id IS NOT NULL THEN event_type <> CASE WHEN doc_id % 2 = 0 THEN 'click' ELSE 'view' END END AS stale FROM documents LEFT JOIN l ON doc_id = user_id""")
+def pulls_with_reviews(spark, sf_dir):
+    head = F.when(F.col("doc_id") % 2 == 0, "click").otherwise("view")
+    pulls = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("number"), head.alias("head_sha"))
+    reviews = table(spark, sf_dir, "events").select(F.col("user_id").alias("number"), F.col("event_type").alias("head_sha"), (F.col("event_id") % 3).alias("verdict"), F.col("ts").alias("created_at"), F.col("event_id").alias("id"))
+    return views.with_reviews(pulls, reviews).select(F.col("number").alias("doc_id"), "verdict", "stale")

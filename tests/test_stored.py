@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strataloom.operators import grams, impact, indexing, packing, review, rollups, vector_index, vectors, windows
+from strataloom.operators import grams, impact, indexing, packing, review, rollups, vector_index, vectors, views, windows
 from strataloom.operators.scan import Segments
 from strataloom.operators.shuffles import Scratch
 from strataloom.plans import fixtures as X
@@ -338,3 +338,17 @@ def test_files_of_a_change_share_its_budget(spark):
     said = review.change_importers(edges, review.change_files(targets, df, ranges, 10_000)).orderBy("place").collect()
     assert len(said) == 14 and said[0]["importer"] == "- f000.js:0 go calls mid" and said[1]["importer"] == "- f001.js:1 <module> imports mid"
     assert [r["path"] for r in review.known_paths(df, 3).orderBy("place").collect()] == ["big.js", "late.js", "long.js"]
+
+
+# -- lists ------------------------------------------------------------------------
+
+
+def test_lists_of_conversations_and_reviews(spark):
+    turns = spark.createDataFrame([("o", c, t, "user" if t % 2 else "assistant", "x" * 800 if t == 5 else None if t == 4 else f"t{t}") for c in range(30) for t in range(1, 7 - c % 2)], "owner string, conv int, turn int, role string, text string")
+    listed = views.conversations(turns, "owner", "conv", "turn").orderBy("place").collect()
+    assert [(r["conv"], r["messages"]) for r in listed] == [(c, 6) for c in range(0, 30, 2)] + [(c, 5) for c in (1, 3, 5, 7, 9)]
+    block = views.history(turns, "conv", "turn", assistant="Helper").filter("conv = 1").first()["block"].split("\n")
+    assert block == ["Earlier turns:", "Helper: t2", "User: t3", "Helper: ", "User: " + "x" * 700]
+    pulls = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, None)], "number int, head_sha string")
+    reviews = spark.createDataFrame([(1, "z", "approve", 1, 1), (1, "a", "comment", 2, 1), (2, "b", "old", 5, 1), (2, "x", "new", 5, 2), (4, None, "none", 1, 1)], "number int, head_sha string, verdict string, created_at int, id int")
+    assert [(r["number"], r["verdict"], r["stale"]) for r in views.with_reviews(pulls, reviews).orderBy("number").collect()] == [(1, "comment", False), (2, "new", True), (3, None, None), (4, "none", False)]
