@@ -64,7 +64,7 @@ def candidates(needles: DataFrame, index: GramIndex | DataFrame, scratch: Scratc
     index: a stored one, or the postings of the texts by the sizes of the needles. Hot grams are dealt over tasks.
     """
     of_needle = F.when(F.length("needle") < size, F.array("needle")).otherwise(grams(F.col("needle"), size, words))
-    asked = scratch.write(needles.select("needle", F.explode(of_needle).alias("gram")).withColumn("hash", F.xxhash64("gram")), "asked")
+    asked = needles.select("needle", F.explode(of_needle).alias("gram")).withColumn("hash", F.xxhash64("gram"))
     wanted = scratch.write(asked.select("gram", "hash").distinct(), "wanted")
     if isinstance(index, GramIndex):
         counts = index.of(wanted, index.counts, scratch)
@@ -75,7 +75,7 @@ def candidates(needles: DataFrame, index: GramIndex | DataFrame, scratch: Scratc
     # a needle with a gram that no text holds is in none
     rarest = held.groupBy("needle").agg(F.min_by(F.struct("gram", "hash", "n"), F.struct("n", "gram")).alias("g"), F.bool_or(F.col("n").isNull()).alias("none")).filter("NOT none")
     chosen = scratch.write(rarest.select("needle", "g.gram", "g.hash", "g.n").groupBy("gram", "hash").agg(F.max("n").alias("n"), F.collect_list("needle").alias("needles")), "chosen")
-    rows = index.of(chosen, index.postings, scratch) if isinstance(index, GramIndex) else maybe_in(index, chosen.select("hash"), "hash")
+    rows = index.of(chosen, index.postings, scratch) if isinstance(index, GramIndex) else index
     return spread_join(rows.select("gram", "id"), chosen, ["gram"], "n", "id").select(F.explode("needles").alias("needle"), "id")
 
 
@@ -89,14 +89,17 @@ def containing(texts: DataFrame, needles: DataFrame, id_col: str, text_col: str,
     texts = dealt(texts.select(id_col, text_col))
     wanted = scratch.write(needles.select(F.col(needle_col).alias("needle")).filter("needle IS NOT NULL").distinct(), "needles")
     asked = wanted.filter("needle <> ''")
+    of_kind = wanted.withColumn("words", F.size(grams(F.col("needle"), size, True)) > 0).groupBy("words").agg(F.collect_set(F.least(F.length("needle"), F.lit(size))).alias("lengths"))
+    kinds = {r["words"]: r["lengths"] for r in of_kind.collect()}
+    blank = 0 in kinds.get(False, [])
+    kinds = {w: [n for n in lengths if n] for w, lengths in kinds.items() if any(lengths)}
     if index is not None:
         found = candidates(asked, index, scratch, size)
     else:
         asked = asked.withColumn("words", F.size(grams(F.col("needle"), size, True)) > 0)
-        kinds = {r["words"]: r["lengths"] for r in asked.groupBy("words").agg(F.collect_set(F.least(F.length("needle"), F.lit(size))).alias("lengths")).collect()}
         parts = [candidates(asked.filter(F.col("words") == w).drop("words"), postings(texts, id_col, text_col, tuple(sorted(lengths)), w), scratch, size, w) for w, lengths in kinds.items()]
         found = reduce(DataFrame.unionByName, parts) if parts else candidates(asked.drop("words"), postings(texts.limit(0), id_col, text_col), scratch, size)
     own = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     hits = found.distinct().join(own, "id").filter(F.contains("text", "needle")).select("needle", "id").distinct()
     empty = own.filter("text IS NOT NULL").select(F.lit("").alias("needle"), "id").distinct()
-    return hits.unionByName(empty) if wanted.filter("needle = ''").count() else hits
+    return hits.unionByName(empty) if blank else hits
