@@ -182,7 +182,7 @@ def labels_of_records(spark, sf_dir):
     source, lang, n = F.col("source"), F.coalesce("lang", F.lit("")), F.col("doc_id")
     return Q._docs(spark, sf_dir).select(
         "doc_id", text.short_sha(F.sha2("text", 256)).alias("sha"), text.pluralise(F.col("n_chars"), "character").alias("amount"),
-        text.is_component_name(F.concat(F.upper(F.substring(source, 1, 1)), F.substring(source, F.lit(2), F.length(source)))).alias("is_component"), text.is_hook_name(F.concat(F.lit("use"), F.upper(source))).alias("is_hook"),
+        text.is_component_name(text.capitalized(source)).alias("is_component"), text.is_hook_name(F.concat(F.lit("use"), F.upper(source))).alias("is_hook"),
         text.progress((n % 100) / 100).alias("progress"), access.visibility(n % 3 == 0, lang).alias("visibility"), access.pull_state(source, F.when(n % 2 == 0, F.lit("2024-01-01"))).alias("pull_state"),
         jobs.index_needed(lang, source, lang, n % 5 == 0).alias("index_needed"),
     )

@@ -352,3 +352,15 @@ def test_lists_of_conversations_and_reviews(spark):
     pulls = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, None)], "number int, head_sha string")
     reviews = spark.createDataFrame([(1, "z", "approve", 1, 1), (1, "a", "comment", 2, 1), (2, "b", "old", 5, 1), (2, "x", "new", 5, 2), (4, None, "none", 1, 1)], "number int, head_sha string, verdict string, created_at int, id int")
     assert [(r["number"], r["verdict"], r["stale"]) for r in views.with_reviews(pulls, reviews).orderBy("number").collect()] == [(1, "comment", False), (2, "new", True), (3, None, None), (4, "none", False)]
+
+# -- texts --------------------------------------------------------------------------
+
+
+def test_commit_subjects_on_letters_without_one_capital(spark, tmp_path):
+    import duckdb
+
+    texts = [f"{c}bc" for c in "ßŉǰΐևẖᾀᾈᾳῒﬁﬓǆɤ𐵰éя"] + ["  ß x　", "\tß \r", "ß  ", "ß" * 70, "", "\nx", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert {tuple(r) for r in QUERIES["commit_subjects"](spark, str(tmp_path)).collect()} == set(con.execute(ORACLES["commit_subjects"]).fetchall())
