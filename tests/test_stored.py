@@ -353,6 +353,22 @@ def test_lists_of_conversations_and_reviews(spark):
     reviews = spark.createDataFrame([(1, "z", "approve", 1, 1), (1, "a", "comment", 2, 1), (2, "b", "old", 5, 1), (2, "x", "new", 5, 2), (4, None, "none", 1, 1)], "number int, head_sha string, verdict string, created_at int, id int")
     assert [(r["number"], r["verdict"], r["stale"]) for r in views.with_reviews(pulls, reviews).orderBy("number").collect()] == [(1, "comment", False), (2, "new", True), (3, None, None), (4, "none", False)]
 
+def test_impacts_place_the_edges_of_many_keys_once(spark, monkeypatch):
+    """Questions with several files each: the places are one number, so no text is sorted for each question."""
+    edges = [("imports", f"f{(i * 7) % 40:02}", "", "x", f"m{i % 6}", "x", i, 1.0) for i in range(240)]
+    edges = spark.createDataFrame(edges, "type string, from_file string, from_symbol string, to_name string, to_file string, to_symbol string, line long, confidence double")
+    asked = spark.createDataFrame([(a, "n", f"m{m}") for a in range(3) for m in (a, a + 1, a + 3)], "asked long, name string, to_file string")
+    of = impact.Impacts.__new__(impact.Impacts)
+    of._scratch, kept = Scratch(spark, "test"), []
+    monkeypatch.setattr(of, "_keep", lambda rows, name: kept.append(name) or of._scratch.write(rows, name), raising=False)
+    got = of._edges(edges, "to_file", asked.select("asked", "to_file"), 50)
+    key = lambda r: (r["from_file"], r["line"])
+    rows = [r.asDict() for r in edges.collect()]
+    want = {(a, *key(r)) for a in range(3) for r in sorted((r for r in rows if r["to_file"] in {f"m{a}", f"m{a + 1}", f"m{a + 3}"}), key=key)[:50]}
+    assert {(r["asked"], *key(r)) for r in got.collect()} == want
+    assert "first-to_file" in kept
+
+
 # -- texts --------------------------------------------------------------------------
 
 
