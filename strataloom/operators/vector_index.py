@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ from strataloom.plans.session import ship
 BLOCK, ASKED, SAMPLE = 4096, 1024, 16_384
 #: Cells at most, rounds of the fit; queries that the number of probes is measured on at most, and the recall it has to reach there.
 CELLS, ROUNDS, MEASURED, RECALL = 4096, 12, 256, 0.95
+#: Scores that a task has at a time when it looks for the nearest cells, and pairs whose scores it sums at a time.
+SCORES, PAIRS = 1 << 20, 1 << 16
 
 
 def _matrix(vectors: pd.Series, dimension: int | None = None) -> np.ndarray:
@@ -60,10 +63,11 @@ def _nearest(centers: np.ndarray, vector_col: str, probes: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if not len(b):
-                continue
-            s = _matrix(b[vector_col]) @ centers.T
-            yield b.assign(cells=list(np.argsort(-s, axis=1, kind="stable")[:, :probes].astype(np.int32)))
+            step = max(1, SCORES // len(centers))
+            for i in range(0, len(b), step):
+                part = b.iloc[i : i + step]
+                s = _matrix(part[vector_col]) @ centers.T
+                yield part.assign(cells=list(np.argsort(-s, axis=1, kind="stable")[:, :probes].astype(np.int32)))
 
     return run
 
@@ -94,6 +98,20 @@ def build_index(points: DataFrame, vector_col: str, id_col: str, scratch: Scratc
     return _blocks(_in_cells(rows, centers, 1), block, scratch, "points")
 
 
+def _best(ids: np.ndarray, m: np.ndarray, names: np.ndarray, q: np.ndarray, k: int, floor: float) -> pd.DataFrame:
+    """query_id, id, score: the k points of a block that are most similar to each query; both as unit vectors."""
+    order = np.argsort(ids, kind="stable")
+    ids, m = ids[order], m[order]
+    s = m @ q.T
+    least = np.partition(s, -k, axis=0)[-k] if len(m) > k else np.full(s.shape[1], -np.inf)
+    at, of_query = np.nonzero(s >= np.maximum(least, floor) - 1e-9)
+    # a matrix product may round by place; this sum is the same in every block
+    score = [np.einsum("ij,ij->i", m[at[i : i + PAIRS]], q[of_query[i : i + PAIRS]]) for i in range(0, len(at), PAIRS)]
+    found = pd.DataFrame({"query_id": names[of_query], "id": ids[at], "score": np.concatenate([np.empty(0), *score])})
+    found = found[found.score >= floor].sort_values(["query_id", "score", "id"], ascending=[True, False, True], kind="stable")
+    return found.groupby("query_id").head(k)
+
+
 def search(index: DataFrame, queries: DataFrame, scratch: Scratch, centers: np.ndarray | None = None, probes: int | None = None, k: int = TOP_K, floor: float = SCORE_FLOOR, asked: int = ASKED) -> DataFrame:
     """query_id, id, score, place: the k most similar points of the probed cells for each of queries (query_id, vector).
 
@@ -108,21 +126,18 @@ def search(index: DataFrame, queries: DataFrame, scratch: Scratch, centers: np.n
     pairs = index.join(meet, ["cell", "block"]).select("ids", "vectors", "query_ids", "asked")
     kind = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {index.schema['ids'].dataType.elementType.simpleString()}, score double"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for ids, vectors, names, wanted in b.itertuples(index=False):
-                order = np.argsort(ids, kind="stable")
-                ids, m, q = np.asarray(ids)[order], _unit(np.stack(vectors).astype(np.float64))[order], _unit(np.stack(wanted).astype(np.float64))
-                s = m @ q.T
-                least = np.partition(s, -k, axis=0)[-k] if len(m) > k else np.full(s.shape[1], -np.inf)
-                at, of_query = np.nonzero(s >= np.maximum(least, floor) - 1e-9)
-                # a matrix product may round by place; this sum is the same in every block
-                found = pd.DataFrame({"query_id": np.asarray(names)[of_query], "id": ids[at], "score": np.einsum("ij,ij->i", m[at], q[of_query])})
-                found = found[found.score >= floor].sort_values(["query_id", "score", "id"], ascending=[True, False, True], kind="stable")
-                yield found.groupby("query_id").head(k)
+            name, id_ = b.column("query_ids").type.value_type, b.column("ids").type.value_type
+            for i in range(len(b)):
+                # a block's vectors are read where Arrow has them, never as an object each
+                ids, names = (b.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("ids", "query_ids"))
+                m, q = (b.column(c)[i].values.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) for c, n in (("vectors", len(ids)), ("asked", len(names))))
+                found = _best(ids, _unit(m.astype(np.float64)), names, _unit(q.astype(np.float64)), k, floor)
+                yield pa.RecordBatch.from_arrays([pa.array(found[c], t) for c, t in (("query_id", name), ("id", id_), ("score", pa.float64()))], ["query_id", "id", "score"])
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return pairs.mapInPandas(run, kind).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+    return pairs.mapInArrow(run, kind).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
 
 
 def probes_for(index: DataFrame, queries: DataFrame, scratch: Scratch, centers: np.ndarray, target: float = RECALL, k: int = TOP_K, floor: float = SCORE_FLOOR, measured: int = MEASURED) -> int:

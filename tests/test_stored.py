@@ -51,6 +51,31 @@ def test_blocks_find_what_brute_force_finds(points):
     assert sorted((r["query_id"], r["id"], r["place"]) for r in found) == exact_search(rows, [r for r in rows if r[0] % 20 == 0], 7, 0.2)
 
 
+def test_memory_of_a_task_is_bounded():
+    """The nearest of many cells for a batch of rows, and a block of copies that all tie for each query."""
+    import tracemalloc
+
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    rows, centers = pd.DataFrame({"id": range(8000), "v": list(rng.normal(size=(8000, 4)))}), rng.normal(size=(2000, 4))
+    tracemalloc.start()
+    near = pd.concat([b for b in vector_index._nearest(centers, "v", 2)(iter([rows]))])
+    cells = np.argsort(-(np.stack(rows["v"][:50]) @ centers.T), axis=1)[:, :2]
+    del rows
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert list(near["id"]) == list(range(8000)) and (np.stack(near["cells"])[:50] == cells).all()
+    assert peak < 200 << 20
+    same = np.ones((3000, 256)) / 16
+    tracemalloc.start()
+    found = vector_index._best(np.arange(3000), same, np.arange(40), same[:40], 3, 0.1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [tuple(x) for x in found[["query_id", "id"]].to_numpy()] == [(q, i) for q in range(40) for i in range(3)]
+    assert peak < 350 << 20
+
+
 def test_index_reaches_its_recall(spark, points):
     scratch = Scratch(spark, "test")
     centers = vector_index.fit_centroids(points, "v", cells=16)
