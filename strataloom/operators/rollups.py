@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strataloom.functions import paths
 from strataloom.functions.rules import ENTRY_POINTS
 from strataloom.operators import grams
-from strataloom.operators.shuffles import Scratch
+from strataloom.operators.shuffles import Scratch, dealt, maybe_in
 
 
 def by_language(files: DataFrame) -> DataFrame:
@@ -99,12 +99,23 @@ def path_tree(files: DataFrame, path: str = "file_path") -> DataFrame:
 def related_tests(tests: DataFrame, changed: DataFrame, most: int = 60) -> DataFrame:
     """Test files whose path contains the name of a changed file, without its extension: the first `most` by path.
 
-    All changed files count; names and paths meet by gram postings.
+    All changed files count. The pieces of a path that are as long as some name meet the names by an equi-join, so the
+    work grows with the paths and not with the pairs of them.
     """
     scratch = Scratch(tests.sparkSession, "tests")
     base = F.regexp_replace(paths.basename(F.col("file_path")), r"(?i)\.[a-z]+$", "")
-    found = grams.containing(tests.select(F.col("file_path").alias("path")), changed.select(base.alias("base")), "path", "path", "base", scratch)
-    return tests.join(found.select(F.col("id").alias("file_path")), "file_path", "left_semi").orderBy("file_path").limit(most)
+    names = changed.select(base.alias("gram")).filter("gram IS NOT NULL").distinct()
+    names = scratch.write(names.withColumn("hash", F.xxhash64("gram")), "names")
+    sizes = sorted(r["n"] for r in names.select(F.length("gram").alias("n")).distinct().collect())
+    if 0 in sizes:  # the empty name is in every path
+        hits = tests.filter("file_path IS NOT NULL")
+    elif sizes:
+        pieces = maybe_in(grams.postings(dealt(tests.select("file_path")), "file_path", "file_path", tuple(sizes)), names.select("hash"), "hash")
+        found = pieces.join(names, ["gram", "hash"]).filter(F.contains("id", "gram")).select(F.col("id").alias("file_path")).distinct()
+        hits = tests.join(found, "file_path", "left_semi")
+    else:
+        hits = tests.limit(0)
+    return hits.orderBy("file_path").limit(most)
 
 
 def top_per_key(rows: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:

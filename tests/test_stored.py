@@ -394,6 +394,19 @@ def test_impacts_place_the_edges_of_many_keys_once(spark, monkeypatch):
     assert "first-to_file" in kept
 
 
+def test_related_tests_need_no_pairs(spark, monkeypatch):
+    """Names that many paths share meet the pieces of the paths, and nothing else."""
+    monkeypatch.setattr(grams, "candidates", None)
+    names = ["a.b", "doc1", "doc12", "x\U0001f600y", "?y", "(", "none"]
+    files = [f"t/{i}/doc{i}.md" for i in range(90)] + ["t/x\U0001f600y.js", "t/a.b", "t/axb", "t/(.py", None]
+    tests = spark.createDataFrame([(p,) for p in files], "file_path string")
+    changed = spark.createDataFrame([(f"src/{n}.md",) for n in [*names, names[0]]] + [(None,)], "file_path string")
+    want = sorted(p for p in files if p and any(n in p for n in names))
+    assert [r["file_path"] for r in rollups.related_tests(tests, changed).collect()] == want
+    assert rollups.related_tests(tests, changed.limit(0)).count() == 0
+    assert rollups.related_tests(tests, spark.createDataFrame([("src/.md",)], "file_path string"), 200).count() == 94
+
+
 # -- texts --------------------------------------------------------------------------
 
 
