@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.operators.shuffles import Scratch, dealt, maybe_in, spread_join
+from strataloom.operators.shuffles import Scratch, dealt, delete, maybe_in, spread_join
 
 #: Characters of a gram; shorter needles are looked up by grams of their own length.
 SIZE = 3
@@ -32,6 +32,21 @@ def postings(texts: DataFrame, id_col: str, text_col: str, sizes: tuple[int, ...
     return texts.select(F.col(id_col).alias("id"), F.explode(all_).alias("gram")).select("gram", F.xxhash64("gram").alias("hash"), "id")
 
 
+def nested_postings(texts: DataFrame, id_col: str, text_col: str, sizes: tuple[int, ...]) -> DataFrame:
+    """postings, with one pass over a text: its shorter grams are the beginnings of the longer ones and the text's last characters."""
+    out = dealt(texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    last = None
+    for n in sorted(set(sizes), reverse=True):
+        if last is None:
+            every = grams(F.col("text"), n)
+        else:
+            end = F.when(F.length("text") < last, F.col("text")).otherwise(F.right("text", F.lit(last - 1)))
+            every = F.array_distinct(F.concat(F.transform(f"g{last}", lambda g: F.substring(g, 1, n)), grams(end, n)))  # noqa: B023
+        out, last = out.withColumn(f"g{n}", every), n
+    held = out.select("id", F.explode(F.flatten(F.array(*[f"g{n}" for n in sorted(set(sizes))]))).alias("gram"))
+    return held.select("gram", F.xxhash64("gram").alias("hash"), "id")
+
+
 class GramIndex:
     """The stored postings of a table of texts, and how many texts hold each gram."""
 
@@ -46,8 +61,11 @@ class GramIndex:
         A frequent gram is dealt over several files, as ids are part of the order.
         """
         spark = texts.sparkSession
-        rows = postings(texts, id_col, text_col, sizes)
-        rows.repartitionByRange("gram", "id").sortWithinPartitions("gram", "id").write.option("compression", "zstd").option("parquet.block.size", 4 << 20).parquet(f"{path}/postings")
+        rows = nested_postings(texts, id_col, text_col, sizes)
+        # written once, as a range sort reads its rows twice: for the ranges and for the sort
+        rows.write.option("compression", "zstd").parquet(f"{path}/unsorted")
+        spark.read.schema(rows.schema).parquet(f"{path}/unsorted").repartitionByRange("gram", "id").sortWithinPartitions("gram", "id").write.option("compression", "zstd").option("parquet.block.size", 4 << 20).parquet(f"{path}/postings")
+        delete(spark, f"{path}/unsorted")
         out = spark.read.schema(rows.schema).parquet(f"{path}/postings")
         out.groupBy("gram", "hash").agg(F.count("*").alias("n")).repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{path}/counts")
         return GramIndex(spark, path, texts.schema[id_col].dataType.simpleString())

@@ -407,6 +407,15 @@ def test_related_tests_need_no_pairs(spark, monkeypatch):
     assert rollups.related_tests(tests, spark.createDataFrame([("src/.md",)], "file_path string"), 200).count() == 94
 
 
+def test_postings_of_one_pass(spark):
+    """The shorter grams that come from the longer ones are those of passes of their own."""
+    texts = ["", None, "a", "ab", "abc", "aé\n", "x\U0001f600y\U0001f600", "\U0001f600", "aaaa", "zäß "]
+    texts = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    for sizes in ((1, 2, 3), (3,), (1, 3)):
+        rows = [sorted(map(tuple, f(texts, "id", "text", sizes).collect())) for f in (grams.postings, grams.nested_postings)]
+        assert rows[0] == rows[1]
+
+
 # -- texts --------------------------------------------------------------------------
 
 
