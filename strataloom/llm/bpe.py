@@ -31,6 +31,7 @@ class Vocabulary:
         self._special = re.compile("|".join(map(re.escape, self.special)) or "(?!)")
         self._normalise = self.library.normalizer.normalize_str
         self._cut = self.library.pre_tokenizer.pre_tokenize_str
+        self._merge = self.library.model.tokenize
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"] or ""
         self.known = model["vocab"].keys()
@@ -62,6 +63,11 @@ class Vocabulary:
         spans = [span for _, span in self._cut(plain)]
         return [plain[a:b] for a, b in spans]
 
+    def ids(self, word: str) -> list[int]:
+        """Ids of one word of words(): the library's merges without its normaliser, pre-tokenizer and offsets."""
+        plain = word if word.isascii() and word.isprintable() else "".join([self.byte_char[b] for b in word.encode()])
+        return [t.id for t in self._merge(plain)]
+
     def symbols(self, word: str) -> list[str]:
         """The word's bytes as the vocabulary's characters, the last with the word-end suffix."""
         out = [self.byte_char[b] for b in word.encode()]

@@ -9,11 +9,12 @@ from functools import cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm.bpe import vocabulary
+from strataloom.llm.bpe import Vocabulary, vocabulary
 from strataloom.llm.common import map_arrow, table, written
 from strataloom.llm.hilbert import hilbert_key
 
@@ -21,34 +22,74 @@ from strataloom.llm.hilbert import hilbert_key
 LENGTH, END = 2048, 1
 #: Buckets of the hashed document vectors, dimensions they are projected to, bits of each.
 BUCKETS, DIMENSIONS, BITS = 256, 4, 12
-#: Words whose ids a worker remembers; beyond that it starts anew, so memory stays bounded.
+#: Pieces and words, each, whose ids a worker remembers; beyond that it starts anew, so memory stays bounded.
 REMEMBERED = 1_000_000
+#: Bytes of text that are cut at once, if more than one text; ids whose buckets are counted at once.
+PART, BLOCK = 1 << 23, 1 << 20
+#: Characters that are a word of their own behind a word.
+_MARKS = frozenset(".,;:!?)")
+
+
+class _Words(dict):
+    """Ids of words, filled on demand."""
+
+    def __init__(self, vocabulary_: Vocabulary, coded: list[bytes]):
+        self.vocabulary, self.coded = vocabulary_, coded
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        ids = b"".join([self.coded[i] for i in self.vocabulary.ids(word)])
+        if len(word) <= 64:
+            self[word] = ids
+        return ids
 
 
 class Encoder(dict):
-    """Ids of whole texts as the tokenizers library gives them, from remembered ids of words.
+    """Ids of whole texts as the tokenizers library gives them, from remembered ids of pieces and of their words.
 
-    The file's pre-tokenizer cuts words; the library encodes each word once, when it is first met. A text's ids are
-    those of its words.
+    Pieces are what ASCII white space parts; the file's normaliser and pre-tokenizer don't look across it. Arrow cuts
+    the texts of a batch and numbers the distinct pieces, and only these are looked up. A new piece is cut into words by
+    the file's pre-tokenizer; the library merges each word once, when it is first met. Should a special string hold
+    white space, a text is one piece.
     """
 
     def __init__(self, path: str):
         self.vocabulary = vocabulary(path)
         self.kind = np.dtype("<u2" if self.vocabulary.size <= 1 << 16 else "<u4")
-        self.special = {s: np.array([i], self.kind).tobytes() for s, i in self.vocabulary.special_ids.items()}
-        self.end = np.array([END], self.kind).tobytes()
+        coded = [i.to_bytes(self.kind.itemsize, "little") for i in range(self.vocabulary.size)]
+        self.words = _Words(self.vocabulary, coded)
+        self.special = {s: coded[i] for s, i in self.vocabulary.special_ids.items()}
+        self.end = coded[END]
+        self.apart = not any(s.encode().split() != [s.encode()] for s in self.special)
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, piece: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        ids = np.array(self.vocabulary.library.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
-        if len(word) <= 64:
-            self[word] = ids
+        mark = piece[-1:] if piece[-1:] in _MARKS else ""
+        plain = piece.removesuffix(mark)
+        if plain.isascii() and plain.isalpha():  # a word of letters, with at most a mark behind it
+            ids = self.words[plain.lower()] + (self.words[mark] if mark else b"")
+        else:
+            ids = b"".join([self.special.get(special, b"") + b"".join(map(self.words.__getitem__, words)) for special, words in self.vocabulary.segments(piece)])
+        if len(piece) <= 64:
+            self[piece] = ids
         return ids
 
+    def encode_all(self, texts: pa.Array) -> pa.Array:
+        """Ids of each text and END, as bytes; null is an empty text."""
+        texts = pc.fill_null(texts, "")
+        lists = pc.ascii_split_whitespace(texts) if self.apart else pa.ListArray.from_arrays(pa.array(range(len(texts) + 1), pa.int32()), texts)
+        pieces, ends = lists.flatten().dictionary_encode(), lists.offsets.to_numpy()
+        distinct = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = pa.array([*map(self.__getitem__, distinct), self.end], pa.binary())
+        all_ = known.take(pa.array(np.insert(pieces.indices.to_numpy(), ends[1:], len(distinct))))
+        # all_ has the ids in order, so a text is a stretch of its bytes: its pieces and one END
+        places = np.frombuffer(all_.buffers()[1], np.int32)[ends + np.arange(len(ends))]
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(places), all_.buffers()[2]])
+
     def encode(self, text: str | None) -> bytes:
-        parts = [self.special.get(special, b"") + b"".join(map(self.__getitem__, words)) for special, words in self.vocabulary.segments(text or "")]
-        return b"".join(parts) + self.end
+        return self.encode_all(pa.array([text], pa.string()))[0].as_py()
 
 
 @cache
@@ -57,26 +98,40 @@ def encoder(path: str) -> Encoder:
 
 
 @cache
-def _projection(size: int) -> np.ndarray:
-    """For each id its signed bucket of the hashed vector, projected to a few dimensions."""
+def _projection(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each id its bucket of the hashed vector (plus BUCKETS, if it counts down), and the buckets' directions."""
     rng = np.random.default_rng(20)
-    directions = rng.normal(size=(BUCKETS, DIMENSIONS))
+    directions = rng.normal(size=(BUCKETS, DIMENSIONS)).astype(np.float32).astype(np.float64)
     h = (np.arange(size, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-    return (directions[h % np.uint64(BUCKETS)] * np.where((h >> np.uint64(12)) & np.uint64(1), 1.0, -1.0)[:, None]).astype(np.float32)
+    up = (h >> np.uint64(12)) & np.uint64(1)
+    return (h % np.uint64(BUCKETS) + np.where(up, 0, BUCKETS).astype(np.uint64)).astype(np.int64), directions
 
 
-def curve_keys(ids: list[bytes], kind: np.dtype, size: int) -> np.ndarray:
+def curve_keys(ids: pa.Array | list[bytes], kind: np.dtype, size: int) -> np.ndarray:
     """Hilbert keys of the documents' hashed vectors, projected and brought to unit length."""
-    table_ = _projection(size)
-    total = np.empty((len(ids), DIMENSIONS))
-    for i, x in enumerate(ids):
-        part = np.frombuffer(x, kind)
-        total[i] = sum(table_[part[a : a + 65536]].sum(axis=0, dtype=np.float64) for a in range(0, len(part), 65536))
+    bucket, directions = _projection(size)
+    ids = pa.array(ids, pa.binary())
+    places = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1] // kind.itemsize
+    flat, counts = np.frombuffer(ids.buffers()[2], kind), np.zeros((len(ids), 2 * BUCKETS), np.int64)
+    for at in range(places[0], places[-1], BLOCK):
+        inside = np.clip(places, at, at + BLOCK)
+        row = np.repeat(np.arange(0, counts.size, 2 * BUCKETS), np.diff(inside))
+        counts += np.bincount(row + bucket[flat[inside[0] : inside[-1]]], minlength=counts.size).reshape(counts.shape)
+    total = (counts[:, :BUCKETS] - counts[:, BUCKETS:]) @ directions
     unit = total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-12)
     grid = np.minimum(((unit + 1) / 2 * (1 << BITS)).astype(np.int64), (1 << BITS) - 1)
     return hilbert_key(grid, BITS)
 
 
+def _light(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of one row or at most PART bytes of text."""
+    if batch.num_rows > 1 and batch.column(1).nbytes > PART:
+        yield from _light(batch.slice(0, batch.num_rows // 2))
+        yield from _light(batch.slice(batch.num_rows // 2))
+    else:
+        yield batch
+
+
 def _tail(length: int) -> Iterator[int]:
     """Powers of two that add up to length, the largest first: sequences of these lengths need no padding."""
     while length:
@@ -134,8 +189,9 @@ def packing(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         for b in batches:
-            ids = [e.encode(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(curve_keys(ids, e.kind, e.vocabulary.size)), pa.array(ids, pa.binary())], ["doc_id", "curve", "ids"])
+            for part in _light(b):
+                ids = e.encode_all(part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(curve_keys(ids, e.kind, e.vocabulary.size)), ids], ["doc_id", "curve", "ids"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind_ = encoder(path).kind

@@ -12,6 +12,7 @@ from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -664,6 +665,42 @@ def test_sequences_follow_the_curve(spark):
     assert along == sorted(along) and len(set(along)) > 100
 
 
+def test_words_are_cut_and_merged_once(monkeypatch):
+    """A piece that has been met is neither cut nor encoded again, whatever texts it stands in."""
+    rng = random.Random(7)
+    bag = [w + m for w in words(rng, 40).split() for m in ("", ",", "!?", "'s")]
+    texts = [" ".join(rng.choices(bag, k=500)) for _ in range(20)]
+    vocab, cut = vocabulary(PATH), []
+    monkeypatch.setattr(vocab, "words", lambda text, f=vocab.words: cut.append(len(text)) or f(text))
+    e = packing.Encoder(PATH)
+    got = [e.encode(t) for t in texts]
+    assert sum(cut) <= sum(map(len, set(bag)))
+    assert [np.frombuffer(g, e.kind).tolist() for g in got] == [[*vocab.library.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+
+def test_ids_are_the_librarys():
+    """Every white space, marks behind words, special strings, code points that change or combine; batches and slices."""
+    rng = random.Random(8)
+    parts = [*" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u2003\u2028\u3000\u200b\x00\x7fabBsHE'.,;:!?)(<|>_1½²éÉ\u0301\u0338\u0331İıẞΣ日が한ﬁǄÅ\u0345", "  ", "re", "'LL", "don't", "<|endoftext|>", "<|startoftext|>", "<|endof", "👩\u200d💻"]
+    texts = ["", None, *["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(5000)], "ab" * 40_000]
+    e = packing.encoder(PATH)
+    got = e.encode_all(pa.array(["before", *texts])[1:]).to_pylist()
+    assert [np.frombuffer(g, e.kind).tolist() for g in got] == [[*vocabulary(PATH).library.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+
+
+def test_curve_keys_in_blocks_and_parts(monkeypatch):
+    rng = random.Random(9)
+    e = packing.encoder(PATH)
+    ids = [e.encode(words(rng, rng.randint(0, 300))) for _ in range(40)]
+    want = packing.curve_keys(ids, e.kind, e.vocabulary.size)
+    monkeypatch.setattr(packing, "BLOCK", 100)
+    assert packing.curve_keys(ids, e.kind, e.vocabulary.size).tolist() == want.tolist() == [packing.curve_keys([i], e.kind, e.vocabulary.size)[0] for i in ids]
+    monkeypatch.setattr(packing, "PART", 100)
+    batch = pa.record_batch({"doc_id": range(9), "text": ["x" * 40 * i for i in range(9)]})
+    light = list(packing._light(batch))
+    assert pa.Table.from_batches(light).equals(pa.Table.from_batches([batch])) and all(b.num_rows == 1 or b.column(1).nbytes <= 100 for b in light)
+
+
 # -- 8, again --------------------------------------------------------------------
 
 
